@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, simhash
+from . import language, lines, mixing, packing, sharding, simhash
 from .common import documents
 
 
@@ -18,6 +18,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), report=True)
+    return found.select("doc_id", "n_lines", F.size("doomed").cast("long").alias("n_removed"), F.array_join("doomed", ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
@@ -26,6 +36,18 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op9_language": op9_language}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(documents(spark, sf_dir).select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_simhash": op3_simhash,
+    "op5_mixing": op5_mixing,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_language": op9_language,
+    "op10_sharding": op10_sharding,
+}
 
 ORACLE_SQL: dict[str, str] = {}
