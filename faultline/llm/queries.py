@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, mixing, packing, sharding, simhash
+from . import language, lines, mixing, packing, sharding, simhash, sketch
 from .common import documents
 
 
@@ -18,6 +18,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketch.edit_likeness(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", sketch.fingerprint(F.col("sketch")).alias("fingerprint"), sketch.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next",
+        F.round(sketch.distinct_count(F.col("sketch"))).cast("long").alias("n_shingles"),
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
@@ -44,6 +52,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_simhash": op3_simhash,
+    "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op9_language": op9_language,
