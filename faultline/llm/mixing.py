@@ -18,6 +18,8 @@ from .common import drop_written, shuffle_width, words, written
 
 #: Newton steps at most, and steps in one job.
 ROUNDS, STEPS = 60, 4
+#: Parts in which the documents of a (source, size) cell are ranked.
+SALTS = 256
 #: Newton stops when no source is off by more than this share of its target.
 TOLERANCE = 1e-6
 
@@ -121,10 +123,9 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: fl
     """
     outputs = ["size", "source_size", "target", "rate", "copies", "taken"]
     names = [c for c in docs.columns if c not in outputs]
-    salts = 4 * shuffle_width(docs.sparkSession)
     tagged = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), source_key(F.col("source")).alias("key"), F.size(words(F.col("text"))).cast("long").alias("size"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), F.col("doc_id").alias("order"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.col("doc_id").alias("order"),
     )
     counts = written(tagged.groupBy("key", "size", "salt").agg(F.count("*").alias("m")))
     cells = written(counts.groupBy("key", "size").agg(F.sum("m").alias("n")))
