@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, mixing, packing, sharding, simhash, sketch
+from . import language, lines, mixing, packing, quality, sharding, simhash, sketch
 from .common import documents
 
 
@@ -36,6 +36,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("doomed").cast("long").alias("n_removed"), F.array_join("doomed", ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.measure(documents(spark, sf_dir)).drop("gram_coverage")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_sharding": op10_sharding,
 }
