@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, mixing, packing, quality, sharding, simhash, sketch
+from . import language, lines, mixing, packing, pii, quality, sharding, simhash, sketch
 from .common import documents
 
 
@@ -31,6 +31,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(documents(spark, sf_dir))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return found.select("doc_id", *map(count, range(4)), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), report=True)
     return found.select("doc_id", "n_lines", F.size("doomed").cast("long").alias("n_removed"), F.array_join("doomed", ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
@@ -58,6 +64,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
+    "op6_pii": op6_pii,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
