@@ -86,7 +86,8 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = TOLERANCE, group
     names = [c for c in docs.columns if c not in outputs]
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), size.alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("d")
+        *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)],
+        size.alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("d"),
     )
     hist = written(keyed.groupBy("h").agg(F.sum("size").alias("bytes")))
     total = hist.agg(F.sum("bytes")).first()[0] or 0
@@ -112,4 +113,4 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = TOLERANCE, group
         splitters = sorted(final.values())
     placed = keyed.withColumn("shard", below(splitters, [F.col("h"), F.col("d")]).cast("int") if splitters else F.lit(0))
     slot = F.row_number().over(Window.partitionBy("shard").orderBy("h", "d")).cast("long") - 1
-    return placed.withColumn("slot", slot).select(*[F.col("row")[c].alias(c) for c in names], *outputs)
+    return placed.withColumn("slot", slot).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], *outputs)
