@@ -124,7 +124,7 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: fl
     outputs = ["size", "source_size", "target", "rate", "copies", "taken"]
     names = [c for c in docs.columns if c not in outputs]
     tagged = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), source_key(F.col("source")).alias("key"), F.size(words(F.col("text"))).cast("long").alias("size"),
+        *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], source_key(F.col("source")).alias("key"), F.size(words(F.col("text"))).cast("long").alias("size"),
         F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.col("doc_id").alias("order"),
     )
     counts = written(tagged.groupBy("key", "size", "salt").agg(F.count("*").alias("m")))
@@ -141,7 +141,7 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: fl
     ranked = tagged.join(starts, ["key", "size", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(part) - 1)
     copies = F.expr("k div n") + F.when(F.col("rank") < F.expr("k % n"), 1).otherwise(0)
     return ranked.withColumn("copies", copies).select(
-        *[F.col("row")[c].alias(c) for c in names], "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        *[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
