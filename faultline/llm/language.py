@@ -57,7 +57,7 @@ def normal(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).encode()
 
 
-def classify(docs: DataFrame, learned: dict[str, bytes], margin: float = MARGIN, block: int = BLOCK_BYTES, level: int = 6) -> DataFrame:
+def classify(docs: DataFrame, learned: dict[str, bytes], margin: float = MARGIN, block: int = BLOCK_BYTES, level: int = 12) -> DataFrame:
     """docs plus lang_pred, score (0 to 1) and rejected.
 
     Every block of the whole text is compressed with each language's dictionary; the
