@@ -1,9 +1,11 @@
-"""The registered queries over the monitoring views, each with the same query as SQL."""
+"""The registered queries over the monitoring views, each with the same query as SQL where SQL has it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from faultline.plans import baselines, functions, views  # noqa: F401
+
+QUERIES = views.QUERIES
+ORACLE_SQL = views.ORACLE
 
 
 def FLAGSHIP(spark, sf_dir):
