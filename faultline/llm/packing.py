@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_width, written
-from .tokens import word_ids
+from .common import written
+from .tokens import in_parts, word_ids
 
 #: Rests are rounded up to a multiple of this within the plan.
 UNIT = 8
 #: The document end: one id after each document's own.
 END_ID = 1
+#: Parts in which the members of a length class are ranked.
+SALTS = 256
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -42,26 +44,25 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None,
     ``with_ids`` adds the piece's ids as binary (unsigned, little-endian, 32 bits).
     """
     path = vocabulary or default_vocabulary()
+    fold = vocabulary is None  # the default vocabulary lower-cases and splits letters from punctuation
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches):
-        coder = word_ids(path)
+        coder = word_ids(path, fold=fold)
+        names = [f.split()[0] for f in PIECE_SCHEMA.split(", ")] + ["ids"] * with_ids
         for batch in batches:
-            ids_of = batch.column(0).to_pylist()
-            texts = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
-            rows: list[tuple] = []
-            blobs: list[bytes] = []
-            for doc, blob in zip(ids_of, coder.of(texts)):
-                blob += end
-                n = len(blob) // 4
-                for at in range(0, n, capacity):
-                    part = blob[4 * at : 4 * (at + capacity)]
-                    rows.append((doc, at, len(part) // 4, zlib.crc32(part), n))
-                    if with_ids:
-                        blobs.append(part)
-            cols = list(zip(*rows)) or [[]] * 5
-            arrays = [pa.array(c, pa.int64()) for c in cols] + ([pa.array(blobs, pa.binary())] if with_ids else [])
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in PIECE_SCHEMA.split(", ")] + ["ids"] * with_ids)
+            docs_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, hi in in_parts(texts):
+                rows: list[tuple] = []
+                for doc, blob in zip(docs_of[lo:hi], coder.of([(t or "").encode().split() for t in texts[lo:hi]])):
+                    blob += end
+                    n = len(blob) // 4
+                    for at in range(0, n, capacity):
+                        part = blob[4 * at : 4 * (at + capacity)]
+                        rows.append((doc, at, len(part) // 4, zlib.crc32(part), n, part))
+                cols = list(zip(*rows))
+                arrays = [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(c, pa.binary()) for c in cols[5:][: int(with_ids)]]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE_SCHEMA + ", ids binary" * with_ids)
 
@@ -160,12 +161,11 @@ def assign(cut: DataFrame, capacity: int = 2048, unit: int = UNIT) -> DataFrame:
     a third of all rows is dealt over many tasks.
     """
     spark = cut.sparkSession
-    salts = 4 * shuffle_width(spark)
     held = written(
         cut.withColumns({
             "class": F.when(F.col("length") < capacity, F.ceil(F.col("length") / unit).cast("int")),
             "row": F.monotonically_increasing_id(),
-            "salt": F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"),
+            "salt": F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"),
         })
     )
     counts = held.where("class is not null").groupBy("class", "salt").agg(F.count("*").alias("n"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+from itertools import islice
 
 import numpy as np
 
 #: Entries that a worker keeps from batch to batch; a word beyond it is encoded again in the next batch.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 900_000
+
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _MEMOS: dict[tuple, "WordIds"] = {}
 
@@ -15,39 +18,92 @@ _MEMOS: dict[tuple, "WordIds"] = {}
 class WordIds:
     """Little-endian ids of white-space separated words.
 
-    Neither the normalizer nor the pre-tokenizer of the vocabulary looks across ASCII
-    white space, so the ids of a text are those of its words, one after the other.
+    The pre-tokenizers of these vocabularies never look across ASCII white space, so the ids
+    of a text are those of its words, one after the other. Words of letters only are one
+    pre-token each, so many of them are encoded as one text and cut apart where a token ends
+    (or, with a prefix of one space, begins) a word. With fold, such a word is taken as its
+    ASCII lower case and the punctuation at its end, which is a pre-token of its own.
     """
 
-    def __init__(self, path: str, dtype: str, prefix: str = "", ordinary: bool = False):
+    def __init__(self, path: str, dtype: str, prefix: str = "", ordinary: bool = False, fold: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if ordinary:
             self.tokenizer.encode_special_tokens = True
-        self.dtype, self.prefix, self.memo = dtype, prefix, {}
+        self.dtype, self.prefix, self.fold, self.memo = np.dtype(dtype), prefix, fold, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if prefix else t.endswith("</w>"))]] = True
+
+    def each(self, words: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast([self.prefix + w for w in words], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in coded]
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """The same for words of letters only."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 200):
+            part = words[at : at + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.prefix + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(self.edge[ids])
+            cuts = np.append(cuts[1:], len(ids)) if self.prefix else cuts + 1
+            if len(cuts) != len(part):
+                out += self.each(part)
+                continue
+            blob, lo = ids.tobytes(), 0
+            for hi in (cuts * self.dtype.itemsize).tolist():
+                out.append(blob[lo:hi])
+                lo = hi
+        return out
+
+    def looked_up(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words."""
+        numbers: dict[str, int] = {}
+        simple: list[tuple[bytes, int, bytes]] = []
+        other: list[bytes] = []
+        for w in words:
+            low = w.lower() if self.fold else w
+            core = low.rstrip(_MARKS) if self.fold else low
+            if (stem := core.decode()).isalpha():
+                simple.append((w, numbers.setdefault(stem, len(numbers)), low[len(core) :]))
+            else:
+                other.append(w)
+        out = dict(zip(other, self.each([w.decode() for w in other])))
+        tails = {t for _, _, t in simple if t}
+        known = dict(zip(tails, self.each([t.decode() for t in tails])))
+        ids = self.together(list(numbers))
+        for w, k, tail in simple:
+            out[w] = ids[k] + known[tail] if tail else ids[k]
+        return out
 
     def of(self, texts: list[list[bytes]]) -> list[bytes]:
         """For each text, given as its words: the bytes of its ids."""
-        memo, extra = self.memo, []
-        new = list(set().union(*texts).difference(memo)) if texts else []
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            coded = self.tokenizer.encode_batch_fast([self.prefix + w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, coded):
-                if len(memo) - len(extra) >= MEMO_ENTRIES:
-                    extra.append(w)
-                memo[w] = np.array(e.ids, self.dtype).tobytes()
-        out = [b"".join(map(memo.__getitem__, x)) for x in texts]
-        for w in extra:
-            del memo[w]
-        return out
+        found = [list(map(self.memo.get, words)) for words in texts]
+        gaps = [[i for i, v in enumerate(ids) if v is None] for ids in found]
+        new = self.looked_up(list({words[i] for words, at in zip(texts, gaps) for i in at}))
+        for words, ids, at in zip(texts, found, gaps):
+            for i in at:
+                ids[i] = new[words[i]]
+        if room := MEMO_ENTRIES - len(self.memo):
+            self.memo.update(islice(new.items(), room))
+        return [b"".join(ids) for ids in found]
+
+
+def in_parts(texts: list, size: int = 2_000_000):
+    """(start, end) of runs of texts with about ``size`` characters, so that a batch is never held as words at once."""
+    start, held = 0, 0
+    for i, t in enumerate(texts, 1):
+        held += len(t or "")
+        if held >= size or i == len(texts):
+            yield start, i
+            start, held = i, 0
 
 
-def word_ids(path: str, dtype: str = "<u4", prefix: str = "", ordinary: bool = False) -> WordIds:
+def word_ids(path: str, dtype: str = "<u4", prefix: str = "", ordinary: bool = False, fold: bool = False) -> WordIds:
     """The worker's own instance; reused by later tasks of the same worker."""
-    key = (path, dtype, prefix, ordinary)
+    key = (path, dtype, prefix, ordinary, fold)
     if key not in _MEMOS:
         _MEMOS[key] = WordIds(*key)
     return _MEMOS[key]
