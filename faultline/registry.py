@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultline.plans import alerts, baselines, functions, views  # noqa: F401
+from faultline.plans import aggregation, alerts, baselines, functions, topology, views  # noqa: F401
 
 QUERIES = views.QUERIES
 ORACLE_SQL = views.ORACLE
