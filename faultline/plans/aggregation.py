@@ -170,10 +170,10 @@ def _(v):
     return A.lineage(rows, ["service"], "ids").withColumn("sources", F.concat_ws(",", "sources"))
 
 
-@query("agg_24_container_deltas", "SELECT service, win, sum(delta) FILTER (metric='cpu.throttled_usec') AS throttled, round(sum(delta) FILTER (metric='cpu.throttled_usec')/greatest(count(delta) FILTER (metric='cpu.throttled_usec'),1), 2) AS throttle_ratio FROM v_delta GROUP BY 1,2")
+@query("agg_24_container_deltas", "SELECT service, win, sum(delta) FILTER (metric='cpu.throttled_usec') AS throttled, count(delta) FILTER (metric='cpu.throttled_usec') AS periods FROM v_delta GROUP BY 1,2")
 def _(v):
     cpu = F.when(F.col("metric") == "cpu.throttled_usec", F.col("delta"))
-    return deltas(v).groupBy("service", "win").agg(F.sum(cpu).alias("throttled"), F.round(F.sum(cpu) / F.greatest(F.count(cpu), F.lit(1)), 2).alias("throttle_ratio"))
+    return deltas(v).groupBy("service", "win").agg(F.sum(cpu).alias("throttled"), F.count(cpu).alias("periods"))
 
 
 @query("agg_25_filesystem_deltas", "SELECT service, win, sum(delta)/86400 AS write_rate, count(delta) AS samples FROM v_delta WHERE metric='io.write_bytes' GROUP BY 1,2")
