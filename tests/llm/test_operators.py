@@ -1,0 +1,409 @@
+"""The training-data operators against brute force on small fixtures: nulls, empty and long texts, ties, repeats, clashes."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from faultline.llm import language, lines, mixing, packing, pii, quality, scoring, sharding, simhash, sketch
+from faultline.llm.graph import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, version int"
+LONG = " ".join(f"word{i % 977} and the" for i in range(15_000))
+
+
+def corpus():
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        text = "\n".join(" ".join(rng.choice(words, 14)) + "." for _ in range(rng.integers(1, 6)))
+        rows.append((i, text, "en" if i % 3 else "fr", f"s{i % 4}"))
+    copy = rows[5][1]
+    rows += [(100 + i, copy, "en", "s0") for i in range(20)]  # a group of copies
+    rows += [(130, copy + " tail", "en", "s1"), (131, None, None, None), (132, "", "en", "s2"), (133, "  \n\t ", "de", "s2"), (134, "one", "en", None)]
+    rows += [(135, LONG, "en", "s3"), (7, rows[7][1], "en", "s3"), (None, "no id here", "en", "s1"), (136, "É Ünï çödé " * 9, "fr", "s1")]
+    return [(d, t, lang, s, len(t or ""), "k", 1, 2) for d, t, lang, s in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("docs"))
+    spark.createDataFrame(corpus(), SCHEMA).repartition(5).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def empty(docs, spark):
+    return spark.createDataFrame([], docs.schema)
+
+
+def test_empty_tables(empty):
+    learned = {"en": b"the and of", "fr": b"le la de"}
+    assert packing.pack(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.keep_one(empty).count() == 0
+    assert mixing.mix(empty).count() == 0
+    assert sharding.shard(empty).count() == 0
+    assert lines.drop_repeated_lines(empty).count() == 0
+    assert quality.measure(empty).count() == 0
+    assert language.classify(empty, learned).count() == 0
+    assert language.dictionaries(empty) == {}
+    assert sketch.edit_likeness(empty).count() == 0
+    assert pii.detect(empty).count() == 0
+    assert scoring.score(empty, F.lit(False)).count() == 0
+
+
+def test_packing_round_trip(docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    got = packing.pack(docs, capacity=256).collect()
+    want = Counter()
+    for d, text, *_ in corpus():
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        for s in range(0, len(ids), 256):
+            want[(d, s, len(ids[s : s + 256]), zlib.crc32(ids[s : s + 256].tobytes()), len(ids))] += 1
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 256
+    whole = packing.sequences(docs, capacity=256)
+    assert whole.agg(F.sum(F.octet_length("ids"))).first()[0] == 4 * sum(n * k for (_, _, n, _, _), k in want.items())
+
+
+def test_patterns_cover_demand_and_are_tight():
+    demand = {200: 40, 130: 70, 90: 25, 60: 33, 7: 90, 1: 5}
+    found = packing.patterns(demand, 256)
+    for s, n in demand.items():
+        assert sum(k * p.get(s, 0) for k, p in found) >= n
+    assert all(sum(s * c for s, c in p.items()) <= 256 for _, p in found)
+    bins, big = sum(k for k, _ in found), sum(n for s, n in demand.items() if s > 128)  # no two of these share a bin
+    assert big <= bins <= big + 2
+    assert packing.patterns({}, 256) == []
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    grams = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] * bool(w)
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def test_simhash_against_brute_force(docs):
+    rows = corpus()
+    fps = [brute_fingerprint(r[1]) for r in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), 1 << 60), r[0])
+    want = Counter((r[0], fps[i], least.get(find(i))) for i, r in enumerate(rows))
+    got = simhash.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == want
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
+
+
+def test_trie_finds_every_close_pair():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.int64).astype(np.uint64)
+    near = base[:, None] ^ (np.uint64(1) << rng.integers(0, 64, (60, 20)).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, (60, 20)).astype(np.uint64))
+    keys = np.unique(np.concatenate([base, near.ravel()]))
+    one = np.array([0]), np.array([len(keys)])
+    a, b = simhash.trie_pairs(keys, one, one, np.array([0]), 2)
+    got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
+    d = np.bitwise_count(keys[:, None] ^ keys[None, :])
+    assert got == {(i, j) for i, j in zip(*np.nonzero(d <= 2)) if i < j}
+    assert len(a) == len(got)
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, x) for x in range(101, 140)] + [(200, 200), (-5, -9)]
+    rows = components(spark.createDataFrame(edges, "src long, dst long")).collect()
+    label = {r.node: r.root for r in rows}
+    assert len({label[i] for i in range(1, 61)}) == 1
+    assert len({label[i] for i in range(100, 140)}) == 1
+    assert label[-5] == label[-9]
+    assert len({label[1], label[100], label[-5]}) == 3
+    assert 200 not in label
+
+
+def test_sketch_against_exact_sets(docs):
+    rows = sorted(corpus(), key=lambda r: (r[0] is None, -(r[0] or 0)))
+
+    def shingles(t):
+        w = t.split()
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)} - {""}
+
+    got = sketch.edit_likeness(docs).collect()
+    assert len(got) == len(rows)
+    ids = [r[0] for r in rows]
+    by = {r.doc_id: r for r in got}
+    for i, (d, t, *_) in enumerate(rows):
+        if ids.count(d) > 1 or ids.count(rows[(i + 1) % len(rows)][0]) > 1:
+            continue
+        t, n = t or "", rows[(i + 1) % len(rows)][1] or ""
+        half = len(t) // 2
+        e = t[: len(t) - half] + n[:half]
+        assert by[d].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+        assert by[d].n_chars == len(t)
+        for name, other in (("near_edited", e), ("near_next", n)):
+            a, b = shingles(t), shingles(other)
+            assert abs(by[d][name] - (len(a & b) / len(a | b) if a | b else 1)) < 0.2
+    assert len({tuple(r.sketch) for r in got if r.doc_id in range(100, 120)}) == 1
+
+
+def test_sketches_merge(spark):
+    text = " ".join(f"x{i % 400}" for i in range(3000))
+    parts = [text[:6000], text[5000:]]
+    df = spark.createDataFrame([(1, p) for p in parts] + [(2, "a b c d e f")], "g int, text string").withColumn("w", sketch.word_hashes(F.col("text"))).withColumn("sketch", sketch.sketch(F.col("w"), 64))
+    one = {r.g: r.sketch for r in sketch.merged_by(df, "g", k=64).collect()}
+    a, b = df.where("g = 1").select("sketch").collect()
+    both = spark.createDataFrame([(a[0], b[0])], "a array<long>, b array<long>").select(sketch.merge(F.col("a"), F.col("b"), 64).alias("m"), sketch.containment(F.col("a"), F.col("b"), 64).alias("c")).first()
+    assert one[1] == both.m and len(one[2]) == 2 and 0 <= both.c <= 1
+
+
+def test_mixing_meets_targets(docs):
+    docs = docs.where("doc_id is null or doc_id <> 135")  # one document larger than its source's target cannot meet it in whole copies
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len(corpus()) - 1
+    total = sum(len(WORD.findall(r[1] or "")) for r in corpus() if r[0] != 135)
+    sources = {}
+    for r in rows:
+        assert r.size == len(WORD.findall(r.text or "")) and 0 <= r.taken <= 2 * r.size and r.key == "k"
+        sources.setdefault(r.source, []).append(r)
+    weights = dict(zip(sorted(sources, key=lambda s: (s is None, s or "")), (3, 1, 2) * 9))
+    want, cap = dict.fromkeys(sources, 0.0), {s: 2 * sum(r.size for r in x) for s, x in sources.items()}
+    left, open_ = 1.5 * total, set(sources)
+    while left > 1e-9 and open_:
+        share = left / sum(weights[s] for s in open_)
+        left = 0.0
+        for s in list(open_):
+            want[s] += share * weights[s]
+            if want[s] >= cap[s]:
+                left += want[s] - cap[s]
+                want[s] = cap[s]
+                open_.discard(s)
+    for s, x in sources.items():
+        assert x[0].target == pytest.approx(want[s])
+        assert abs(sum(r.taken for r in x) - want[s]) <= max(20, 0.01 * want[s])
+    again = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.taken) for r in rows) == Counter((r.doc_id, r.taken) for r in again)
+    assert mixing.mixed_rows(docs).count() == sum(r.copies for r in rows)
+
+
+def test_sharding_is_even_whole_and_gapless(docs):
+    rows = sharding.shard(docs, shards=5).collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter((r[0], r[1]) for r in corpus())
+    sizes = Counter()
+    slots = {}
+    for r in rows:
+        assert r.size == len((r.text or "").encode()) + 8
+        sizes[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    for s in slots.values():
+        assert sorted(s) == list(range(len(s)))
+    largest = max(r.size for r in rows)
+    assert max(sizes.values()) <= sum(sizes.values()) / 5 + largest
+
+
+def test_sharding_cuts_a_group_larger_than_a_shard(spark):
+    df = spark.createDataFrame([(i, "same text " * 5) for i in range(400)] + [(1000 + i, f"other {i}") for i in range(100)], "doc_id long, text string")
+    sizes = sharding.shard(df, shards=8).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    assert len(sizes) == 8
+    assert max(r.s for r in sizes) - min(r.s for r in sizes) <= 2 * 58
+
+
+def test_base_spans_and_long_runs(spark):
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 * (int(c) > 4)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def ok(k, m):
+        d = re.sub("[^0-9]", "", m)
+        return {"email": True, "ip": k != "ip" or all(int(x) <= 255 for x in m.split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[k]
+
+    texts = [
+        None, "", "a@b.c_d@e.f x@y.z..q a@b a.@-.-.. é@é.com", "1.2.3.4.5.6.7.8 300.1.1.1 001.0255.3.4", "4111 1111 1111 1111 4111-1111-1111-1111 4111  1111",
+        "+1 (23) 4567-890. +1-2 +12345678901234567890", "9" * 60_000, "1 " * 20_000, "a." * 20_000 + "@b.c", "x@" + "a." * 20_000 + "b", "é4111111111111111é +49 30 1234567ü",
+        "call (743) 555-3824 or +1 (743) 555-3824", "plain words only",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.detect(df).select("doc_id", pii.listed(F.col("base")).alias("base"), pii.listed(F.col("spans")).alias("spans")).collect()}
+    for i, t in enumerate(texts):
+        spans = sorted((m.start(), n, m.end(), k) for n, (k, p) in enumerate(patterns.items()) for m in re.finditer(p, t or "") if ok(k, m.group()))
+        assert got[i].base == ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+        assert set(filter(None, got[i].base.split(","))) <= set(got[i].spans.split(","))
+    assert got[12].spans == ""
+    out = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert out[12] == "plain words only" and "4111111111111111" not in out[10] and out[0] is None
+
+
+def test_boosting_learns_and_calibrates():
+    table = [(code, 90.0 if pii.feature(code, "digits") >= 4 else 2.0, 100.0) for code in range(0, 1 << 9, 3)]
+    model = pii.boost(table)
+    least = pii.threshold(table, model, 0.85)
+    for code, pos, _ in table:
+        assert (pii.scored(code, model) >= least) == (pos == 90.0)
+    assert pii.threshold([(0, 0.0, 5.0)], model) == math.inf
+
+
+def test_line_dedup_against_the_rule(docs):
+    rows = lines.drop_repeated_lines(docs, report=True).collect()
+    assert len(rows) == len(corpus())
+    by = {r.doc_id: r for r in rows}
+    assert by[5].doomed == [] and all(by[100 + i].text == "" for i in range(20))
+    assert by[130].text.endswith(" tail") and by[131].text is None and by[135].text == LONG
+    assert all(r.text == t for r in rows for d, t, *_ in corpus() if d == r.doc_id == 7)
+
+
+def test_patience_aligns_blocks():
+    a, b = list("abcdXefg"), list("zabcdYefgq")
+    got = lines.patience(a, b)
+    assert [(a[i], b[j]) for i, j in got] == [(x, x) for x in "abcdefg"]
+    assert lines.longest_increasing([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4])
+    assert lines.patience([], list("ab")) == []
+
+
+def test_quality_against_brute_force(docs):
+    got = {(r.doc_id, r.n_words): r for r in quality.measure(docs).collect()}
+    for d, t, *_ in corpus():
+        w = WORD.findall(t or "")
+        windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = {i + j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(8)}
+        seen, dup = set(), 0
+        for line in (t or "").split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        r = got[(d, len(w))]
+        assert (r.word_chars, r.n_dup_lines, r.n_repeat_words) == (sum(map(len, w)), dup, len(covered))
+        assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
+        assert not (r.kept and r.base_failed)
+
+
+def test_language_accuracy_and_rejection(spark):
+    rng = np.random.default_rng(0)
+    bank = {"en": "the of and to in is that it was for on are with as his they at be this have".split(), "fr": "le la les de des un une et est que qui dans pour pas sur avec plus par ce il".split()}
+    make = lambda k, n: " ".join(rng.choice(bank[k], n))
+    rows = [(i, make(k, 60), k, "s") for i in range(80) for k in [("en", "fr")[i % 2]]]
+    df = spark.createDataFrame(rows + [(200, None, "en", "s"), (201, "123 !!", "en", "s"), (202, make("fr", 8000), None, "s")], "doc_id long, text string, lang string, score string")
+    learned = language.dictionaries(df.where("doc_id < 40"))
+    got = {r.doc_id: r for r in language.classify(df, learned).collect()}
+    assert all(got[i].lang_pred == rows[i][2] and not got[i].rejected for i in range(40, 80))
+    assert got[200].lang_pred == got[201].lang_pred == "und" and got[200].rejected
+    assert got[202].lang_pred == "fr" and 0 <= got[202].score <= 1
+    assert all(r.lang_pred == "und" for r in language.classify(df, {}).collect())
+
+
+def test_scores_against_brute_force(docs):
+    held = F.coalesce(F.col("doc_id") % 5 == 1, F.lit(False))
+    got = scoring.score(docs, held, most=50).collect()
+    token = lambda t: (t or "").encode().lower().split() + [b"\n"]
+    rows = corpus()
+    c = Counter(w for d, t, *_ in rows if d is None or d % 5 != 1 for w in token(t))
+    n, v = sum(c.values()), len(c)
+    want = Counter()
+    for d, t, *_ in rows:
+        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in token(t))
+        want[(d, d is not None and d % 5 == 1, len(token(t)), sum(c[w] > 0 for w in token(t)), n, round(base, 5))] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
+    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+
+
+def test_windows_score_each_prediction_once():
+    lengths = np.array([1, 5, 31, 32, 33, 100, 1000])
+    place, fresh, text = scoring.windows(lengths)
+    base = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    hit = Counter(place[:, 1:][fresh].tolist())
+    assert hit == Counter(b + i for b, n in zip(base.tolist(), lengths.tolist()) for i in range(1, n + 1))
+
+
+def test_attention_is_causal_and_gradients_are_right():
+    class Stats:
+        k = 5
+        row = np.arange(20) % 7
+        classes = np.arange(20) % 5
+
+        def base(self, last, target):
+            return np.zeros((*last.shape, 5), np.float32)
+
+    rng = np.random.default_rng(2)
+    flat = (scoring.fresh(5) + rng.normal(0, 0.1, len(scoring.fresh(5)))).astype(np.float64)
+    ids = rng.integers(0, 20, (2, scoring.WINDOW + 1))
+    stats, weight = Stats(), np.ones((2, scoring.WINDOW))
+    w = scoring.split(flat, 5)
+    one, _ = scoring.forward(w, stats.row[ids[:, :-1]])
+    other = ids.copy()
+    other[:, 20:] = 3
+    two, _ = scoring.forward(w, stats.row[other[:, :-1]])
+    assert np.allclose(one[:, :20], two[:, :20])
+
+    def loss(x):
+        w = scoring.split(x, 5)
+        hidden, _ = scoring.forward(w, stats.row[ids[:, :-1]])
+        logits = hidden @ w["out"]
+        return -(np.take_along_axis(logits, stats.classes[ids[:, 1:]][..., None], 2)[..., 0] - scoring.normalised(logits)).mean()
+
+    parts = scoring.gradient(w, stats, ids, weight)
+    g = np.concatenate([parts[n].ravel() for n in scoring.shapes(5)])
+    for i in rng.choice(np.flatnonzero(np.abs(g) > 1e-6), 12, replace=False):
+        up, down = flat.copy(), flat.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        assert g[i] == pytest.approx((loss(up) - loss(down)) / 2e-5, rel=2e-3, abs=1e-7)
+
+
+def test_word_ids_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    from faultline.llm import tokens
+
+    hard = "It's X's, 'll café... a<|endoftext|> <|ENDOFTEXT|> ... Don't!! É́t, a b, İx. ΣΣ. 12,3 a\x1cb"
+    path = packing.default_vocabulary()
+    got = np.frombuffer(tokens.WordIds(path, "<u4", fold=True).of([hard.encode().split()])[0], "<u4").tolist()
+    assert got == Tokenizer.from_file(path).encode(hard, add_special_tokens=False).ids
+
+
+def test_pipeline_keeps_columns_and_decides(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    path = str(tmp_path / "documents.parquet")
+    docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null").write.parquet(path)
+    out = spark.read.parquet(path)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = out
+        out = stage(spark, before, str(tmp_path))
+        if i < 4:
+            assert out.columns == before.columns
+            out.write.parquet(str(tmp_path / f"stage{i}"))
+            out = spark.read.parquet(str(tmp_path / f"stage{i}"))
+    assert out.count() > 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == out.count()
