@@ -46,7 +46,7 @@ def within_budget(rows: DataFrame, window: str, budget: float) -> DataFrame:
         F.when(acc["spent"] + x["cost"] <= budget, acc["spent"] + x["cost"]).otherwise(acc["spent"]).alias("spent"),
         F.when(acc["spent"] + x["cost"] <= budget, F.concat(acc["chosen"], F.array(x["probe"]))).otherwise(acc["chosen"]).alias("chosen"),
     )
-    t = rows.groupBy(window).agg(ordered.alias("w")).select(window, F.aggregate("w", start, step).alias("r"))
+    t = rows.groupBy(window).agg(ordered.alias("_rows")).select(window, F.aggregate("_rows", start, step).alias("r"))
     return t.select(window, F.col("r.spent").alias("spent"), F.explode("r.chosen").alias("probe"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-METRIC = T.StructType.fromDDL("timestamp double, service string, instance string, node string, metric string, value double, source string, incident_id string")
+METRIC = T.StructType([T.StructField(n, T.DoubleType() if n in ("timestamp", "value") else T.StringType()) for n in ("timestamp", "service", "instance", "node", "metric", "value", "source", "incident_id")])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
