@@ -8,7 +8,7 @@ from itertools import islice
 import numpy as np
 
 #: Entries that a worker keeps from batch to batch; a word beyond it is encoded again in the next batch.
-MEMO_ENTRIES = 900_000
+MEMO_ENTRIES = 600_000
 
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -20,9 +20,9 @@ class WordIds:
 
     The pre-tokenizers of these vocabularies never look across ASCII white space, so the ids
     of a text are those of its words, one after the other. Words of letters only are one
-    pre-token each, so many of them are encoded as one text and cut apart where a token ends
-    (or, with a prefix of one space, begins) a word. With fold, such a word is taken as its
-    ASCII lower case and the punctuation at its end, which is a pre-token of its own.
+    pre-token each, and punctuation at the end of a word is another. So letters are encoded many words
+    at once and cut apart where a token ends (or, with a prefix of one space, begins) a word, and
+    punctuation once for each kind. With fold, ASCII letters are lower-cased first.
     """
 
     def __init__(self, path: str, dtype: str, prefix: str = "", ordinary: bool = False, fold: bool = False):
@@ -37,8 +37,9 @@ class WordIds:
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if prefix else t.endswith("</w>"))]] = True
 
-    def each(self, words: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast([self.prefix + w for w in words], add_special_tokens=False)
+    def each(self, words: list[str], prefix: str | None = None) -> list[bytes]:
+        prefix = self.prefix if prefix is None else prefix
+        coded = self.tokenizer.encode_batch_fast([prefix + w for w in words], add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in coded]
 
     def together(self, words: list[str]) -> list[bytes]:
@@ -65,14 +66,14 @@ class WordIds:
         other: list[bytes] = []
         for w in words:
             low = w.lower() if self.fold else w
-            core = low.rstrip(_MARKS) if self.fold else low
+            core = low.rstrip(_MARKS)
             if (stem := core.decode()).isalpha():
                 simple.append((w, numbers.setdefault(stem, len(numbers)), low[len(core) :]))
             else:
                 other.append(w)
         out = dict(zip(other, self.each([w.decode() for w in other])))
         tails = {t for _, _, t in simple if t}
-        known = dict(zip(tails, self.each([t.decode() for t in tails])))
+        known = dict(zip(tails, self.each([t.decode() for t in tails], "")))
         ids = self.together(list(numbers))
         for w, k, tail in simple:
             out[w] = ids[k] + known[tail] if tail else ids[k]
@@ -80,15 +81,19 @@ class WordIds:
 
     def of(self, texts: list[list[bytes]]) -> list[bytes]:
         """For each text, given as its words: the bytes of its ids."""
-        found = [list(map(self.memo.get, words)) for words in texts]
-        gaps = [[i for i, v in enumerate(ids) if v is None] for ids in found]
-        new = self.looked_up(list({words[i] for words, at in zip(texts, gaps) for i in at}))
-        for words, ids, at in zip(texts, found, gaps):
-            for i in at:
-                ids[i] = new[words[i]]
-        if room := MEMO_ENTRIES - len(self.memo):
+        ids = iter(self.each_of([w for words in texts for w in words]))
+        return [b"".join(islice(ids, len(words))) for words in texts]
+
+    def each_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word of a list."""
+        found = list(map(self.memo.get, words))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        new = self.looked_up(list({words[i] for i in gaps}))
+        for i in gaps:
+            found[i] = new[words[i]]
+        if (room := MEMO_ENTRIES - len(self.memo)) > 0:
             self.memo.update(islice(new.items(), room))
-        return [b"".join(ids) for ids in found]
+        return found
 
 
 def in_parts(texts: list, size: int = 2_000_000):
