@@ -16,6 +16,8 @@ SAMPLE_DOCS = 200
 DICTIONARY_BYTES = 16 * 1024
 #: Texts are compressed in blocks of this many bytes, so that the dictionary matters throughout.
 BLOCK_BYTES = 2048
+#: Compression levels in the order tried: the next one is asked where the margin stays narrow (short texts that one level stores as they are).
+LEVELS = (12, 6, 3)
 #: Least relative saving of the best language over the second.
 MARGIN = 0.02
 
@@ -30,7 +32,7 @@ def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int
     all are taken. The choice uses ids only, in two steps, so no language gathers in one task.
     """
     ids = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    part = ids.withColumn("part", F.pmod("h", F.lit(64)))
+    part = ids.withColumn("part", F.pmod("h", F.lit(8)))
     order = [F.col("h"), F.col("doc_id")]
     some = part.withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("k") <= sample_docs)
     best = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= sample_docs)
@@ -57,7 +59,7 @@ def normal(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).encode()
 
 
-def classify(docs: DataFrame, learned: dict[str, bytes], margin: float = MARGIN, block: int = BLOCK_BYTES, level: int = 12) -> DataFrame:
+def classify(docs: DataFrame, learned: dict[str, bytes], margin: float = MARGIN, block: int = BLOCK_BYTES, levels: tuple = LEVELS) -> DataFrame:
     """docs plus lang_pred, score (0 to 1) and rejected.
 
     Every block of the whole text is compressed with each language's dictionary; the
@@ -76,23 +78,33 @@ def classify(docs: DataFrame, learned: dict[str, bytes], margin: float = MARGIN,
     def run(batches):
         import zstandard
 
-        coders = []
-        for n in names:
-            d = zstandard.ZstdCompressionDict(learned[n], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        def coder(name: str, level: int):
+            d = zstandard.ZstdCompressionDict(learned[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
-            coders.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False))
+            return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)
+
+        coders = [[coder(n, level) for n in names] for level in levels]
+
+        def best_of(parts: list[bytes], with_: list) -> tuple[float, int]:
+            """Relative saving of the smallest total over the second, and whose it is."""
+            sizes = np.array([sum(len(c.compress(p)) for p in parts) for c in with_], float)
+            second = np.partition(sizes, 1)[1]
+            return (second - sizes.min()) / second, int(sizes.argmin())
 
         def judge(text: str | None) -> tuple[str, float, bool]:
             if not text or not names or not any(map(str.isalpha, text)):
                 return "und", 0.0, True
             data = normal(text)
             parts = [data[i : i + block] for i in range(0, len(data), block)]
-            sizes = np.array([sum(len(c.compress(p)) for p in parts) for c in coders], float)
-            best = int(sizes.argmin())
-            if len(sizes) == 1:
-                return names[best], 1.0, False
-            second = np.partition(sizes, 1)[1]
-            saving = (second - sizes[best]) / second
+            if len(names) == 1:
+                return names[0], 1.0, False
+            saving, best = 0.0, 0
+            for with_ in coders:
+                now = best_of(parts, with_)
+                if now[0] > saving:
+                    saving, best = now
+                if saving >= margin:
+                    break
             return names[best], float(saving / (saving + margin)), bool(saving < margin)
 
         for batch in batches:
