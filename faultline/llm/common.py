@@ -31,9 +31,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives executors."""
+def written(df: DataFrame, few: bool = False) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives executors.
+
+    few: a table much smaller than its input, written by an eighth of the shuffle's tasks, so that it is not a heap of tiny files.
+    """
     spark = df.sparkSession
+    if few:
+        df = df.coalesce(max(1, shuffle_width(spark) // 8))
     path = f"{scratch_root(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

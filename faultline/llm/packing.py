@@ -169,7 +169,7 @@ def assign(cut: DataFrame, capacity: int = 2048, unit: int = UNIT) -> DataFrame:
         })
     )
     counts = held.where("class is not null").groupBy("class", "salt").agg(F.count("*").alias("n"))
-    counts = written(counts)
+    counts = written(counts, few=True)
     demand = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}
     ranges: dict[int, list] = {}
     base, used = 0, dict.fromkeys(demand, 0)
