@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     each round, so the rounds grow with the logarithm of the nodes. Nothing is collected;
     edges and maps of each round are written tables. Self loops and nulls are ignored.
     """
-    edges = written(edges.select("src", "dst").where("src <> dst").distinct())
+    edges = written(edges.select("src", "dst").where("src <> dst").distinct(), few=True)
     first, maps = edges, []
     for turn in range(200):
         if edges.isEmpty():
@@ -24,11 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         rank = lambda c: F.xxhash64(F.lit(turn), F.col(c))
         near = both.groupBy("src").agg(F.min(rank("dst")).alias("p"), F.min_by("dst", rank("dst")).alias("near"))
-        m = written(near.select(F.col("src").alias("node"), F.when(F.col("p") < rank("src"), F.col("near")).otherwise(F.col("src")).alias("to")))
+        m = written(near.select(F.col("src").alias("node"), F.when(F.col("p") < rank("src"), F.col("near")).otherwise(F.col("src")).alias("to")), few=True)
         maps.append(m)
         a, b = m.select(F.col("node").alias("src"), F.col("to").alias("a")), m.select(F.col("node").alias("dst"), F.col("to").alias("b"))
         small = edges.join(a, "src").join(b, "dst").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-        done, edges = edges, written(small.where("src <> dst").distinct())
+        done, edges = edges, written(small.where("src <> dst").distinct(), few=True)
         if done is not first:
             drop_written(done)
     if not maps:

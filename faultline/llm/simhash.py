@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, prefix_b
     held = written(fingerprints(docs, shingle))
     groups = written(held.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = near_links(groups.select("fp"), budget, prefix_bits)
-    roots = written(components(links))
+    roots = written(components(links), few=True)
     joined = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     joined = written(joined)
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
