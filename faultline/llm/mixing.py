@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_written, shuffle_width, words, written
+from .common import drop_written, words, written
 
 #: Newton steps at most, and steps in one job.
 ROUNDS, STEPS = 60, 4
@@ -72,12 +72,12 @@ def tilt(cells: DataFrame, goal: DataFrame, cap: float) -> DataFrame:
     """(key, lam, scale): the tilt of each source. A source at its cap or at zero needs none (lam null)."""
     scale = cells.groupBy("key").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale"))
     state = goal.join(scale, "key").select("key", "target", "scale", F.lit(0.0).alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), F.lit(1.0).alias("off"))
-    state = written(state.where((F.col("target") > 0) & (F.col("target") < cap * F.col("source_size") * (1 - 1e-12))))
+    state = written(state.where((F.col("target") > 0) & (F.col("target") < cap * F.col("source_size") * (1 - 1e-12))), few=True)
     for _ in range(ROUNDS // STEPS):
         done = state
         for _ in range(STEPS):
             state = newton(cells, state, cap)
-        state = written(state.coalesce(max(1, shuffle_width(cells.sparkSession) // 16)))
+        state = written(state, few=True)
         drop_written(done)
         if (state.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
             break
@@ -95,18 +95,18 @@ def whole_copies(cells: DataFrame, cap: float) -> DataFrame:
     cells = cells.withColumn("upto", F.floor(upto + 0.5))
     k = F.col("upto") - F.coalesce(F.lag("upto").over(down), F.lit(0))
     most = F.floor(F.lit(cap) * F.col("n"))
-    cells = written(cells.withColumn("k", F.greatest(F.lit(0), F.least(k, most)).cast("long")).drop("upto"))
+    cells = written(cells.withColumn("k", F.greatest(F.lit(0), F.least(k, most)).cast("long")).drop("upto"), few=True)
     for _ in range(ROUNDS):
         off = cells.groupBy("key").agg((F.max("target") - F.sum(F.col("k") * F.col("size"))).alias("off"))
         room = F.when(F.col("off") > 0, most - F.col("k")).otherwise(F.col("k"))
         fits = (F.col("size") > 0) & (F.col("size") <= F.abs("off")) & (room > 0)
         both = cells.join(off, "key")
-        best = written(both.where(fits).groupBy("key").agg(F.max("size").alias("size"), F.max("off").alias("off")))
+        best = written(both.where(fits).groupBy("key").agg(F.max("size").alias("size"), F.max("off").alias("off")), few=True)
         if best.isEmpty():
             break
         gain = F.least(room, F.floor(F.abs("off") / F.col("size"))) * F.signum("off")
         moved = cells.join(best, ["key", "size"], "left").withColumn("k", F.col("k") + F.when(F.col("off").isNull(), 0).otherwise(gain).cast("long"))
-        done, cells = cells, written(moved.select(*cells.columns))
+        done, cells = cells, written(moved.select(*cells.columns), few=True)
         drop_written(done)
         drop_written(best)
     return cells
@@ -127,9 +127,9 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: fl
         *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], source_key(F.col("source")).alias("key"), F.size(words(F.col("text"))).cast("long").alias("size"),
         F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.col("doc_id").alias("order"),
     )
-    counts = written(tagged.groupBy("key", "size", "salt").agg(F.count("*").alias("m")))
-    cells = written(counts.groupBy("key", "size").agg(F.sum("m").alias("n")))
-    goal = written(targets(cells.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap))
+    counts = written(tagged.groupBy("key", "size", "salt").agg(F.count("*").alias("m")), few=True)
+    cells = written(counts.groupBy("key", "size").agg(F.sum("m").alias("n")), few=True)
+    goal = written(targets(cells.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap), few=True)
     tilts = tilt(cells, goal, cap)
     full = F.when(F.col("target") > 0, F.lit(cap)).otherwise(F.lit(0.0))
     x = F.col("size") / F.col("scale")
