@@ -6,8 +6,8 @@ stream of ids a frequent word is its first id, any other word all of its ids. A
 end or go on by the last id, class by the model, id within its class after the class of the
 last. The model's logits are the corpus statistics of what follows the last id (or starts a token) plus a residual
 from one layer of masked self-attention over the window. Corpus statistics cover every training token; the
-attention weights are trained in numpy on a fixed share of the windows of every
-training document, task by task, and averaged by Spark after each round.
+attention weights are trained in numpy on every window of every training document, half of them in each
+of two rounds, task by task, and averaged by Spark after each round.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from .tokens import WordIds, in_parts, word_ids
 
 #: Window length, ids of each window that are context only, width, classes, ids with an embedding of their own.
 WINDOW, OVERLAP, WIDTH, CLASSES, EMBEDDED = 32, 8, 16, 64, 4096
-#: One of so many windows is trained on, in ROUNDS averaged rounds; windows in a step, and their rate.
-EVERY, ROUNDS, BATCH, RATE = 24, 2, 32, 0.01
+#: One of so many windows is trained on (1: all), in ROUNDS averaged rounds; windows in a step, and their rate.
+EVERY, ROUNDS, BATCH, RATE = 1, 2, 32, 0.01
 #: Most words whose counts are handed to every worker; all other words are joined to their counts.
 FREQUENT = 200_000
 SCALE = 16
@@ -338,7 +338,7 @@ def windows(lengths: np.ndarray, choose=None) -> tuple[np.ndarray, np.ndarray, n
     In the stream each text is preceded by one place (the end id) and has its predictions after it.
     Returns (places of WINDOW + 1 ids for each window, fresh, text of each window): place t predicts place t + 1;
     fresh marks the predictions that no earlier window of the text makes. Short windows are filled up at their end.
-    choose, given the text of every window, says which are wanted.
+    choose, given the text of every window and its number within the text, says which are wanted.
     """
     step = WINDOW - OVERLAP
     runs = 1 + np.maximum(0, -(-(lengths - WINDOW) // step))
@@ -346,7 +346,7 @@ def windows(lengths: np.ndarray, choose=None) -> tuple[np.ndarray, np.ndarray, n
     text = np.repeat(np.arange(len(lengths)), runs)
     turn = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
     if choose is not None:
-        wanted = choose(text)
+        wanted = choose(text, turn)
         text, turn = text[wanted], turn[wanted]
     place = (turn * step)[:, None] + np.arange(WINDOW + 1)
     most = lengths[text][:, None]
@@ -392,7 +392,7 @@ def train(held: DataFrame, stats: Statistics, weights: np.ndarray, every: int =
 
 
 def training_batches(batches, turn: int, every: int, rounds: int, opens: np.ndarray, weights: np.ndarray):
-    """(ids, weight) of BATCH windows at a time: of each document every ``every``-th window, starting by its hash.
+    """(ids, weight) of BATCH windows at a time: of each document every ``every``-th of its own windows, starting by its hash.
 
     The first id of a token weighs 1, a later one as much as its word is left to the spelling: little for frequent words.
     """
@@ -403,7 +403,7 @@ def training_batches(batches, turn: int, every: int, rounds: int, opens: np.ndar
             stream, lengths = streamed(blobs[lo : lo + 200])
             heavy = spelled_weight(stream, lengths, levels[lo : lo + 200], opens, weights)
             start = np.array(hashes[lo : lo + 200]) % (every * rounds)
-            place, fresh_, _ = windows(lengths, lambda text, start=start: (np.arange(len(text)) + start[text]) % (every * rounds) == turn * every)
+            place, fresh_, _ = windows(lengths, lambda text, number, start=start: (number + start[text]) % (every * rounds) == turn * every)
             held.append(stream[place])
             marks.append(fresh_ * heavy[place[:, 1:]])
             size += len(place)

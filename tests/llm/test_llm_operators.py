@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -346,6 +347,21 @@ def test_windows_score_each_prediction_once():
     assert hit == Counter(b + i for b, n in zip(base.tolist(), lengths.tolist()) for i in range(1, n + 1))
 
 
+def test_training_takes_every_window_of_every_document():
+    rng = np.random.default_rng(5)
+    lengths = [3, 40, 900, 31, 0, 200, 75]
+    blobs = [rng.integers(1, 1000, n).astype("<u2").tobytes() for n in lengths]
+    levels = [np.zeros(n + 1, "<u2").tobytes() for n in lengths]
+    opens = np.ones(scoring.SIZE, bool)
+    batch = pa.RecordBatch.from_arrays([pa.array([zlib.crc32(b) for b in blobs]), pa.array(blobs, pa.binary()), pa.array(levels, pa.binary())], names=["h", "ids", "levels"])
+    got = Counter()
+    for turn in range(scoring.ROUNDS):
+        for ids, _ in scoring.training_batches([batch], turn, scoring.EVERY, scoring.ROUNDS, opens, np.ones(1, np.float32)):
+            got.update(row.tobytes() for row in ids)
+    stream, n = scoring.streamed(blobs)
+    assert got == Counter(row.tobytes() for row in stream[scoring.windows(n)[0]])
+
+
 def test_attention_is_causal_and_gradients_are_right():
     class Stats:
         k = 5
