@@ -1,8 +1,8 @@
 """Scoring texts with a causal self-attention model on subword ids.
 
 A token is drawn in steps: the class of its first id, by the model; then, within that class, the
-token itself as a frequent word by its discounted corpus share, or a spelling of any other word. In the
-stream of ids a frequent word is its first id, any other word all of its ids. A spelling goes id by id:
+token itself as a training word by its discounted corpus share, or a spelling of any other word. In the
+stream of ids every word is all of its ids. A spelling goes id by id:
 end or go on by the last id, class by the model, id within its class after the class of the
 last. The model's logits are the corpus statistics of what follows the last id (or starts a token) plus a residual
 from one layer of masked self-attention over the window. Corpus statistics cover every training token; the
@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .tokens import WordIds, in_parts, word_ids
+from .common import drop_written, written
+from .tokens import in_parts, word_ids
 
 #: Window length, ids of each window that are context only, width, classes, ids with an embedding of their own.
 WINDOW, OVERLAP, WIDTH, CLASSES, EMBEDDED = 32, 8, 16, 64, 4096
 #: One of so many windows is trained on (1: all), in ROUNDS averaged rounds; windows in a step, and their rate.
 EVERY, ROUNDS, BATCH, RATE = 1, 2, 32, 0.01
-#: Most words whose counts are handed to every worker; all other words are joined to their counts.
+#: Most words whose counts are handed to every worker, as a cache; all other words are joined to their counts.
 FREQUENT = 200_000
 SCALE = 16
 END = b"\n"  # no word holds it
@@ -53,20 +53,20 @@ _SEEDED: dict[str, object] = {}
 
 
 def seeded(tag: str, broadcast):
-    """This worker's encoder, and of the frequent words: place by word, first ids, log counts and levels by place (last: any other word)."""
+    """This worker's encoder, and of the frequent words: place by word, all ids and where each word's start, log counts and levels by place (last: any other word)."""
     if _SEEDED.get("of") != tag:
         table = broadcast.value
         logs = np.log10(np.array([c for c, _, _ in table.values()] + [1.0]) + 0.5)
         levels = np.array([x for _, x, _ in table.values()] + [0], "<u2")
-        firsts = np.frombuffer(b"".join(first for _, _, first in table.values()) + b"\0\0", "<u2")
-        coding = WordIds(vocabulary_path(), "<u2", prefix=" ", ordinary=True)
+        pool = np.frombuffer(b"".join(ids for _, _, ids in table.values()), "<u2")
+        starts = np.concatenate([[0], np.cumsum([len(ids) // 2 for _, _, ids in table.values()], dtype=np.int64)])
         _SEEDED.clear()
-        _SEEDED.update(of=tag, held=(coding, {w: i for i, w in enumerate(table)}, firsts, logs, levels))
+        _SEEDED.update(of=tag, held=(coder(), {w: i for i, w in enumerate(table)}, pool, starts, logs, levels))
     return _SEEDED["held"]
 
 
-def prepared(texts: list, coding, places: dict, firsts: np.ndarray, logs: np.ndarray, levels: np.ndarray) -> list[list]:
-    """Columns of each text: n_tokens, n_often, often_sum, rare words, their counts, levels, ids, hash."""
+def prepared(texts: list, coding, places: dict, pool: np.ndarray, pool_starts: np.ndarray, logs: np.ndarray, levels: np.ndarray) -> list[list]:
+    """Columns of each text: n_tokens, n_often, often_sum, rare words, their counts, their places (in the order of the zeros of levels), levels, ids, hash."""
     found = [words_of(t) for t in texts]
     n = np.array([len(w) for w in found], np.int64)
     flat = list(chain.from_iterable(found))
@@ -75,31 +75,43 @@ def prepared(texts: list, coding, places: dict, firsts: np.ndarray, logs: np.nda
     rare_at = np.flatnonzero(~often)
     rare_words = [flat[i] for i in rare_at.tolist()]
     blobs = coding.each_of(rare_words)
-    lengths = np.ones(len(flat), np.int64)
-    lengths[rare_at] = rare_lengths = np.array([len(b) // 2 for b in blobs], np.int64)
+    rare_lengths = np.array([len(b) // 2 for b in blobs], np.int64)
+    lengths, source = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64)
+    lengths[often], source[often] = np.diff(pool_starts)[at[often]], pool_starts[at[often]]
+    lengths[rare_at], source[rare_at] = rare_lengths, len(pool) + np.cumsum(rare_lengths) - rare_lengths
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    ids = np.empty(starts[-1], "<u2")
-    ids[starts[:-1][often]] = firsts[at[often]]
-    within = np.arange(rare_lengths.sum()) - np.repeat(np.cumsum(rare_lengths) - rare_lengths, rare_lengths)
-    ids[np.repeat(starts[rare_at], rare_lengths) + within] = np.frombuffer(b"".join(blobs), "<u2")
+    ids = np.concatenate([pool, np.frombuffer(b"".join(blobs), "<u2")])[np.arange(starts[-1]) + np.repeat(source - starts[:-1], lengths)]
     first = np.concatenate([[0], np.cumsum(n)])
     end = places.get(END, -1)
     sums = np.bincount(doc[often], logs[at[often]], len(texts)) + (logs[end] if end >= 0 else 0.0)
     counts = np.bincount(doc[often], minlength=len(texts)) + (end >= 0)
     level = levels[at]
     cut = np.searchsorted(doc[rare_at], np.arange(len(texts) + 1)).tolist()
-    out: list[list] = [[] for _ in range(8)]
+    out: list[list] = [[] for _ in range(9)]
     for i in range(len(texts)):
-        rare = Counter(rare_words[cut[i] : cut[i + 1]])
-        if end < 0:
-            rare[END] += 1
+        rare: dict[bytes, int] = {}
+        which = np.array([rare.setdefault(w, len(rare)) for w in rare_words[cut[i] : cut[i + 1]] + [END] * (end < 0)], "<u4")
         blob = ids[starts[first[i]] : starts[first[i + 1]]].tobytes()
-        row = (n[i] + 1, counts[i], sums[i], list(rare), list(rare.values()), level[first[i] : first[i + 1]].tobytes() + levels[end].tobytes(), blob, zlib.crc32(blob))
+        row = (
+            n[i] + 1, counts[i], sums[i], list(rare), np.bincount(which, minlength=len(rare)).tolist(), which.tobytes(),
+            level[first[i] : first[i + 1]].tobytes() + levels[end].tobytes(), blob, zlib.crc32(blob),
+        )
         for column, value in zip(out, row):
             column.append(value)
     return out
 
 
+def completed(levels: bytes, which: bytes, found: list[int] | None) -> bytes:
+    """Levels with those of the joined words in place of the zeros; found: place of a rare word << 16 | its level."""
+    if not found:
+        return levels
+    out, at, codes = np.frombuffer(levels, "<u2").copy(), np.frombuffer(which, "<u4"), np.array(found, np.int64)
+    of = np.zeros(max(at.max(), (codes >> 16).max()) + 1, "<u2")
+    of[codes >> 16] = codes & 0xFFFF
+    out[out == 0] = of[at]
+    return out.tobytes()
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -172,7 +184,7 @@ def unigram_cells(buckets: int):
     return cells
 
 
-def follower_cells(classes: np.ndarray, k: int, shares: np.ndarray, least: float):
+def follower_cells(classes: np.ndarray, k: int, shares: np.ndarray):
     """Cells over distinct tokens, in four blocks: (id, class of the next id) within words and (id, k) at their ends, with
     (SIZE, class of the first id) by token count; (class of the last id, id), class k at starts; the shares by class of the first id."""
 
@@ -189,7 +201,7 @@ def follower_cells(classes: np.ndarray, k: int, shares: np.ndarray, least: float
             second + k * SIZE + ids[first], SIZE * (k + 1) + classes[ids[first]], third + classes[ids[first]],
         ]
         once = np.ones(sum(map(len, at[:4])))
-        return np.concatenate(at), np.concatenate([once, c.astype(float), np.where(level >= least, shares[level], 0.0)])
+        return np.concatenate(at), np.concatenate([once, c.astype(float), shares[level]])
 
     return cells
 
@@ -224,10 +236,10 @@ def clustered(cells: np.ndarray, buckets: int, k: int = CLASSES, turns: int = 12
 class Statistics:
     """What the model takes from the training tokens, bounded by the vocabulary of ids."""
 
-    def __init__(self, counts: DataFrame, total: int, shares: np.ndarray, least: float, k: int = CLASSES, buckets: int = 16):
+    def __init__(self, counts: DataFrame, total: int, shares: np.ndarray, k: int = CLASSES, buckets: int = 16):
         self.k = k
         count, self.classes = clustered(summed(counts, unigram_cells(buckets)), buckets, k)
-        pairs = summed(counts, follower_cells(self.classes, k, shares, least))
+        pairs = summed(counts, follower_cells(self.classes, k, shares))
         cells = np.zeros((SIZE + 1) * (k + 1) + (k + 1) * SIZE + k)
         cells[pairs[:, 0].astype(np.int64)] = pairs[:, 1]
         table = cells[: (SIZE + 1) * (k + 1)].reshape(SIZE + 1, k + 1)
@@ -461,14 +473,18 @@ def log_probabilities(blobs: list[bytes], levels: list[bytes], stats: Statistics
 # --- the operator ----------------------------------------------------------------------------------------------
 
 
-def frequent(counts: DataFrame, total: int, most: int) -> tuple[dict[bytes, tuple[int, int, bytes]], np.ndarray, np.ndarray, float]:
-    """The words of highest count, at most ``most``, as {word: (count, level, first id)}; by level their share of the training
-    tokens and the weight of their spelling; and the least level among them.
+def level_of(c: str):
+    return F.floor(F.log2(c) * SCALE).cast("int") + 1
+
+
+def frequent(counts: DataFrame, total: int, most: int) -> tuple[dict[bytes, tuple[int, int, bytes]], np.ndarray, np.ndarray]:
+    """The words of highest count, at most ``most``, as {word: (count, level, ids)}; and by level, of any training word, its
+    share of the training tokens and the weight of its spelling.
 
     Levels are whole steps of a fine scale of counts, so the table behind the choice is bounded by the scale. Shares are
     discounted by n1 / (n1 + 2 n2), n1 and n2 words of count 1 and 2.
     """
-    level = F.floor(F.log2("c") * SCALE).cast("int") + 1
+    level = level_of("c")
     steps = {r["l"]: r["n"] for r in counts.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()}
     one, two = steps.get(1, 0), steps.get(SCALE + 1, 0)
     discount = one / (one + 2 * two) if one else 0.5
@@ -484,9 +500,9 @@ def frequent(counts: DataFrame, total: int, most: int) -> tuple[dict[bytes, tupl
     weights = np.minimum(1, discount / np.maximum(floors, 1)).astype(np.float32)
     weights[0] = 1
     if least is None:
-        return {}, shares, weights, math.inf
-    rows = counts.where(level >= least).select("token", "c", level.alias("l"), F.substring("ids", 1, 2).alias("first")).collect()
-    return {bytes(r["token"]): (r["c"], r["l"], bytes(r["first"])) for r in rows}, shares, weights, least
+        return {}, shares, weights
+    rows = counts.where(level >= least).select("token", "c", level.alias("l"), "ids").collect()
+    return {bytes(r["token"]): (r["c"], r["l"], bytes(r["ids"])) for r in rows}, shares, weights
 
 
 def score(docs: DataFrame, held_out, classes: int = CLASSES, every: int = EVERY, rounds: int = ROUNDS, most: int = FREQUENT) -> DataFrame:
@@ -502,22 +518,40 @@ def score(docs: DataFrame, held_out, classes: int = CLASSES, every: int = EVERY,
     counts = token_counts(docs.where(~F.col("held_out")))
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
     n, v = n or 0, v or 0
-    known, shares, heavy, least = frequent(counts, n, most)
+    known, shares, heavy = frequent(counts, n, most)
     often, tag = spark.sparkContext.broadcast(known), uuid.uuid4().hex
 
     def prepare(batches):
         helpers = seeded(tag, often)
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
-        names = ["doc_id", "held_out", "n_tokens", "n_often", "often_sum", "rare", "times", "levels", "ids", "h"]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        names = ["doc_id", "held_out", "n_tokens", "n_often", "often_sum", "rare", "times", "which", "levels", "ids", "h"]
         for batch in batches:
             ids, texts, held = (c.to_pylist() for c in batch.columns)
             for lo, hi in in_parts(texts):
                 values = [ids[lo:hi], held[lo:hi], *prepared(texts[lo:hi], *helpers)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, types)], names=names)
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_often long, often_sum double, rare array<binary>, times array<long>, levels binary, ids binary, h long"
-    held = written(docs.select("doc_id", "text", "held_out").mapInArrow(prepare, schema).withColumn("row", F.monotonically_increasing_id()))
-    stats = Statistics(counts, n, shares, least, classes)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_often long, often_sum double, rare array<binary>, times array<long>, which binary, levels binary, ids binary, h long"
+    first = written(docs.select("doc_id", "text", "held_out").mapInArrow(prepare, schema).withColumn("row", F.monotonically_increasing_id()))
+    rare = first.select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("at", "x")).select("row", "at", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
+    more = rare.join(counts.select("token", "c"), "token", "left").groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_rare"),
+        F.collect_list(F.when(F.col("c") > 0, F.shiftleft(F.col("at").cast("long"), 16) + level_of("c"))).alias("found"),
+    )
+    every_token = math.log10(n + 0.5 * (v + 1))
+    joined = first.join(more, "row", "left").select(
+        "levels", "which", "found", "ids", "h", "doc_id", "held_out", "n_tokens", (F.col("n_often") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
+        (F.col("often_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(every_token)).alias("base_score"),
+    )
+
+    def complete(batches):
+        for batch in batches:
+            levels = [completed(*x) for x in zip(*(c.to_pylist() for c in batch.columns[:3]))]
+            yield pa.RecordBatch.from_arrays([pa.array(levels, pa.binary()), *batch.columns[3:]], names=["levels", "ids", "h", "doc_id", "held_out", "n_tokens", "n_known", "base_score"])
+
+    held = written(joined.mapInArrow(complete, "levels binary, ids binary, h long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"))
+    drop_written(first)
+    stats = Statistics(counts, n, shares, classes)
     weights = train(held.where(~F.col("held_out")), stats, heavy, every, rounds)
     model = spark.sparkContext.broadcast((stats, weights))
 
@@ -525,20 +559,11 @@ def score(docs: DataFrame, held_out, classes: int = CLASSES, every: int = EVERY,
         stats, flat = model.value
         w = split(flat, stats.k)
         for batch in batches:
-            blobs, levels = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            blobs, levels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             got: list[float] = []
             for lo in range(0, len(blobs), 100):
                 got += (log_probabilities(blobs[lo : lo + 100], levels[lo : lo + 100], stats, w, shares) / math.log(10)).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64()), *batch.columns[3:]], names=["row", "score", "doc_id", "held_out", "n_tokens", "n_often", "often_sum"])
-
-    scores = held.select("row", "ids", "levels", "doc_id", "held_out", "n_tokens", "n_often", "often_sum").mapInArrow(judge, "row long, score double, doc_id long, held_out boolean, n_tokens long, n_often long, often_sum double")
-    rare = held.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
-    joined = rare.join(counts.select("token", "c"), "token", "left")
-    more = joined.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_rare")
-    )
-    every_token = math.log10(n + 0.5 * (v + 1))
-    return scores.join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_often") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("often_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(every_token)).alias("base_score"), "score",
-    )
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(got, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    scores = held.select("ids", "levels", "doc_id", "held_out", "n_tokens", "n_known", "base_score").mapInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -339,6 +339,22 @@ def test_scores_against_brute_force(docs):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_the_cache_of_frequent_words_decides_nothing(docs):
+    held = F.coalesce(F.col("doc_id") % 5 == 1, F.lit(False))
+    seen = [
+        Counter((r.doc_id, r.n_tokens, r.n_known, round(r.score, 4)) for r in scoring.score(docs.coalesce(1), held, classes=8, rounds=0, most=most).collect())
+        for most in (0, 50, 100_000)
+    ]
+    assert seen[0] == seen[1] == seen[2]
+    text = "unbelievably antidisestablishmentarianism xqzzt"
+    words = scoring.words_of(text)
+    ids = scoring.coder().each_of(words)
+    pool, starts = np.frombuffer(ids[0], "<u2"), np.array([0, len(ids[0]) // 2])
+    row = [c[0] for c in scoring.prepared([text], scoring.coder(), {words[0]: 0}, pool, starts, np.zeros(2), np.array([5, 0], "<u2"))]
+    assert row[7] == b"".join(ids)
+    assert np.frombuffer(scoring.completed(row[6], row[5], [(0 << 16) | 7, (2 << 16) | 9]), "<u2").tolist() == [5, 7, 0, 9]
+
+
 def test_windows_score_each_prediction_once():
     lengths = np.array([1, 5, 31, 32, 33, 100, 1000])
     place, fresh, text = scoring.windows(lengths)
