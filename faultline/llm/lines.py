@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from .common import written
 #: Words that a common block must hold to be deleted; chance-equal short lines stay.
 MIN_BLOCK_WORDS = 10
 
+_RUNS = "key long, version long, run long, lines array<long>, words array<int>, ords array<int>, at array<int>"
 _LINES = "key long, version long, line long, n_words int, ords array<int>, at array<int>"
 
 
@@ -52,6 +54,44 @@ def line_table(keyed: DataFrame) -> DataFrame:
     return keyed.select("key", "version", "text").mapInArrow(split, _LINES)
 
 
+def runs_of(rows: list[dict], min_words: int) -> dict[tuple, list[list[tuple]]]:
+    """{line hashes: places} of the runs of two lines or more that just reach ``min_words`` from their first line on or back
+    from their last, over shared lines that follow each other. Each line of a longer block is in one of its runs or long enough alone."""
+    places = sorted((o, r["line"], r["n_words"], k) for r in rows for o, k in zip(r["ords"], r["at"]))
+    sums = [0, *accumulate(x[2] for x in places)]
+    edge = [0, *(i for i in range(1, len(places)) if places[i][0] != places[i - 1][0] + 1), len(places)]
+    spans = set()
+    for lo, hi in zip(edge, edge[1:]):
+        ahead = [(i, bisect_left(sums, sums[i] + min_words)) for i in range(lo, hi)]
+        back = [(bisect_right(sums, sums[i + 1] - min_words) - 1, i + 1) for i in range(lo, hi)]
+        spans.update((a, b) for a, b in ahead + back if lo <= a and b <= hi)
+    out: dict[tuple, list[list[tuple]]] = {}
+    for a, b in sorted(spans):
+        if b - a > 1:
+            out.setdefault(tuple(x[1] for x in places[a:b]), []).append(places[a:b])
+    return out
+
+
+def run_table(shared: DataFrame, min_words: int) -> DataFrame:
+    """The runs of each document's shared lines, with their lines, first places among lines with words, and places of all their lines."""
+
+    def build(batches):
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            out: list[tuple] = []
+            for key, version, rows in zip(*(c.to_pylist() for c in batch.columns)):
+                for held, places in runs_of(rows, min_words).items():
+                    h = xxh64_intdigest(b"".join(x.to_bytes(8, "little", signed=True) for x in held))
+                    out.append((key, version, h - (1 << 64) if h >> 63 else h, held, [x[2] for x in places[0]], [p[0][0] for p in places], [x[3] for p in places for x in p]))
+            types = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.list_(pa.int32())] * 3
+            cols = list(zip(*out)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=[c.split()[0] for c in _RUNS.split(", ")])
+
+    rows = shared.groupBy("key", "version").agg(F.collect_set(F.struct("line", "n_words", "ords", "at")).alias("rows"))
+    return rows.mapInArrow(build, _RUNS)
+
+
 def longest_increasing(values: list[int]) -> list[int]:
     """Positions of a longest strictly increasing run of picks."""
     tails: list[int] = []
@@ -100,17 +140,22 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def doomed_lines(rows: list[dict], min_words: int) -> list[int]:
-    """Line numbers to delete from a document, given its lines shared with earlier owners."""
+    """Line numbers to delete from a document, given its lines, and runs of lines, shared with earlier owners."""
     out: set[int] = set()
     owners: dict[int, list[dict]] = {}
     for r in rows:
         owners.setdefault(r["owner"], []).append(r)
     for shared in owners.values():
-        if sum(r["n_words"] * len(r["at"]) for r in shared) < min_words:
+        info, theirs, own = {}, set(), {}
+        for r in shared:
+            held = r["lines"]
+            info.update(zip(held, r["words"]))
+            theirs.update((o + k, x) for o in r["owner_ords"] for k, x in enumerate(held))
+            own.update((o + k, (x, r["at"][i * len(held) + k])) for i, o in enumerate(r["ords"]) for k, x in enumerate(held))
+        if sum(info[x] for x, _ in own.values()) < min_words:
             continue
-        info = {r["line"]: r["n_words"] for r in shared}
-        a = sorted((o, r["line"]) for r in shared for o in r["owner_ords"])
-        b = sorted((o, r["line"], k) for r in shared for o, k in zip(r["ords"], r["at"]))
+        a = sorted(theirs)
+        b = sorted((o, x, k) for o, (x, k) in own.items())
         block: list[int] = []
         words, last = 0, (-2, -2)
         for i, j in [*patience([x[1] for x in a], [x[1] for x in b]), (-1, -1)]:
@@ -129,17 +174,24 @@ def doomed_lines(rows: list[dict], min_words: int) -> list[int]:
 def repeated_lines(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(key, version, doomed array<int>): for each document with any, the numbers of its lines to delete.
 
-    A line hash held by two or more documents is owned by the earliest; every later
-    document is paired with the owners of its lines. So each shared line is a row once,
-    however many documents hold it, and a document is aligned with as many others as
-    its own lines name.
+    A line hash held by two or more documents is owned by the earliest; so is a run of shared
+    lines that follow each other and just reach ``min_words``. Every later document is paired with the owners of
+    its lines and of its runs, so each repeated block meets documents that hold its runs whole. Each shared line or run
+    is a row once, however many documents hold it. Repeated rows of one key and version count once.
     """
     lines = written(line_table(_keyed(docs)))
     owners = written(lines.groupBy("line").agg(F.min("key").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n"), few=True)
     shared = written(lines.join(owners, "line"))
-    own = shared.where("key = owner").groupBy("line").agg(F.min_by("ords", "version").alias("owner_ords"))
-    later = shared.where("key <> owner").join(own, "line")
-    gathered = later.groupBy("key", "version").agg(F.collect_list(F.struct("line", "n_words", "ords", "at", "owner", "owner_ords")).alias("rows"))
+    runs = written(run_table(shared, min_words))
+    run_owners = written(runs.groupBy("run").agg(F.min("key").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n"), few=True)
+    shared_runs = runs.join(run_owners, "run")
+
+    def later(rows: DataFrame, of: str, *columns) -> DataFrame:
+        own = rows.where("key = owner").groupBy(of).agg(F.min_by("ords", "version").alias("owner_ords"))
+        return rows.where("key <> owner").join(own, of).select("key", "version", F.struct(*columns, "ords", "at", "owner", "owner_ords").alias("row"))
+
+    both = later(shared, "line", F.array("line").alias("lines"), F.array("n_words").alias("words")).unionByName(later(shared_runs, "run", "lines", "words"))
+    gathered = both.groupBy("key", "version").agg(F.collect_set("row").alias("rows"))
 
     def align(batches):
         for batch in batches:

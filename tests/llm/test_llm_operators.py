@@ -285,6 +285,24 @@ def test_line_dedup_against_the_rule(docs):
     assert all(r.text == t for r in rows for d, t, *_ in corpus() if d == r.doc_id == 7)
 
 
+def test_line_dedup_meets_the_holder_of_each_block(spark):
+    nine = lambda x: " ".join(f"{x}{i}" for i in range(9))
+    block = [nine(c) for c in "abcdef"]
+    rows = [
+        (1, "\n".join(x for i, c in enumerate(block[::2]) for x in (nine(f"A{i}"), c, nine(f"AA{i}")))),
+        (2, "\n".join([nine("B"), *block, nine("BB")])),
+        (3, "\n".join([nine("C"), *block, nine("CC")])),
+        (4, "one two three four five six seven eight nine ten eleven twelve"),
+        (5, "one two three four five six seven eight nine ten eleven twelve\nand a tail\nown words of five"),
+        (6, "one two three four five six seven eight nine ten eleven twelve\nand a tail\nother words of six"),
+    ]
+    rows += [rows[2]] * 3 + [rows[1]] * 2  # repeated rows are one document
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, tuple(r.doomed)) for r in lines.drop_repeated_lines(df, report=True).collect())
+    want = {1: (), 2: (), 3: (1, 2, 3, 4, 5, 6), 4: (), 5: (0,), 6: (0, 1)}
+    assert got == sorted((d, want[d]) for d, _ in rows)
+
+
 def test_patience_aligns_blocks():
     a, b = list("abcdXefg"), list("zabcdYefgq")
     got = lines.patience(a, b)
