@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.llm import language, lines, mixing, packing, pii, quality, scoring, sharding, simhash, sketch
+from faultline.llm import language, lines, mixing, near, packing, pii, quality, scoring, sharding, simhash, sketch
 from faultline.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -131,6 +131,49 @@ def test_simhash_against_brute_force(docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
 
 
+def stage_near_dedup(spark, rows):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["near dedup"]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in stage(spark, df, "").collect())
+
+
+def test_near_dedup_stage_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 300)))]
+        rows.append((10 * i, " ".join(words)))
+        for j in range(1, 4):  # copies with a few words edited, on both sides of the threshold
+            edited = list(words)
+            for at in rng.choice(len(words), j * len(words) // 70 + 1, replace=False):
+                edited[at] = f"new{i}x{j}x{at}"
+            rows.append((10 * i + j, " ".join(edited)))
+    grams = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = [(False, *rows[i]) for i in range(len(rows)) if find(i) == i]
+    assert 30 < len(want) < len(rows)
+    assert stage_near_dedup(spark, rows) == want
+
+
+def test_near_dedup_stage_keeps_rows_without_or_with_repeated_ids(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (1, text("c")), (1, text("d")), (2, text("c")), (None, text("d")), (3, text("e")), (3, text("e")), (4, ""), (5, " ")]
+    got = stage_near_dedup(spark, rows)
+    assert [x[1] for x in got if not x[2]] == [4]
+    assert [x for x in got if x[2]] == sorted([(False, 1, text("c")), (False, 1, text("d")), (False, 3, text("e")), (True, 0, text("a")), (True, 0, text("b"))])
+
+
 def test_trie_finds_every_close_pair():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 60, dtype=np.int64).astype(np.uint64)
