@@ -1,20 +1,20 @@
 """Scoring texts with a causal self-attention model on subword ids.
 
-A token is drawn in steps: the class of its first id, by the model; then, within that class, the
-token itself as a training word by its discounted corpus share, or a spelling of any other word. In the
-stream of ids every word is all of its ids. A spelling goes id by id:
-end or go on by the last id, class by the model, id within its class after the class of the
-last. The model's logits are the corpus statistics of what follows the last id (or starts a token) plus a residual
-from one layer of masked self-attention over the window. Corpus statistics cover every training token; the
-attention weights are trained in numpy on every window of every training document, half of them in each
-of two rounds, task by task, and averaged by Spark after each round.
+A token is a word, or the end of a text. The model reads the tokens before it, each as the sum of the evidence
+vectors of its subword ids, in overlapping windows under a causal mask, and gates a few experts, which are
+distributions over tokens. An expert gives a training word its discounted corpus share, weighed by how likely the
+word's ids make the expert, and any word a spelling, id by id: a first id, then end or go on by the last id, class by the last id, id
+within its class after the class of the last. A second, hard head attends to the latest place of the window where
+the last tokens stood before, and expects what followed there as often as that came true in training. Experts come from which ids stand near which
+others in all training texts (a mixture fitted to the table of ids by hashed neighbours), spellings from all distinct training words; the
+attention weights are trained in numpy on every window of every training document, half of them in each of two
+rounds, task by task, and averaged by Spark after each round.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-import zlib
 from collections import Counter
 from itertools import chain, repeat
 
@@ -26,10 +26,14 @@ from pyspark.sql import functions as F
 from .common import drop_written, written
 from .tokens import in_parts, word_ids
 
-#: Window length, ids of each window that are context only, width, classes, ids with an embedding of their own.
-WINDOW, OVERLAP, WIDTH, CLASSES, EMBEDDED = 32, 8, 16, 64, 4096
-#: One of so many windows is trained on (1: all), in ROUNDS averaged rounds; windows in a step, and their rate.
-EVERY, ROUNDS, BATCH, RATE = 1, 2, 32, 0.01
+#: Tokens of a window, of these context only, width of the attention, experts, classes of ids in spellings.
+WINDOW, OVERLAP, WIDTH, EXPERTS, CLASSES = 32, 8, 16, 8, 64
+#: Most tokens that a copy is recognised by.
+COPY = 3
+#: Ids are described by the tokens up to REACH places away, whose first ids are hashed into BUCKETS.
+REACH, BUCKETS = 4, 64
+#: Averaged rounds of training, each over its share of all windows; windows in a step, and the rate of the steps.
+ROUNDS, BATCH, RATE = 2, 64, 0.02
 #: Most words whose counts are handed to every worker, as a cache; all other words are joined to their counts.
 FREQUENT = 200_000
 SCALE = 16
@@ -55,18 +59,15 @@ _SEEDED: dict[str, object] = {}
 def seeded(tag: str, broadcast):
     """This worker's encoder, and of the frequent words: place by word, all ids and where each word's start, log counts and levels by place (last: any other word)."""
     if _SEEDED.get("of") != tag:
-        table = broadcast.value
-        logs = np.log10(np.array([c for c, _, _ in table.values()] + [1.0]) + 0.5)
-        levels = np.array([x for _, x, _ in table.values()] + [0], "<u2")
-        pool = np.frombuffer(b"".join(ids for _, _, ids in table.values()), "<u2")
-        starts = np.concatenate([[0], np.cumsum([len(ids) // 2 for _, _, ids in table.values()], dtype=np.int64)])
         _SEEDED.clear()
-        _SEEDED.update(of=tag, held=(coder(), {w: i for i, w in enumerate(table)}, pool, starts, logs, levels))
+        tokens, counts, levels, pool, starts = broadcast.value
+        places = {w: i for i, w in enumerate(tokens)}
+        _SEEDED.update(of=tag, held=(coder(), places, pool, starts, np.log10(np.append(counts, 1) + 0.5), np.append(levels, 0).astype("<u2")))
     return _SEEDED["held"]
 
 
 def prepared(texts: list, coding, places: dict, pool: np.ndarray, pool_starts: np.ndarray, logs: np.ndarray, levels: np.ndarray) -> list[list]:
-    """Columns of each text: n_tokens, n_often, often_sum, rare words, their counts, their places (in the order of the zeros of levels), levels, ids, hash."""
+    """Columns of each text: n_tokens, n_often, often_sum, rare words, their counts, their places (in the order of the zeros of levels), levels, ids."""
     found = [words_of(t) for t in texts]
     n = np.array([len(w) for w in found], np.int64)
     flat = list(chain.from_iterable(found))
@@ -74,7 +75,8 @@ def prepared(texts: list, coding, places: dict, pool: np.ndarray, pool_starts: n
     doc, often = np.repeat(np.arange(len(texts)), n), at >= 0
     rare_at = np.flatnonzero(~often)
     rare_words = [flat[i] for i in rare_at.tolist()]
-    blobs = coding.each_of(rare_words)
+    new = coding.looked_up(list(set(rare_words)))
+    blobs = [new[w] for w in rare_words]
     rare_lengths = np.array([len(b) // 2 for b in blobs], np.int64)
     lengths, source = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64)
     lengths[often], source[often] = np.diff(pool_starts)[at[often]], pool_starts[at[often]]
@@ -87,14 +89,14 @@ def prepared(texts: list, coding, places: dict, pool: np.ndarray, pool_starts: n
     counts = np.bincount(doc[often], minlength=len(texts)) + (end >= 0)
     level = levels[at]
     cut = np.searchsorted(doc[rare_at], np.arange(len(texts) + 1)).tolist()
-    out: list[list] = [[] for _ in range(9)]
+    out: list[list] = [[] for _ in range(8)]
     for i in range(len(texts)):
         rare: dict[bytes, int] = {}
         which = np.array([rare.setdefault(w, len(rare)) for w in rare_words[cut[i] : cut[i + 1]] + [END] * (end < 0)], "<u4")
         blob = ids[starts[first[i]] : starts[first[i + 1]]].tobytes()
         row = (
             n[i] + 1, counts[i], sums[i], list(rare), np.bincount(which, minlength=len(rare)).tolist(), which.tobytes(),
-            level[first[i] : first[i + 1]].tobytes() + levels[end].tobytes(), blob, zlib.crc32(blob),
+            level[first[i] : first[i + 1]].tobytes() + levels[end].tobytes(), blob,
         )
         for column, value in zip(out, row):
             column.append(value)
@@ -184,28 +186,6 @@ def unigram_cells(buckets: int):
     return cells
 
 
-def follower_cells(classes: np.ndarray, k: int, shares: np.ndarray):
-    """Cells over distinct tokens, in four blocks: (id, class of the next id) within words and (id, k) at their ends, with
-    (SIZE, class of the first id) by token count; (class of the last id, id), class k at starts; the shares by class of the first id."""
-
-    def cells(ids, starts, c):
-        first, last = starts[:-1], starts[1:] - 1
-        inner = np.ones(len(ids), bool)
-        inner[first] = False
-        right = np.flatnonzero(inner)
-        second = (SIZE + 1) * (k + 1)
-        third = second + (k + 1) * SIZE
-        level = np.floor(np.log2(c) * SCALE).astype(np.int64) + 1
-        at = [
-            ids[right - 1] * (k + 1) + classes[ids[right]], ids[last] * (k + 1) + k, second + classes[ids[right - 1]] * SIZE + ids[right],
-            second + k * SIZE + ids[first], SIZE * (k + 1) + classes[ids[first]], third + classes[ids[first]],
-        ]
-        once = np.ones(sum(map(len, at[:4])))
-        return np.concatenate(at), np.concatenate([once, c.astype(float), shares[level]])
-
-    return cells
-
-
 def clustered(cells: np.ndarray, buckets: int, k: int = CLASSES, turns: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """(count of each id, class of each id): spherical k-means of the ids by their neighbours; the end is a class of its own."""
     wide = 1 + 2 * buckets
@@ -233,14 +213,178 @@ def clustered(cells: np.ndarray, buckets: int, k: int = CLASSES, turns: int = 12
     return count, classes.astype(np.int64)
 
 
+def follower_cells(classes: np.ndarray, k: int):
+    """Cells over distinct tokens, each counted once, in two blocks: (id, class of the next id) within words, (id, k) at their
+    ends and (SIZE, class of the first id); (class of the last id, id) within words and (k, id) at starts."""
+
+    def cells(ids, starts, c):
+        first, last = starts[:-1], starts[1:] - 1
+        inner = np.ones(len(ids), bool)
+        inner[first] = False
+        right = np.flatnonzero(inner)
+        second = (SIZE + 1) * (k + 1)
+        at = [
+            ids[right - 1] * (k + 1) + classes[ids[right]], ids[last] * (k + 1) + k, SIZE * (k + 1) + classes[ids[first]],
+            second + classes[ids[right - 1]] * SIZE + ids[right], second + k * SIZE + ids[first],
+        ]
+        return np.concatenate(at), np.ones(sum(map(len, at)))
+
+    return cells
+
+
+def neighbours(held: DataFrame) -> np.ndarray:
+    """(SIZE, BUCKETS) table over the texts of ``ids``: how often each id stands, in whatever token, up to REACH tokens from one whose first id is in the bucket.
+
+    Tasks sum tables of their own, so a row for each id and task moves, and the table that reaches the driver is bounded by the vocabulary.
+    """
+    opens = coder_opens()
+
+    def run(batches):
+        total = np.zeros(SIZE * (BUCKETS + 1), np.int64)
+        for batch in batches:
+            blobs = batch.column(0).to_pylist()
+            for lo in range(0, len(blobs), 200):
+                total += neighbour_counts(*streamed(blobs[lo : lo + 200])[:1], opens)
+        table = total.reshape(SIZE, -1)[:, :BUCKETS]
+        seen = np.flatnonzero(table.any(1))
+        columns = [pa.array(seen)] + [pa.array(table[seen, b]) for b in range(BUCKETS)]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", *map(str, range(BUCKETS))])
+
+    names = [str(b) for b in range(BUCKETS)]
+    rows = held.select("ids").mapInArrow(run, ", ".join(["id long", *(f"`{b}` long" for b in names)])).groupBy("id").agg(*[F.sum(f"`{b}`").alias(b) for b in names]).toPandas()
+    out = np.zeros((SIZE, BUCKETS))
+    out[rows["id"].to_numpy(np.int64)] = rows[names].to_numpy(float)
+    return out
+
+
+def neighbour_counts(stream: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """The counts of one stream of texts, flat, with a last bucket for the ends of texts and what lies beyond them."""
+    begins = opens[stream]
+    token = np.cumsum(begins) - 1
+    first = stream[begins]
+    bucket = np.full(len(first) + 2 * REACH, BUCKETS)
+    bucket[REACH:-REACH] = np.where(first == END_ID, BUCKETS, (first * 0x9E3779B1 >> 7) % BUCKETS)
+    text = np.cumsum(first == END_ID) // 2  # an end stands before and after each text
+    text = np.concatenate([np.full(REACH, -1), text, np.full(REACH, -1)])
+    inner = np.flatnonzero(stream != END_ID)
+    at, base = token[inner] + REACH, stream[inner] * (BUCKETS + 1)
+    keys = [base + np.where(text[at + off] == text[at], bucket[at + off], BUCKETS) for off in range(-REACH, REACH + 1) if off]
+    return np.bincount(np.concatenate(keys), minlength=SIZE * (BUCKETS + 1))
+
+
+def experts(table: np.ndarray, k: int = EXPERTS, turns: int = 150, starts: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(evidence of each id for each expert, log share of each expert): the mixture of k id distributions that explains the table best.
+
+    Expectation maximisation on the table, from ``starts`` fixed beginnings. Evidence is the log of how much likelier the expert makes the id.
+    """
+    evidence = np.zeros((SIZE, k), np.float32)
+    seen = np.flatnonzero(table.any(1))
+    if not len(seen):
+        return evidence, np.full(k, -math.log(k))
+    p = table[seen] / table[seen].sum()
+    best = (-np.inf, None, None)
+    for start in range(starts):
+        rng = np.random.default_rng(start)
+        of, by = rng.random((len(p), k)) + 0.1, rng.random((k, p.shape[1])) + 0.1
+        of, by = of / of.sum(0), by / by.sum()
+        for _ in range(turns):
+            ratio = p / np.maximum(of @ by, 1e-300)
+            of, by = of * (ratio @ by.T), by * (of.T @ ratio)
+            of /= np.maximum(of.sum(0), 1e-300)
+        fit = (p * np.log(np.maximum(of @ by, 1e-300))).sum()
+        if fit > best[0]:
+            best = fit, of, by.sum(1) / by.sum()
+    _, of, share = best
+    share = np.maximum(share, 1e-9)
+    joint = of * share + 3.0 / table.sum() * share
+    joint /= joint.sum(0)
+    evidence[seen] = np.clip(np.log(joint / (joint * share).sum(1, keepdims=True)), -5, 5)
+    return evidence, np.log(share / share.sum())
+
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(-1, keepdims=True))
+    return x / x.sum(-1, keepdims=True)
+
+
+def token_evidence(ids: np.ndarray, begins: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """Summed evidence of the ids of each token."""
+    return np.clip(np.add.reduceat(evidence[ids], begins), -12, 12) if len(begins) else np.zeros((0, evidence.shape[1]), np.float32)
+
+
+_EARLIER = np.tri(WINDOW, k=-1, dtype=bool)
+_MARKS = np.random.default_rng(5).integers(1, 1 << 62, SIZE, np.uint64)
+
+
+def token_marks(ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the ids of each token."""
+    if not len(begins):
+        return np.zeros(0, np.uint64)
+    within = np.arange(len(ids)) - np.repeat(begins, np.diff(np.append(begins, len(ids))))
+    powers = np.multiply.accumulate(np.full(within.max() + 1, 0x9E3779B97F4A7C15, np.uint64))
+    return np.add.reduceat(_MARKS[ids] * powers[within], begins)
+
+
+def copied(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows of token hashes, for each place: how many of the last tokens (0 to COPY) also stand earlier in the window, and whether the
+    token that followed there comes next. Of the longest such runs the latest counts."""
+    n = len(marks)
+    same = marks[:, :-1, None] == marks[:, None, :-1]
+    same &= _EARLIER
+    longest = same.astype(np.int16)
+    run = same
+    for _ in range(COPY - 1):
+        grown = np.zeros_like(run)
+        grown[:, 1:, 1:] = run[:, :-1, :-1]
+        run = same & grown
+        longest += run
+    best = (longest * WINDOW + np.arange(WINDOW, dtype=np.int16)).max(2)
+    length, at = best // WINDOW, best % WINDOW
+    return length, (length > 0) & (marks[np.arange(n)[:, None], at + 1] == marks[:, 1:])
+
+
+def masses(counts: DataFrame, evidence: np.ndarray, prior: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """(2, k): of each expert, its part of all training tokens and of the discounted shares of the training words."""
+    k = len(prior)
+
+    def run(batches):
+        total = np.zeros((2, k))
+        for batch in batches:
+            ids, starts = ragged(batch.column(1).to_pylist())
+            c = np.array(batch.column(0).to_pylist(), np.int64)
+            belongs = softmax(prior + token_evidence(ids, starts[:-1], evidence))
+            level = np.floor(np.log2(c) * SCALE).astype(np.int64) + 1
+            total += np.stack([c @ belongs, shares[level] @ belongs])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * k)), pa.array(total.ravel())], names=["k", "v"])
+
+    rows = counts.select("c", "ids").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(2 * k)
+    for r in rows:
+        out[r["k"]] = r["v"]
+    return out.reshape(2, k)
+
+
+def coder_opens() -> np.ndarray:
+    """Which ids begin a token."""
+    edge = coder().edge
+    opens = np.append(edge, np.zeros(max(0, SIZE - len(edge)), bool))
+    opens[END_ID] = True
+    return opens
+
+
 class Statistics:
     """What the model takes from the training tokens, bounded by the vocabulary of ids."""
 
-    def __init__(self, counts: DataFrame, total: int, shares: np.ndarray, k: int = CLASSES, buckets: int = 16):
-        self.k = k
+    def __init__(self, counts: DataFrame, total: int, shares: np.ndarray, table: np.ndarray, k: int = CLASSES, buckets: int = 16):
+        self.k, self.opens = k, coder_opens()
+        self.evidence, self.prior = experts(table)
+        part, known = masses(counts, self.evidence, self.prior, shares)
+        part = part / max(total, 1)
+        left = np.maximum(part - known, 1e-3 * part) + 1e-12  # of each expert, what is spelled
+        self.per, self.left = 1 / (known + left), left / (known + left)
         count, self.classes = clustered(summed(counts, unigram_cells(buckets)), buckets, k)
-        pairs = summed(counts, follower_cells(self.classes, k, shares))
-        cells = np.zeros((SIZE + 1) * (k + 1) + (k + 1) * SIZE + k)
+        pairs = summed(counts, follower_cells(self.classes, k))
+        cells = np.zeros((SIZE + 1) * (k + 1) + (k + 1) * SIZE)
         cells[pairs[:, 0].astype(np.int64)] = pairs[:, 1]
         table = cells[: (SIZE + 1) * (k + 1)].reshape(SIZE + 1, k + 1)
         plain = np.bincount(self.classes, count + 0.1, k)
@@ -249,24 +393,13 @@ class Statistics:
         ends = (table[:SIZE, k] + 0.5) / (table[:SIZE].sum(1) + 1)
         ends[END_ID] = 1 - 1e-9
         self.ends, self.goes_on = np.log(ends), np.log1p(-ends)
-        after = cells[(SIZE + 1) * (k + 1) : (SIZE + 1) * (k + 1) + (k + 1) * SIZE].reshape(k + 1, SIZE)
+        after = cells[(SIZE + 1) * (k + 1) :].reshape(k + 1, SIZE)
         after = after + 5.0 * (count + 0.1) / plain[self.classes]
         for c in range(k + 1):
             after[c] /= np.bincount(self.classes, after[c], k)[self.classes]
         self.share = np.log(after).astype(np.float32)
-        mass = (table[SIZE, :k] + 0.5) / (total + 0.5 * k)  # of the tokens that start with each class
-        left = np.maximum(mass - cells[-k:], 1e-3 * mass)  # of it, what is spelled
-        self.known, self.left = 1 / (cells[-k:] + left), left / (cells[-k:] + left)
-        rank = np.empty(SIZE, np.int64)
-        rank[np.argsort(-count, kind="stable")] = np.arange(SIZE)
-        self.row = np.minimum(rank, EMBEDDED - 1)
-        opens = coder().edge
-        self.opens = np.append(opens, np.zeros(max(0, SIZE - len(opens)), bool))
-        self.opens[END_ID] = True
-
-    def base(self, last: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Logits before the residual: of a start, or of what goes on after the last id."""
-        return self.follow[np.where(self.opens[target], SIZE, last)]
+        start = np.exp(self.follow[SIZE][self.classes] + self.share[k])[:, None] * softmax(self.prior + self.evidence)
+        self.start = (start / start.sum(0)).astype(np.float32)  # first ids of spellings by expert
 
 
 # --- the model -------------------------------------------------------------------------------------------------
@@ -274,13 +407,14 @@ class Statistics:
 
 def shapes(k: int) -> dict[str, tuple]:
     d = WIDTH
-    return {"embed": (EMBEDDED, d), "place": (WINDOW, d), "q": (d, d), "k": (d, d), "v": (d, d), "o": (d, d), "out": (d, k)}
+    return {"lift": (k, d), "place": (WINDOW, d), "q": (d, d), "k": (d, d), "v": (d, d), "o": (d, d), "out": (d, k), "skip": (k, k), "bias": (1, k)}
 
 
-def fresh(k: int) -> np.ndarray:
-    """All weights in one array; the last layer starts at zero, so the model starts at the corpus statistics."""
+def fresh(prior: np.ndarray) -> np.ndarray:
+    """All weights in one array; the last layer starts at zero, so the model starts at the shares of the experts."""
     rng = np.random.default_rng(1)
-    return np.concatenate([np.zeros(math.prod(s)) if n == "out" else rng.normal(0, 0.3, math.prod(s)) for n, s in shapes(k).items()]).astype(np.float32)
+    made = {n: np.zeros(s) if n in ("out", "skip") else rng.normal(0, 0.1 if n == "lift" else 0.3, s) for n, s in shapes(len(prior)).items()} | {"bias": prior}
+    return np.concatenate([made[n].ravel() for n in shapes(len(prior))]).astype(np.float32)
 
 
 def split(flat: np.ndarray, k: int) -> dict[str, np.ndarray]:
@@ -294,43 +428,39 @@ def split(flat: np.ndarray, k: int) -> dict[str, np.ndarray]:
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
-def forward(w: dict, rows: np.ndarray):
-    """Hidden states of windows of embedding rows, and what the backward pass needs."""
-    n, d = len(rows), WIDTH
-    x = w["embed"][rows] + w["place"]
-    flat = x.reshape(-1, d)
-    q, key, v = ((flat @ w[m]).reshape(n, WINDOW, d) for m in "qkv")
+def forward(w: dict, seen: np.ndarray):
+    """Logits of the experts of the next token at every place of windows of token evidence, and what the backward pass needs."""
+    n, d = len(seen), WIDTH
+    flat = seen.reshape(-1, seen.shape[2])
+    x = (flat @ w["lift"]).reshape(n, WINDOW, d) + w["place"]
+    q, key, v = ((x.reshape(-1, d) @ w[m]).reshape(n, WINDOW, d) for m in "qkv")
     a = np.matmul(q, key.transpose(0, 2, 1))
     a *= 1 / math.sqrt(d)
     a += _MASK
-    np.minimum(a, 30, out=a)
+    a -= a.max(2, keepdims=True)
     np.exp(a, out=a)
     a /= a.sum(2, keepdims=True)
     mixed = np.matmul(a, v)
     hidden = np.tanh(x + (mixed.reshape(-1, d) @ w["o"]).reshape(n, WINDOW, d))
-    return hidden, (x, q, key, v, a, mixed)
-
-
-def normalised(logits: np.ndarray) -> np.ndarray:
-    """log of the sum of exponentials over the last axis; logits are bounded by construction."""
-    return np.log(np.exp(logits).sum(-1))
-
-
-def gradient(w: dict, stats: Statistics, ids: np.ndarray, weight: np.ndarray) -> dict:
-    """Gradient of the weighted mean log loss of the class of the next id."""
-    rows, target = stats.row[ids[:, :-1]], stats.classes[ids[:, 1:]]
-    d, n = WIDTH, len(ids)
-    hidden, (x, q, key, v, a, mixed) = forward(w, rows)
-    logits = hidden.reshape(-1, d) @ w["out"] + stats.base(ids[:, :-1], ids[:, 1:]).reshape(-1, stats.k)
-    p = np.exp(logits - logits.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(len(p)), target.ravel()] -= 1
-    p *= (weight / max(weight.sum(), 1)).reshape(-1, 1)
-    g = {"out": hidden.reshape(-1, d).T @ p}
-    dz = ((p @ w["out"].T) * (1 - hidden.reshape(-1, d) ** 2)).reshape(n, WINDOW, d)
+    pooled = np.matmul(a, seen)
+    logits = hidden.reshape(-1, d) @ w["out"] + pooled.reshape(-1, flat.shape[1]) @ w["skip"] + w["bias"]
+    return logits.reshape(n, WINDOW, -1), (x, q, key, v, a, mixed, hidden, pooled)
+
+
+def gradient(w: dict, seen: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict:
+    """Gradient of the weighted mean log loss of the ids of the next token under the mixture of experts."""
+    d, n, k = WIDTH, len(seen), seen.shape[2]
+    logits, (x, q, key, v, a, mixed, hidden, pooled) = forward(w, seen)
+    gate = softmax(logits)
+    p = gate - softmax(logits + target)
+    p *= (weight / max(weight.sum(), 1))[:, :, None]
+    p = p.reshape(-1, k)
+    hidden = hidden.reshape(-1, d)
+    g = {"out": hidden.T @ p, "skip": pooled.reshape(-1, k).T @ p, "bias": p.sum(0)}
+    dz = ((p @ w["out"].T) * (1 - hidden**2)).reshape(n, WINDOW, d)
     g["o"] = mixed.reshape(-1, d).T @ dz.reshape(-1, d)
     do = (dz.reshape(-1, d) @ w["o"].T).reshape(n, WINDOW, d)
-    da = np.matmul(do, v.transpose(0, 2, 1))
+    da = np.matmul(do, v.transpose(0, 2, 1)) + np.matmul((p @ w["skip"].T).reshape(n, WINDOW, k), seen.transpose(0, 2, 1))
     dv = np.matmul(a.transpose(0, 2, 1), do)
     ds = a * (da - (da * a).sum(2, keepdims=True)) / math.sqrt(d)
     dq, dk = np.matmul(ds, key), np.matmul(ds.transpose(0, 2, 1), q)
@@ -339,16 +469,15 @@ def gradient(w: dict, stats: Statistics, ids: np.ndarray, weight: np.ndarray) ->
         g[name] = x.reshape(-1, d).T @ part.reshape(-1, d)
         dx += (part.reshape(-1, d) @ w[name].T).reshape(n, WINDOW, d)
     g["place"] = dx.sum(0)
-    g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], rows.ravel(), dx.reshape(-1, d))
+    g["lift"] = seen.reshape(-1, k).T @ dx.reshape(-1, d)
     return g
 
 
-def windows(lengths: np.ndarray, choose=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(lengths: np.ndarray, choose=None) -> tuple[np.ndarray, np.ndarray]:
     """Overlapping windows over a stream of texts with ``lengths`` predictions each.
 
-    In the stream each text is preceded by one place (the end id) and has its predictions after it.
-    Returns (places of WINDOW + 1 ids for each window, fresh, text of each window): place t predicts place t + 1;
+    In the stream each text is preceded by one token (an end) and has its predictions after it.
+    Returns (places of WINDOW + 1 tokens for each window, fresh): place t predicts place t + 1;
     fresh marks the predictions that no earlier window of the text makes. Short windows are filled up at their end.
     choose, given the text of every window and its number within the text, says which are wanted.
     """
@@ -363,111 +492,110 @@ def windows(lengths: np.ndarray, choose=None) -> tuple[np.ndarray, np.ndarray, n
     place = (turn * step)[:, None] + np.arange(WINDOW + 1)
     most = lengths[text][:, None]
     first = (np.arange(WINDOW) >= OVERLAP) | (turn == 0)[:, None]
-    return base[text][:, None] + np.minimum(place, most), (place[:, :-1] < most) & first, text
+    return base[text][:, None] + np.minimum(place, most), (place[:, :-1] < most) & first
 
 
-def streamed(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The stream of the texts' ids, each text preceded and followed by the end id, and their numbers of predictions."""
+def streamed(blobs: list[bytes], opens: np.ndarray | None = None) -> tuple:
+    """The stream of the texts' ids, each text preceded and followed by the end id; given opens, also where its tokens begin and the texts' numbers of predictions."""
     end = np.array([END_ID], "<u2").tobytes()
     stream = np.frombuffer(b"".join(end + b + end for b in blobs), "<u2").astype(np.int64)
-    return stream, np.array([len(b) // 2 + 1 for b in blobs], np.int64)
+    if opens is None:
+        return (stream,)
+    begins = np.flatnonzero(opens[stream])
+    edge = np.concatenate([[0], np.cumsum([len(b) // 2 + 2 for b in blobs])])
+    return stream, begins, np.diff(np.searchsorted(begins, edge)) - 1
 
 
-def train(held: DataFrame, stats: Statistics, weights: np.ndarray, every: int = EVERY, rounds: int = ROUNDS) -> np.ndarray:
-    """Model weights after averaged rounds over one of ``every`` windows of each document of (h, ids, levels)."""
+def train(held: DataFrame, stats: Statistics, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Model weights after averaged rounds over all windows of each document of (doc_id, ids), then by length how often a copy goes on."""
     spark = held.sparkSession
-    flat = fresh(stats.k)
+    flat, k = fresh(stats.prior), len(stats.prior)
+    goes_on = np.full(COPY, 0.01)
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((stats, flat, weights))
+        shared = spark.sparkContext.broadcast((stats.evidence, stats.opens, flat))
 
         def learn(batches, turn=turn, shared=shared):
-            stats, flat, weights = shared.value
+            evidence, opens, flat = shared.value
             flat = flat.copy()
-            first, second, steps, seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0
-            for ids, weight in training_batches(batches, turn, every, rounds, stats.opens, weights):
-                w = split(flat, stats.k)
-                parts = gradient(w, stats, ids, weight)
-                g = np.concatenate([parts[n].ravel() for n in shapes(stats.k)])
+            first, second, steps, done = np.zeros_like(flat), np.zeros_like(flat), 0, 0
+            copies = np.zeros((2, COPY + 1))
+            for seen, target, weight, marks in training_batches(batches, turn, rounds, opens, evidence):
+                length, right = copied(marks)
+                copies += np.stack([np.bincount(length[weight], minlength=COPY + 1), np.bincount(length[weight & right], minlength=COPY + 1)])
+                parts = gradient(split(flat, k), seen, target, weight)
+                g = np.concatenate([parts[n].ravel() for n in shapes(k)])
                 steps += 1
-                seen += len(ids)
+                done += len(seen)
                 first = 0.9 * first + 0.1 * g
                 second = 0.99 * second + 0.01 * g * g
-                flat -= RATE * (first / (1 - 0.9**steps)) / (np.sqrt(second / (1 - 0.99**steps)) + 1e-6)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(float) * seen), pa.array(np.full(len(flat), float(seen)))], names=["i", "v", "n"])
+                flat -= RATE / math.sqrt(1 + 0.01 * steps) * (first / (1 - 0.9**steps)) / (np.sqrt(second / (1 - 0.99**steps)) + 1e-6)
+            if done:
+                sums = np.concatenate([flat.astype(float) * done, copies[1, 1:] + 0.01]), np.concatenate([np.full(len(flat), float(done)), copies[0, 1:] + 1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums[0]), dtype=np.int32)), *map(pa.array, sums)], names=["i", "v", "n"])
 
-        rows = held.select("h", "ids", "levels").mapInArrow(learn, "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
+        rows = held.select("doc_id", "ids").mapInArrow(learn, "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
         if len(rows):
-            flat = rows.sort_values("i")["v"].to_numpy().astype(np.float32)
+            both = rows.sort_values("i")["v"].to_numpy()
+            flat, goes_on = both[: len(flat)].astype(np.float32), both[len(flat) :]
         shared.unpersist()
-    return flat
-
+    return flat, goes_on
 
-def training_batches(batches, turn: int, every: int, rounds: int, opens: np.ndarray, weights: np.ndarray):
-    """(ids, weight) of BATCH windows at a time: of each document every ``every``-th of its own windows, starting by its hash.
 
-    The first id of a token weighs 1, a later one as much as its word is left to the spelling: little for frequent words.
-    """
-    held, marks, size = [], [], 0
+def training_batches(batches, turn: int, rounds: int, opens: np.ndarray, evidence: np.ndarray):
+    """(token evidence, that of the next tokens, which predictions are fresh, token hashes) of BATCH windows at a time: of each document every ``rounds``-th of its own windows, starting by its id."""
+    held: list[list] = [[], [], []]
+    size = 0
     for batch in batches:
-        hashes, blobs, levels = (c.to_pylist() for c in batch.columns)
+        keys, blobs = (c.to_pylist() for c in batch.columns)
         for lo in range(0, len(blobs), 200):
-            stream, lengths = streamed(blobs[lo : lo + 200])
-            heavy = spelled_weight(stream, lengths, levels[lo : lo + 200], opens, weights)
-            start = np.array(hashes[lo : lo + 200]) % (every * rounds)
-            place, fresh_, _ = windows(lengths, lambda text, number, start=start: (number + start[text]) % (every * rounds) == turn * every)
-            held.append(stream[place])
-            marks.append(fresh_ * heavy[place[:, 1:]])
+            stream, begins, lengths = streamed(blobs[lo : lo + 200], opens)
+            tokens, marks = token_evidence(stream, begins, evidence), token_marks(stream, begins)
+            start = np.array([k or 0 for k in keys[lo : lo + 200]])
+            place, fresh_ = windows(lengths, lambda text, number, start=start: (number + start[text]) % rounds == turn)
+            for column, new in zip(held, (tokens[place], fresh_, marks[place])):
+                column.append(new)
             size += len(place)
-            while size >= BATCH:
-                ids, weight = np.concatenate(held), np.concatenate(marks)
-                yield ids[:BATCH], weight[:BATCH]
-                held, marks, size = [ids[BATCH:]], [weight[BATCH:]], size - BATCH
+            if size >= BATCH:
+                held = [[np.concatenate(c)] for c in held]
+                rest = size - size % BATCH
+                for at in range(0, rest, BATCH):
+                    tokens, fresh_, marks = (c[0][at : at + BATCH] for c in held)
+                    yield tokens[:, :-1], tokens[:, 1:], fresh_, marks
+                held, size = [[c[0][rest:]] for c in held], size - rest
     if size:
-        yield np.concatenate(held), np.concatenate(marks)
-
-
-def heads(stream: np.ndarray, lengths: np.ndarray, opens: np.ndarray) -> np.ndarray:
-    """Places of the stream where a token (a word or an end) begins, without the ends that precede texts."""
-    begins = opens[stream]
-    begins[np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])] = False
-    return np.flatnonzero(begins)
-
-
-def spelled_weight(stream, lengths, levels: list[bytes], opens, weights) -> np.ndarray:
-    at = heads(stream, lengths, opens)
-    level = np.frombuffer(b"".join(levels), "<u2")
-    out = np.zeros(len(stream), np.float32)
-    out[at[0] :] = np.repeat(weights[level], np.diff(np.append(at, len(stream))))
-    out[at] = 1
-    return out
+        tokens, fresh_, marks = map(np.concatenate, held)
+        yield tokens[:, :-1], tokens[:, 1:], fresh_, marks
 
 
-def log_probabilities(blobs: list[bytes], levels: list[bytes], stats: Statistics, w: dict, shares: np.ndarray, at_once: int = 512) -> np.ndarray:
-    """Natural log probability of each text's tokens; every id is predicted in one window. shares: of a word by its level."""
-    stream, lengths = streamed(blobs)
-    place, fresh_, text = windows(lengths)
-    by_class, within = np.zeros(len(stream)), np.zeros(len(stream))
+def log_probabilities(blobs: list[bytes], levels: list[bytes], stats: Statistics, w: dict, goes_on: np.ndarray, shares: np.ndarray, at_once: int = 256) -> np.ndarray:
+    """Natural log probability of each text's tokens; every token is predicted in one window. shares: of a word by its level."""
+    stream, begins, lengths = streamed(blobs, stats.opens)
+    tokens, marks = token_evidence(stream, begins, stats.evidence), token_marks(stream, begins)
+    place, fresh_ = windows(lengths)
+    gate, run, right = np.zeros_like(tokens), np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
     for lo in range(0, len(place), at_once):
         part, new = place[lo : lo + at_once], fresh_[lo : lo + at_once]
-        ids = stream[part]
-        hidden, _ = forward(w, stats.row[ids[:, :-1]])
-        last, target = ids[:, :-1][new], ids[:, 1:][new]
-        logits = hidden[new] @ w["out"]
-        logits += stats.base(last, target)
-        own, opens, at = stats.classes[target], stats.opens[target], part[:, 1:][new]
-        by_class[at] = logits[np.arange(len(target)), own] - normalised(logits)
-        within[at] = stats.share[np.where(opens, stats.k, stats.classes[last]), target] + np.where(opens, 0.0, stats.goes_on[last])
-    at = heads(stream, lengths, stats.opens)
-    lead, own = by_class[at], stats.classes[stream[at]]
-    by_class[at] = 0
-    owner = np.repeat(np.arange(len(blobs)), [len(x) // 2 for x in levels])
-    stop = np.append(at[1:], len(stream)) - 1
-    stop[:-1] -= owner[1:] != owner[:-1]  # the end id that precedes a text is no part of a token
-    spelled = np.add.reduceat(by_class + within, at) + stats.ends[stream[stop]]
-    share = shares[np.frombuffer(b"".join(levels), "<u2")] * stats.known[own]
-    token = lead + np.where(share > 0, np.log(np.maximum(share, 1e-300)), spelled + np.log(stats.left[own]))
-    return np.bincount(owner, token, len(blobs))
+        logits, _ = forward(w, tokens[part[:, :-1]])
+        at = part[:, 1:][new]
+        gate[at] = softmax(logits[new])
+        run[at], right[at] = (x[new] for x in copied(marks[part]))
+    lead = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    scored = np.ones(len(begins), bool)
+    scored[lead] = False  # the end that precedes a text
+    last = stream[:-1]
+    inner = np.zeros(len(stream))
+    inner[1:] = stats.goes_on[last] + stats.follow[last, stats.classes[stream[1:]]] + stats.share[stats.classes[last], stream[1:]]
+    inner[begins] = 0
+    stop = np.append(begins[1:], len(stream)) - 1
+    spelled = np.add.reduceat(inner, begins) + stats.ends[stream[stop]]
+    share = np.zeros(len(begins))
+    share[scored] = shares[np.frombuffer(b"".join(levels), "<u2")]
+    known = share * (gate * softmax(stats.prior + tokens) @ stats.per)
+    new = (gate * stats.start[stream[begins]]) @ stats.left
+    token = np.logaddexp(np.log(np.maximum(known, 1e-300)), np.log(np.maximum(new, 1e-300)) + spelled)
+    copies = np.append(0.0, goes_on)[run]
+    token = np.logaddexp(np.log1p(-copies) + token, np.where(right, np.log(np.maximum(copies, 1e-300)), -np.inf))
+    return np.add.reduceat(np.where(scored, token, 0.0), lead)
 
 
 # --- the operator ----------------------------------------------------------------------------------------------
@@ -477,9 +605,9 @@ def level_of(c: str):
     return F.floor(F.log2(c) * SCALE).cast("int") + 1
 
 
-def frequent(counts: DataFrame, total: int, most: int) -> tuple[dict[bytes, tuple[int, int, bytes]], np.ndarray, np.ndarray]:
-    """The words of highest count, at most ``most``, as {word: (count, level, ids)}; and by level, of any training word, its
-    share of the training tokens and the weight of its spelling.
+def frequent(counts: DataFrame, total: int, most: int) -> tuple[tuple, np.ndarray]:
+    """The words of highest count, at most ``most``, as (words, counts, levels, ids of all, where each word's ids start); and by level, of any training word, its
+    share of the training tokens.
 
     Levels are whole steps of a fine scale of counts, so the table behind the choice is bounded by the scale. Shares are
     discounted by n1 / (n1 + 2 n2), n1 and n2 words of count 1 and 2.
@@ -488,7 +616,7 @@ def frequent(counts: DataFrame, total: int, most: int) -> tuple[dict[bytes, tupl
     steps = {r["l"]: r["n"] for r in counts.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()}
     one, two = steps.get(1, 0), steps.get(SCALE + 1, 0)
     discount = one / (one + 2 * two) if one else 0.5
-    least, held = None, 0
+    least, held = 64 * SCALE, 0
     for x in sorted(steps, reverse=True):
         held += steps[x]
         if held > most:
@@ -497,41 +625,39 @@ def frequent(counts: DataFrame, total: int, most: int) -> tuple[dict[bytes, tupl
     floors = 2.0 ** ((np.arange(64 * SCALE) - 1) / SCALE)
     shares = np.maximum(floors - discount, 0) / max(total, 1)
     shares[0] = 0
-    weights = np.minimum(1, discount / np.maximum(floors, 1)).astype(np.float32)
-    weights[0] = 1
-    if least is None:
-        return {}, shares, weights
-    rows = counts.where(level >= least).select("token", "c", level.alias("l"), "ids").collect()
-    return {bytes(r["token"]): (r["c"], r["l"], bytes(r["ids"])) for r in rows}, shares, weights
+    rows = counts.where(level >= least).select("token", "c", level.alias("l"), "ids").toArrow().to_pydict()
+    pool, starts = ragged(rows["ids"])
+    return (rows["token"], np.array(rows["c"], np.int64), np.array(rows["l"], np.int64), pool.astype("<u2"), starts), shares
 
 
-def score(docs: DataFrame, held_out, classes: int = CLASSES, every: int = EVERY, rounds: int = ROUNDS, most: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, held_out, classes: int = CLASSES, rounds: int = ROUNDS, most: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row.
 
     Learns from the rows where the column ``held_out`` is not true. base_score is the smoothed
     unigram log10 probability of the words and the end, score the model's of the same
     lower-cased text as subword ids. Null text: empty, the end alone. Repeated rows: each on its own. No training
-    rows: nothing is known and the model is near uniform. Empty table: no rows. Other columns are ignored.
+    rows: nothing is known and the model is near uniform. Empty table: no rows. Other columns are ignored. ``most`` bounds
+    a cache and changes no result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = token_counts(docs.where(~F.col("held_out")))
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
     n, v = n or 0, v or 0
-    known, shares, heavy = frequent(counts, n, most)
+    known, shares = frequent(counts, n, most)
     often, tag = spark.sparkContext.broadcast(known), uuid.uuid4().hex
 
     def prepare(batches):
         helpers = seeded(tag, often)
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-        names = ["doc_id", "held_out", "n_tokens", "n_often", "often_sum", "rare", "times", "which", "levels", "ids", "h"]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+        names = ["doc_id", "held_out", "n_tokens", "n_often", "often_sum", "rare", "times", "which", "levels", "ids"]
         for batch in batches:
             ids, texts, held = (c.to_pylist() for c in batch.columns)
             for lo, hi in in_parts(texts):
                 values = [ids[lo:hi], held[lo:hi], *prepared(texts[lo:hi], *helpers)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, types)], names=names)
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_often long, often_sum double, rare array<binary>, times array<long>, which binary, levels binary, ids binary, h long"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_often long, often_sum double, rare array<binary>, times array<long>, which binary, levels binary, ids binary"
     first = written(docs.select("doc_id", "text", "held_out").mapInArrow(prepare, schema).withColumn("row", F.monotonically_increasing_id()))
     rare = first.select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("at", "x")).select("row", "at", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     more = rare.join(counts.select("token", "c"), "token", "left").groupBy("row").agg(
@@ -540,29 +666,29 @@ def score(docs: DataFrame, held_out, classes: int = CLASSES, every: int = EVERY,
     )
     every_token = math.log10(n + 0.5 * (v + 1))
     joined = first.join(more, "row", "left").select(
-        "levels", "which", "found", "ids", "h", "doc_id", "held_out", "n_tokens", (F.col("n_often") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
+        "levels", "which", "found", "ids", "doc_id", "held_out", "n_tokens", (F.col("n_often") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         (F.col("often_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(every_token)).alias("base_score"),
     )
 
     def complete(batches):
         for batch in batches:
             levels = [completed(*x) for x in zip(*(c.to_pylist() for c in batch.columns[:3]))]
-            yield pa.RecordBatch.from_arrays([pa.array(levels, pa.binary()), *batch.columns[3:]], names=["levels", "ids", "h", "doc_id", "held_out", "n_tokens", "n_known", "base_score"])
+            yield pa.RecordBatch.from_arrays([pa.array(levels, pa.binary()), *batch.columns[3:]], names=["levels", "ids", "doc_id", "held_out", "n_tokens", "n_known", "base_score"])
 
-    held = written(joined.mapInArrow(complete, "levels binary, ids binary, h long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"))
+    held = written(joined.mapInArrow(complete, "levels binary, ids binary, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"))
     drop_written(first)
-    stats = Statistics(counts, n, shares, classes)
-    weights = train(held.where(~F.col("held_out")), stats, heavy, every, rounds)
-    model = spark.sparkContext.broadcast((stats, weights))
+    learned = held.where(~F.col("held_out"))
+    stats = Statistics(counts, n, shares, neighbours(learned), classes)
+    model = spark.sparkContext.broadcast((stats, *train(learned, stats, rounds)))
 
     def judge(batches):
-        stats, flat = model.value
-        w = split(flat, stats.k)
+        stats, flat, goes_on = model.value
+        w = split(flat, len(stats.prior))
         for batch in batches:
             blobs, levels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             got: list[float] = []
             for lo in range(0, len(blobs), 100):
-                got += (log_probabilities(blobs[lo : lo + 100], levels[lo : lo + 100], stats, w, shares) / math.log(10)).tolist()
+                got += (log_probabilities(blobs[lo : lo + 100], levels[lo : lo + 100], stats, w, goes_on, shares) / math.log(10)).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(got, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     scores = held.select("ids", "levels", "doc_id", "held_out", "n_tokens", "n_known", "base_score").mapInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
