@@ -1,11 +1,12 @@
 """Personal data: candidate spans, boosted trees over format and context, calibrated redaction; DataFrame operations only.
 
-Generators propose spans per kind: the base formats, and looser ones that often fail the
-base checks. Candidates that a check confirms (digit sum, octet range, digit count, a full
-domain) are the positive labels, so the trees learn from format and context alone how
-likely a span is personal data. Features are small categories, so all candidates of all
-documents reduce to a table bounded by the number of feature combinations; the trees are
-boosted on that table and come back as one column expression.
+Generators propose spans per kind: the base formats, and looser ones (national phone numbers, spelt-out addresses,
+secrets). A base candidate is labelled by its check (digit sum, octet range, digit count). A looser one is labelled by
+evidence that no feature shows: it lies in a confirmed span of its own kind (positive) or of another (negative), a cue word
+or an assignment stands before it, its domain ends in a usual way, its digits are too few or too many. Where nothing
+tells, it has no label and teaches nothing, but is judged. Features are small categories, so all candidates of all
+documents reduce to a table bounded by the number of feature combinations; the trees are boosted on that table, and each
+looser generator has a threshold of its own.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 
 # Fixed formats, anchored so that long runs are scanned once; each matches what the plain form does, leftmost first:
 #   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+      ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
@@ -30,6 +31,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Looser generators.
 TEL = r"(?<![0-9+(])\(?[0-9]{2,4}[)\x20.-]{1,2}[0-9]{2,4}[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{2,4})?(?![0-9])"
 SPELT = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,64} ?[\[(] ?dot ?[\])] ?[A-Za-z]{2,16}"
+SECRET = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+(?![A-Za-z0-9_+/-])"
 
 #: Generators: name, kind, pattern, and what a text must hold to be searched.
 GENERATORS = (
@@ -39,9 +41,16 @@ GENERATORS = (
     ("phone", "phone", PHONE, "+"),
     ("tel", "phone", TEL, None),
     ("spelt", "email", SPELT, None),
+    ("secret", "secret", SECRET, None),
 )
 BASE = 4  # the first generators are the base formats
 CUES = r"(?i)(mail|phone|tel|call|fax|mobile|card|visa|credit|pay|ip|host|address|contact|write)\W{0,4}\w{0,8}\W{0,3}$"
+#: What labels looser candidates: words before a phone number, usual domain endings, an assignment to a secret's name.
+CALLS = r"(?i)\b(phone|tel|telephone|call|fax|mobile|cell|contact|dial)\b[^0-9A-Za-z]{0,3}(\w{0,8}[^0-9A-Za-z]{1,3})?$"
+ENDINGS = r"(?i)(com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu)$"
+ASSIGNED = r"(?i)(token|secret|key|password|passwd|pwd|auth|bearer|credential)\w{0,12}[\"']?\s{0,2}[:=]\s{0,2}[\"']?$"
+# Published prefixes of access keys and tokens.
+ISSUED = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,})$"
 
 #: Boosting: rounds, learning rate, least weight of a leaf; precision that the redaction threshold must reach.
 ROUNDS, RATE, LEAST = 30, 0.3, 5.0
@@ -69,6 +78,16 @@ def passes(generator: str, match: Column) -> Column:
     return F.lit(False)
 
 
+def evidence(generator: str, match: Column, before: Column) -> Column:
+    """What a looser candidate's own text and the words before it tell: 1, 0, or null where nothing tells."""
+    near = F.right(before, F.lit(40))
+    if generator == "tel":
+        return F.when(~F.length(digits(match)).between(9, 11), 0).when(near.rlike(CALLS), 1)
+    if generator == "spelt":
+        return match.rlike(ENDINGS).cast("int")
+    return (near.rlike(ASSIGNED) | match.rlike(ISSUED)).cast("int")
+
+
 def combination(number: int, match: Column, before: Column, after: Column) -> Column:
     """The feature code of a candidate: its generator, format and context as small categories."""
     n = F.length(digits(match))
@@ -76,13 +95,19 @@ def combination(number: int, match: Column, before: Column, after: Column) -> Co
     sides = lambda c: F.when(c == "", 0).when(c.rlike(r"^[\x09-\x0D\x20]$"), 1).when(c.rlike("^[A-Za-z0-9]$"), 2).otherwise(3)
     has = lambda x: F.contains(match, F.lit(x))
     separator = F.when(has("("), 5).when(has(" ") & has("-"), 4).when(has("."), 3).when(has("-"), 2).when(has(" "), 1).otherwise(0)
+    if number >= BASE:  # what labels a looser candidate is no feature of it
+        cue = F.lit(0)
+    else:
+        cue = F.right(before, F.lit(32)).rlike(CUES).cast("int")
+    if GENERATORS[number][0] == "secret":  # the alphabet in place of the separator
+        separator = F.when(match.rlike("^[0-9]+$"), 5).when(match.rlike("^[0-9a-f]+$"), 0).when(~match.rlike("[0-9]"), 4).when(match.rlike("^[0-9A-Z]+$"), 6).when(~match.rlike("[A-Z]") | ~match.rlike("[a-z]"), 1).when(~has("-") & ~has("_"), 2).otherwise(3)
     parts = {
         "generator": F.lit(number),
         "digits": step(n, (4, 8, 10, 12, 14, 16, 18)),
         "separator": separator,
         "before": sides(F.right(before, F.lit(1))),
         "after": sides(F.left(after, F.lit(1))),
-        "cue": F.right(before, F.lit(32)).rlike(CUES).cast("int"),
+        "cue": cue,
         "groups": step(F.length(F.regexp_replace(match, "[0-9A-Za-z]", "")), (1, 3, 5)),
     }
     code, shift = F.lit(0), 0
@@ -109,13 +134,15 @@ def described(number: int, name: str):
     def span(match: Column, i: Column) -> Column:
         end = F.get(ends, i)
         code = combination(number, match, F.get(pieces, i), F.get(pieces, i + 1))
-        return F.struct((end - F.char_length(match)).alias("start"), end.alias("end"), F.lit(number).alias("generator"), code.alias("code"), passes(name, match).alias("ok"))
+        ok = passes(name, match)
+        told = evidence(name, match, F.get(pieces, i)) if number >= BASE else ok
+        return F.struct((end - F.char_length(match)).alias("start"), end.alias("end"), F.lit(number).alias("generator"), code.alias("code"), ok.alias("ok"), told.cast("int").alias("label"))
 
     return span
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, part (fold of the document) and spans: (start, end, generator, code, ok) of every proposal worth judging."""
+    """doc_id, part (fold of the document) and spans: (start, end, generator, code, ok, label) of every proposal worth judging."""
     text = F.coalesce(F.col("text"), F.lit(""))
     wide = docs.select(F.col("doc_id").cast("long"), F.pmod(F.crc32(text.cast("binary")), F.lit(2)).alias("part"), text.alias("text"))
     names = [g[0] for g in GENERATORS]
@@ -202,41 +229,45 @@ def scored(code: int, model: tuple[float, list]) -> float:
 
 
 def threshold(held: list[tuple[int, float, float]], model: tuple[float, list], precision: float = PRECISION) -> float:
-    """Least score that keeps the share of confirmed candidates, among held-out ones at or above it, at the wanted precision."""
+    """Least score that keeps the share of positives, among held-out labelled candidates at or above it, at the wanted precision."""
     rows = sorted(((scored(code, model), pos, total) for code, pos, total in held), reverse=True)
     best, pos, total = math.inf, 0.0, 0.0
     for k, (s, p, n) in enumerate(rows):
         pos, total = pos + p, total + n
-        if (k + 1 == len(rows) or rows[k + 1][0] < s) and pos / total >= precision:
+        if (k + 1 == len(rows) or rows[k + 1][0] < s) and total and pos / total >= precision:
             best = s
     return best
 
 
 def selected_codes(found: DataFrame, precision: float = PRECISION) -> list[int]:
-    """Codes whose score passes the threshold: trees from one half of the documents, threshold from the other.
+    """Codes of looser candidates whose score passes their generator's threshold: trees from the labels of one half of the
+    documents, thresholds from the other.
 
     The grouped table has at most one row for each feature combination and half, whatever the
     input: a bound of 2 ** 17 rows, far fewer in practice.
     """
     flat = found.select("part", F.explode("spans").alias("s"))
-    # an unchecked proposal over a confirmed one shares its label
-    rows = flat.groupBy("part", "s.code").agg(F.sum(F.col("s.ok").cast("int")).alias("pos"), F.count("*").alias("n")).collect()
+    rows = flat.groupBy("part", "s.code").agg(F.coalesce(F.sum("s.label"), F.lit(0)).alias("pos"), F.count("s.label").alias("n")).collect()
     halves: tuple[list, list] = ([], [])
     for r in sorted(rows, key=lambda r: (r["part"], r["code"])):
         halves[r["part"]].append((r["code"], float(r["pos"]), float(r["n"])))
-    if not halves[0] or not halves[1]:
+    taught, held = ([row for row in half if row[2]] for half in halves)
+    if not taught or not held:
         return []
-    model = boost(halves[0])
-    least = threshold(halves[1], model, precision)
-    return sorted({code for half in halves for code, _, _ in half if scored(code, model) >= least})
+    model = boost(taught)
+    chosen = set()
+    for number in range(BASE, len(GENERATORS)):
+        least = threshold([row for row in held if feature(row[0], "generator") == number], model, precision)
+        chosen |= {code for half in halves for code, _, _ in half if feature(code, "generator") == number and scored(code, model) >= least}
+    return sorted(chosen)
 
 
 def detect(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """doc_id, base (spans of the base formats) and spans (base and added ones): arrays of (start, kind number, end).
 
     Positions are code points, end exclusive, sorted by start, then kind. What a looser generator proposes is added if
-    the trees score it past the threshold and it meets no base span; a candidate of a base
-    format that fails its check teaches the trees but is never added. Null text: no spans. Repeated rows and ties: each row on its own. Empty table: no
+    the trees score it past its generator's threshold and it meets no base span; of added ones that meet, the longest stays. A
+    candidate of a base format that fails its check teaches the trees but is never added. Null text: no spans. Repeated rows and ties: each row on its own. Empty table: no
     rows. Other columns are ignored.
     """
     found = written(labelled(candidates(docs)))
@@ -247,15 +278,20 @@ def detect(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     out = found.select("doc_id", "spans", base.alias("base"))
     clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     more = F.filter("spans", lambda s: (s["generator"] >= BASE) & s["code"].isin(chosen) & clear(s)) if chosen else F.slice("spans", 1, 0)
+    size = lambda s: F.struct(s["end"] - s["start"], s["generator"])
+    out = out.withColumn("more", more)
+    more = F.filter("more", lambda s: ~F.exists("more", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & (size(o) > size(s))))
     return out.select("doc_id", "base", F.array_sort(F.array_distinct(F.concat("base", F.transform(more, plain)))).alias("spans"))
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """Proposals of looser generators that overlap a confirmed base span count as confirmed."""
-    sure = F.filter("spans", lambda s: s["ok"])
-    overlaps = lambda s: F.exists("sure", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    mark = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["generator"].alias("generator"), s["code"].alias("code"), (s["ok"] | ((s["generator"] >= BASE) & overlaps(s))).alias("ok"))
-    return found.withColumn("sure", sure).select("doc_id", "part", F.transform("spans", mark).alias("spans"))
+    """A looser proposal that meets a confirmed base span is positive if one of its own kind is among them, else negative."""
+    kind = F.array(*[F.lit(KINDS.index(g[1])) for g in GENERATORS])
+    meets = lambda s: F.filter("sure", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    alike = lambda s: F.exists(meets(s), lambda b: F.get(kind, b["generator"]) == F.get(kind, s["generator"]))
+    told = lambda s: F.when((s["generator"] < BASE) | (F.size(meets(s)) == 0), s["label"]).otherwise(alike(s).cast("int"))
+    sure = found.withColumn("sure", F.filter("spans", lambda s: s["ok"] & (s["generator"] < BASE)))
+    return sure.select("doc_id", "part", F.transform("spans", lambda s: s.withField("label", told(s))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -38,8 +38,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(documents(spark, sf_dir))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
-    return found.select("doc_id", *map(count, range(4)), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    count = lambda c, k: F.size(F.filter(c, lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    counts = [count("base", k) for k in range(pii.BASE)] + [count("spans", k) for k in range(pii.BASE, len(pii.KINDS))]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
