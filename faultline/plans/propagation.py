@@ -50,11 +50,11 @@ def _(v):
     return P.incident_panel(panel(v), v.incidents(), DAY).groupBy("incident_id", "faulty").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query("prp_02_masked_panel", "SELECT node_id, ts, avg(value) AS value, bool_or(value>50) AS mask, avg(CASE WHEN metric LIKE 'request.%' THEN 1.0 ELSE 0.4 END) AS probability FROM (SELECT service||'.'||metric AS node_id, metric, floor(timestamp/86400)*86400 AS ts, value FROM v_metrics) GROUP BY 1,2")
+@query("prp_02_masked_panel", "SELECT node_id, ts, avg(value) AS value, bool_or(value>50) AS mask, max(CASE WHEN metric LIKE 'request.%' THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) AS probability FROM (SELECT service||'.'||metric AS node_id, metric, floor(timestamp/86400)*86400 AS ts, value FROM v_metrics) GROUP BY 1,2")
 def _(v):
     ts = (F.floor(F.col("timestamp") / DAY) * DAY).cast("double")
     rows = v.metrics().select(F.concat_ws(".", "service", "metric").alias("node_id"), ts.alias("ts"), "value", F.when(F.col("metric").startswith("request."), 1.0).otherwise(0.4).alias("p"))
-    return rows.groupBy("node_id", "ts").agg(F.avg("value").alias("value"), F.bool_or(F.col("value") > 50).alias("mask"), F.avg("p").alias("probability"))
+    return rows.groupBy("node_id", "ts").agg(F.avg("value").alias("value"), F.bool_or(F.col("value") > 50).alias("mask"), F.max("p").alias("probability"))
 
 
 @query("prp_03_allowed_parents", "SELECT * FROM v_parents")

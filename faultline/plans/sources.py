@@ -144,9 +144,11 @@ def _(v):
     return V.complete_sets(m, ["service", "win"], "metric", m.select("metric").distinct()).select("service", "win", F.array_join("missing", ",").alias("missing"))
 
 
-@query("val_06_topology_coverage", "SELECT coalesce(a.src,b.src) AS src, coalesce(a.dst,b.dst) AS dst, CASE WHEN b.src IS NULL THEN 'missing' ELSE 'extra' END AS problem FROM (SELECT DISTINCT src, dst FROM v_graph WHERE edge_type='trace') a FULL JOIN (SELECT DISTINCT src, dst FROM v_snapshots WHERE snapshot_id='y1996') b ON a.src=b.src AND a.dst=b.dst WHERE a.src IS NULL OR b.src IS NULL")
+@query("val_06_topology_coverage", "SELECT coalesce(a.snapshot_id,b.snapshot_id) AS snapshot_id, coalesce(a.src,b.src) AS src, coalesce(a.dst,b.dst) AS dst, CASE WHEN b.src IS NULL THEN 'missing' ELSE 'extra' END AS problem FROM (SELECT y.snapshot_id, g.src, g.dst FROM (SELECT DISTINCT src, dst FROM v_graph WHERE edge_type='trace') g CROSS JOIN (SELECT DISTINCT snapshot_id FROM v_snapshots) y) a FULL JOIN (SELECT DISTINCT snapshot_id, src, dst FROM v_snapshots) b ON a.snapshot_id=b.snapshot_id AND a.src=b.src AND a.dst=b.dst WHERE a.src IS NULL OR b.src IS NULL")
 def _(v):
-    return V.coverage(v.graph().where("edge_type = 'trace'"), v.snapshots().where("snapshot_id = 'y1996'"), ["src", "dst"])
+    edges = v.graph().where("edge_type = 'trace'").select("src", "dst")
+    years = v.snapshots().select("snapshot_id").distinct()  # one row a snapshot: the grid is each snapshot's expected edges
+    return V.coverage(edges.crossJoin(years), v.snapshots(), ["snapshot_id", "src", "dst"])
 
 
 @query("val_07_topology_versions", "SELECT snapshot_id, count(DISTINCT valid_from) AS versions, max(valid_to)>min(valid_from) AS ordered FROM v_snapshots GROUP BY 1")

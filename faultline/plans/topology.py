@@ -28,9 +28,9 @@ def services(v):
 _SEED = "SELECT DISTINCT src AS seed FROM v_graph WHERE edge_type='call'"
 
 
-@query("top_01_point_in_time", "SELECT o.o_orderkey AS q, o_orderdate_s AS ts, s.snapshot_id, CASE WHEN s.snapshot_id IS NULL THEN 'no_snapshot' END AS issue FROM (SELECT o_orderkey, epoch(date_trunc('day', o_orderdate)) AS o_orderdate_s FROM orders WHERE o_orderkey % 10 = 0) o LEFT JOIN (SELECT DISTINCT snapshot_id, valid_from, valid_to FROM v_snapshots) s ON o_orderdate_s>=valid_from AND o_orderdate_s<valid_to")
+@query("top_01_point_in_time", "SELECT o.o_orderkey AS q, o_orderdate_s AS ts, s.snapshot_id, CASE WHEN s.snapshot_id IS NULL THEN 'no_snapshot' END AS issue FROM (SELECT o_orderkey, epoch(date_trunc('day', o_orderdate)) AS o_orderdate_s FROM orders) o LEFT JOIN (SELECT DISTINCT snapshot_id, valid_from, valid_to FROM v_snapshots) s ON o_orderdate_s>=valid_from AND o_orderdate_s<valid_to")
 def _(v):
-    q = v.table("orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("q"), (F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")) * 86400.0).alias("ts"))
+    q = v.table("orders").select(F.col("o_orderkey").alias("q"), (F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")) * 86400.0).alias("ts"))
     return T.point_in_time(q, v.snapshots(), "ts")
 
 

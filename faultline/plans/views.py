@@ -101,11 +101,10 @@ class Views:
 
     def graph(self) -> DataFrame:
         totals = self.call_rows().groupBy("src", "dst").agg(F.count("*").alias("n")).where("src <> dst")
-        best = totals.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))).where("r <= 3")
-        i = F.col("id")
-        svc = lambda x: F.concat(F.lit("svc"), x.cast("string"))
-        ring = self.spark.range(0, 11, 1, 1).select(svc(i).alias("src"), svc((i + 1) % 11).alias("dst"), F.lit("call").alias("edge_type"), F.lit(1.0).alias("weight"))
-        return best.select("src", "dst", F.lit("trace").alias("edge_type"), (F.col("n") / 1000.0).alias("weight")).unionByName(ring)
+        i = F.col("user_id")
+        svc = lambda x: F.concat(F.lit("svc"), (x % 11).cast("string"))
+        ring = self.table("events").select(svc(i).alias("src"), svc(i + 1).alias("dst")).distinct().select("src", "dst", F.lit("call").alias("edge_type"), F.lit(1.0).alias("weight"))
+        return totals.select("src", "dst", F.lit("trace").alias("edge_type"), (F.col("n") / 1000.0).alias("weight")).unionByName(ring)
 
     def placement(self) -> DataFrame:
         nation, region = self.table("nation"), self.table("region")
@@ -146,8 +145,8 @@ SQL["v_incidents"] = """SELECT 'inc'||i AS incident_id, 'svc'||i AS root_service
 SQL["v_call_rows"] = """SELECT a.n_name AS src, b.n_name AS dst, strftime(o_orderdate, '%Y-%m') AS month, l_quantity AS latency, CAST(l_returnflag='R' AS BIGINT) AS failed, l_orderkey AS request_id, l_linenumber AS line
  FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN supplier ON l_suppkey=s_suppkey JOIN nation a ON c_nationkey=a.n_nationkey JOIN nation b ON s_nationkey=b.n_nationkey"""
 SQL["v_calls"] = "SELECT src, dst, month, count(*) AS n, quantile_disc(latency, 0.95) AS p95, CAST(sum(failed) AS BIGINT) AS failed FROM v_call_rows GROUP BY 1,2,3"
-SQL["v_graph"] = """SELECT src, dst, 'trace' AS edge_type, n/1000.0 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS r FROM (SELECT src, dst, count(*) AS n FROM v_call_rows WHERE src<>dst GROUP BY 1,2)) WHERE r<=3
- UNION ALL SELECT 'svc'||i, 'svc'||((i+1)%11), 'call', 1.0 FROM range(0,11) t(i)"""
+SQL["v_graph"] = """SELECT src, dst, 'trace' AS edge_type, n/1000.0 AS weight FROM (SELECT src, dst, count(*) AS n FROM v_call_rows WHERE src<>dst GROUP BY 1,2)
+ UNION ALL SELECT DISTINCT 'svc'||(user_id%11), 'svc'||((user_id+1)%11), 'call', 1.0 FROM events"""
 SQL["v_placement"] = "SELECT n_name AS service, r_name AS node FROM nation JOIN region ON n_regionkey=r_regionkey UNION ALL SELECT DISTINCT service, node FROM v_metrics"
 SQL["v_snapshots"] = """SELECT 'y'||y AS snapshot_id, epoch(make_date(y,1,1)) AS valid_from, epoch(make_date(y+1,1,1)) AS valid_to, src, dst, n
  FROM (SELECT CAST(substr(month,1,4) AS INT) AS y, src, dst, count(*) AS n FROM v_call_rows WHERE src<>dst GROUP BY 1,2,3)"""
