@@ -31,6 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         done, edges = edges, written(small.where("src <> dst").distinct(), few=True)
         if done is not first:
             drop_written(done)
+    else:
+        raise RuntimeError("components were not settled")
     if not maps:
         return edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
     out = maps[0].select("node", F.col("to").alias("root"))

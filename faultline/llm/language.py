@@ -36,9 +36,12 @@ def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int
     order = [F.col("h"), F.col("doc_id")]
     some = part.withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("k") <= sample_docs)
     best = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= sample_docs)
-    chosen = F.broadcast(best.select("doc_id", "lang").distinct())  # at most sample_docs rows a language
+    chosen = best.select("doc_id", "lang").distinct()
     share = max(1, size // sample_docs)
-    rows = labelled.join(chosen, ["doc_id", "lang"]).select("lang", "doc_id", F.substring("text", 1, 8 * share).alias("text")).collect()
+    # each text gives what its share of the size takes, eight characters a byte at most
+    room = F.greatest(F.lit(share), F.floor(F.lit(size) / F.count("*").over(Window.partitionBy("lang")))) * 8
+    chosen = F.broadcast(chosen.withColumn("room", room.cast("int")))  # at most sample_docs rows a language
+    rows = labelled.join(chosen, ["doc_id", "lang"]).select("lang", "doc_id", F.substring("text", F.lit(1), F.col("room")).alias("text")).collect()
     out: dict[str, bytes] = {}
     by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] or 0, r["text"] or "")):

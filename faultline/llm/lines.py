@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .tokens import in_parts
 
 #: Words that a common block must hold to be deleted; chance-equal short lines stay.
 MIN_BLOCK_WORDS = 10
@@ -35,21 +36,23 @@ def line_table(keyed: DataFrame) -> DataFrame:
         types = [pa.int64()] * 3 + [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         names = [c.split()[0] for c in _LINES.split(", ")]
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            for key, version, text in zip(*(c.to_pylist() for c in batch.columns)):
-                places: dict[bytes, tuple[list, list]] = {}
-                n = 0
-                for i, line in enumerate((text or "").encode().split(b"\n")):
-                    if line := line.strip():
-                        ords, at = places.setdefault(line, ([], []))
-                        ords.append(n)
-                        at.append(i)
-                        n += 1
-                for line, (ords, at) in places.items():
-                    h = xxh64_intdigest(line)
-                    for c, v in zip(cols, (key, version, h - (1 << 64) if h >> 63 else h, len(line.split()), ords, at)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+            keys, versions, texts = (c.to_pylist() for c in batch.columns)
+            for lo, hi in in_parts(texts):
+                cols: list[list] = [[] for _ in names]
+                for key, version, text in zip(keys[lo:hi], versions[lo:hi], texts[lo:hi]):
+                    places: dict[bytes, tuple[list, list]] = {}
+                    n = 0
+                    for i, line in enumerate((text or "").encode().split(b"\n")):
+                        if line := line.strip():
+                            ords, at = places.setdefault(line, ([], []))
+                            ords.append(n)
+                            at.append(i)
+                            n += 1
+                    for line, (ords, at) in places.items():
+                        h = xxh64_intdigest(line)
+                        for c, v in zip(cols, (key, version, h - (1 << 64) if h >> 63 else h, len(line.split()), ords, at)):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     return keyed.select("key", "version", "text").mapInArrow(split, _LINES)
 

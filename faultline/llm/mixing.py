@@ -96,7 +96,7 @@ def whole_copies(cells: DataFrame, cap: float) -> DataFrame:
     k = F.col("upto") - F.coalesce(F.lag("upto").over(down), F.lit(0))
     most = F.floor(F.lit(cap) * F.col("n"))
     cells = written(cells.withColumn("k", F.greatest(F.lit(0), F.least(k, most)).cast("long")).drop("upto"), few=True)
-    for _ in range(ROUNDS):
+    while True:  # each round brings a source nearer to its target by a whole document at least, or ends
         off = cells.groupBy("key").agg((F.max("target") - F.sum(F.col("k") * F.col("size"))).alias("off"))
         room = F.when(F.col("off") > 0, most - F.col("k")).otherwise(F.col("k"))
         fits = (F.col("size") > 0) & (F.col("size") <= F.abs("off")) & (room > 0)

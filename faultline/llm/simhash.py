@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .graph import components
+from .tokens import in_parts
 
 #: Leading bits that deal trie nodes to tasks. A fingerprint goes to 1 + b + b(b-1)/2 node pairs (56 for 10).
 PREFIX_BITS = 10
@@ -40,26 +41,31 @@ def majority_bits(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): SimHash over the lower-cased word shingles (XXH64, seed 42), repeats included.
+    """(doc_id, fp, version): SimHash over the lower-cased word shingles (XXH64, seed 42), repeats included.
 
-    Fewer words than a shingle: the whole sequence is the shingle; null or blank text: 0.
+    Fewer words than a shingle: the whole sequence is the shingle; null or blank text: 0. version, a hash of the text, tells
+    rows of one doc_id apart.
     """
 
     def hashed(batches):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            runs, lengths = [], []
-            for text in batch.column(1).to_pylist():
-                w = (text or "").encode().lower().split()
-                grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else [b" ".join(w)] * bool(w)
-                h = np.fromiter(map(xxh64_intdigest, grams, repeat(42)), np.uint64)
-                runs.append(h)
-                lengths.append(len(h))
-            fp = majority_bits(np.concatenate(runs) if runs else np.zeros(0, np.uint64), np.array(lengths, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "doc_id long, fp long")
+            texts, out = batch.column(1).to_pylist(), [np.zeros(0, np.uint64)]
+            for lo, hi in in_parts(texts):
+                runs, lengths = [], []
+                for text in texts[lo:hi]:
+                    w = (text or "").encode().lower().split()
+                    grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else [b" ".join(w)] * bool(w)
+                    h = np.fromiter(map(xxh64_intdigest, grams, repeat(42)), np.uint64)
+                    runs.append(h)
+                    lengths.append(len(h))
+                out.append(majority_bits(np.concatenate(runs), np.array(lengths, np.int64)))
+            fp = pa.array(np.concatenate(out).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, batch.column(2)], names=["doc_id", "fp", "version"])
+
+    version = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.select(F.col("doc_id").cast("long"), "text", version.alias("version")).mapInArrow(hashed, "doc_id long, fp long, version long")
 
 
 def trie_pairs(keys: np.ndarray, left: tuple, right: tuple, spent: np.ndarray, budget: int, top: int = 63) -> tuple[np.ndarray, np.ndarray]:
@@ -185,21 +191,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, prefix_b
     (fingerprint 0, linked like any other); rows with a null doc_id get their component,
     whose id is null only if no other row is in it. Empty table: no rows.
     """
-    held = written(fingerprints(docs, shingle))
-    groups = written(held.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = near_links(groups.select("fp"), budget, prefix_bits)
-    roots = written(components(links), few=True)
-    joined = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    joined = written(joined)
+    held = written(fingerprints(docs, shingle).select("doc_id", "fp"))
+    joined = written(rooted(held.groupBy("fp").agg(F.min("doc_id").alias("least")), budget, prefix_bits))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of = joined.join(least, "root").select("fp", "component_id")
     return held.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without near duplicates: of each component the row with the smallest doc_id stays.
+def rooted(groups: DataFrame, budget: int, prefix_bits: int) -> DataFrame:
+    """groups (one row for each fp) plus root, which the fingerprints of a component share."""
+    groups = written(groups)
+    links = near_links(groups.select("fp"), budget, prefix_bits)
+    roots = written(components(links), few=True)
+    return groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
 
-    Rows that repeat the doc_id of a kept row are dropped as copies of it.
+def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 2, prefix_bits: int = PREFIX_BITS) -> DataFrame:
+    """docs without near duplicates: of each component the row with the smallest doc_id stays, rows without one last, then by
+    text hash.
+
+    Rows that repeat a doc_id with other texts are rows of their own; rows that repeat doc_id and text are one.
     """
-    least = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    held = written(fingerprints(docs, shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")).alias("kept")
+    best = rooted(held.groupBy("fp").agg(first), budget, prefix_bits).groupBy("root").agg(F.min("kept").alias("kept"))
+    kept = best.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.version").alias("kept_version"))
+    version = F.xxhash64(F.coalesce("text", F.lit("")))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col("doc_id").cast("long").alias("own_id"), version.alias("version"))
+    stay = own.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("version") == F.col("kept_version")), "left_semi")
+    return stay.dropDuplicates(["own_id", "version"]).select("all.*")

@@ -129,7 +129,15 @@ def test_simhash_against_brute_force(docs):
     assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == want
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
+    missing = lambda d: (d is None, d or 0)
+    assert sorted((r.doc_id for r in kept.collect()), key=missing) == sorted((least.get(k) for k in {find(i) for i in range(len(rows))}), key=missing)
+
+
+def test_simhash_keeps_rows_without_an_id_and_texts_that_share_one(spark):
+    a, b, c = ("alpha beta gamma delta", "one two three four five six", "red green blue white black grey")
+    rows = [(None, a), (7, b), (7, c), (7, b), (None, b), (3, c)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (7, b), (3, c)])
 
 
 def stage_near_dedup(spark, rows):
