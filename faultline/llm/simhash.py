@@ -13,8 +13,10 @@ from .common import written
 from .graph import components
 from .tokens import in_parts
 
-#: Leading bits that deal trie nodes to tasks. A fingerprint goes to 1 + b + b(b-1)/2 node pairs (56 for 10).
+#: Least leading bits that deal trie nodes to tasks. A fingerprint goes to 1 + b + b(b-1)/2 node pairs (56 for 10).
 PREFIX_BITS = 10
+#: Fingerprints of a trie node, on average, above which the prefix is lengthened.
+NODE_ROWS = 1 << 20
 #: Fingerprint copies that a task traverses at once.
 TRAVERSE_ROWS = 400_000
 
@@ -168,13 +170,11 @@ def near_links(fps: DataFrame, budget: int = 2, prefix_bits: int = PREFIX_BITS)
             key = batch.column(0).to_numpy().astype(np.int64) << depth | batch.column(1).to_numpy().astype(np.int64)
             held.append(np.stack([batch.column(2).to_numpy(), key]))
             size += len(key)
-            if size >= TRAVERSE_ROWS:
+            if size >= TRAVERSE_ROWS and held[0][1][0] != key[-1]:
                 rows = np.concatenate(held, axis=1)
-                cut = np.flatnonzero(rows[1][1:] != rows[1][:-1])
-                if len(cut):
-                    yield solve(rows[0][: cut[-1] + 1], rows[1][: cut[-1] + 1])
-                    rows = rows[:, cut[-1] + 1 :]
-                held, size = [rows], rows.shape[1]
+                cut = np.flatnonzero(rows[1][1:] != rows[1][:-1])[-1] + 1
+                yield solve(rows[0][:cut], rows[1][:cut])
+                held, size = [rows[:, cut:]], rows.shape[1] - cut
         if size:
             rows = np.concatenate(held, axis=1)
             yield solve(rows[0], rows[1])
@@ -199,9 +199,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, prefix_b
 
 
 def rooted(groups: DataFrame, budget: int, prefix_bits: int) -> DataFrame:
-    """groups (one row for each fp) plus root, which the fingerprints of a component share."""
+    """groups (one row for each fp) plus root, which the fingerprints of a component share; the prefix grows with their number."""
     groups = written(groups)
-    links = near_links(groups.select("fp"), budget, prefix_bits)
+    links = near_links(groups.select("fp"), budget, max(prefix_bits, (groups.count() // NODE_ROWS).bit_length()))
     roots = written(components(links), few=True)
     return groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
