@@ -15,6 +15,8 @@ LOW, HIGH = -(1 << 63), (1 << 63) - 1
 TOLERANCE, GROUP_TOLERANCE = 0.002, 0.05
 #: Candidate boundaries for each open splitter and round.
 PROBES = 7
+#: Bits of the text hash that part the rows for numbering; a group with more rows than one such part is parted by PART_BITS of its doc_ids' hash.
+RANGE_BITS, PART_BITS = 12, 8
 
 
 def counted(hist: DataFrame, probes: list[tuple], keys: list[str]) -> list[tuple[int, int]]:
@@ -80,7 +82,8 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = TOLERANCE, group
     (a group with more than ``group_tolerance`` of a shard there is cut between its
     doc_ids). Splitters come from repeated exact counts of bytes; the rows then move once. Size: UTF-8
     bytes plus 8 (null text: 8). Null doc_id comes first within its group; rows equal in
-    text and doc_id stay together. Empty table: no rows. Columns named like an output are replaced.
+    text and doc_id stay together. Slots follow the order, but for groups of many copies, which come last
+    of their range of hashes. Empty table: no rows. Columns named like an output are replaced.
     """
     outputs = ["size", "shard", "slot"]
     names = [c for c in docs.columns if c not in outputs]
@@ -89,8 +92,8 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = TOLERANCE, group
         *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)],
         size.alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("d"),
     )
-    hist = written(keyed.groupBy("h").agg(F.sum("size").alias("bytes")))
-    total = hist.agg(F.sum("bytes")).first()[0] or 0
+    hist = written(keyed.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    total, rows = hist.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     each = total / shards
     goals = {j: round(total * j / shards) for j in range(1, shards)}
     splitters: list[tuple[int, int]] = []
@@ -112,5 +115,24 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = TOLERANCE, group
             final |= {j: (group[j], cut[j][0]) for j in coarse}
         splitters = sorted(final.values())
     placed = keyed.withColumn("shard", below(splitters, [F.col("h"), F.col("d")]).cast("int") if splitters else F.lit(0))
-    slot = F.row_number().over(Window.partitionBy("shard").orderBy("h", "d")).cast("long") - 1
-    return placed.withColumn("slot", slot).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], *outputs)
+    return numbered(placed, hist, rows).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], *outputs)
+
+
+def numbered(placed: DataFrame, hist: DataFrame, rows: int) -> DataFrame:
+    """placed plus slot, gapless from 0 within each shard, without a task for a whole shard.
+
+    Rows are numbered within parts (a range of text hashes; of a group with more rows than a range should have, a range of its
+    doc_ids' hashes) and the parts' places are running sums of their counts. Of such groups there are fewer than ranges, which
+    bounds what the driver sees; of parts there are at most that many times 2^PART_BITS, and the shards.
+    """
+    many = [r["h"] for r in hist.where(F.col("n") > F.lit(max(1, rows >> RANGE_BITS))).where("n > 1").select("h").collect()]
+    wide = F.when(F.col("h").isin(many), F.col("h")) if many else F.lit(None).cast("long")
+    part = F.when(F.col("h").isin(many), F.shiftrightunsigned(F.xxhash64("d"), 64 - PART_BITS)) if many else F.lit(None).cast("long")
+    parted = placed.withColumns({"range": F.shiftright("h", 64 - RANGE_BITS), "wide": wide, "part": part})
+    keys = ["range", "wide", "part"]
+    sizes = parted.groupBy("shard", *keys).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy(*keys)) - F.col("n")
+    starts = sizes.select(F.col("shard").alias("s"), *[F.col(k).alias(f"start_{k}") for k in keys], before.alias("before"))
+    own = parted.withColumn("place", F.row_number().over(Window.partitionBy("shard", *keys).orderBy("h", "d")))
+    same = [F.col(k).eqNullSafe(F.col(f"start_{k}")) for k in keys]
+    return own.join(starts, functools.reduce(Column.__and__, same, F.col("shard") == F.col("s"))).withColumn("slot", F.col("before") + F.col("place") - 1)
