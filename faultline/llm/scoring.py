@@ -34,6 +34,8 @@ COPY = 3
 REACH, BUCKETS = 4, 64
 #: Averaged rounds of training, each over its share of all windows; windows in a step, and the rate of the steps.
 ROUNDS, BATCH, RATE = 2, 64, 0.02
+#: Windows whose arrays are held at once: they stay in the processor's cache and are not given back to the system each time.
+BLOCK = 32
 #: Most words whose counts are handed to every worker, as a cache; all other words are joined to their counts.
 FREQUENT = 200_000
 SCALE = 16
@@ -448,12 +450,19 @@ def forward(w: dict, seen: np.ndarray):
 
 
 def gradient(w: dict, seen: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict:
-    """Gradient of the weighted mean log loss of the ids of the next token under the mixture of experts."""
+    """Gradient of the weighted mean log loss of the ids of the next token under the mixture of experts: the sum over blocks of windows."""
+    part = (weight / max(weight.sum(), 1)).astype(seen.dtype)
+    blocks = [block_gradient(w, *(x[lo : lo + BLOCK] for x in (seen, target, part))) for lo in range(0, len(seen), BLOCK)]
+    return {name: sum(g[name] for g in blocks) for name in blocks[0]}
+
+
+def block_gradient(w: dict, seen: np.ndarray, target: np.ndarray, part: np.ndarray) -> dict:
+    """Gradient of the log loss summed with weights ``part``."""
     d, n, k = WIDTH, len(seen), seen.shape[2]
     logits, (x, q, key, v, a, mixed, hidden, pooled) = forward(w, seen)
     gate = softmax(logits)
     p = gate - softmax(logits + target)
-    p *= (weight / max(weight.sum(), 1))[:, :, None]
+    p *= part[:, :, None]
     p = p.reshape(-1, k)
     hidden = hidden.reshape(-1, d)
     g = {"out": hidden.T @ p, "skip": pooled.reshape(-1, k).T @ p, "bias": p.sum(0)}
@@ -567,7 +576,7 @@ def training_batches(batches, turn: int, rounds: int, opens: np.ndarray, evidenc
         yield tokens[:, :-1], tokens[:, 1:], fresh_, marks
 
 
-def log_probabilities(blobs: list[bytes], levels: list[bytes], stats: Statistics, w: dict, goes_on: np.ndarray, shares: np.ndarray, at_once: int = 256) -> np.ndarray:
+def log_probabilities(blobs: list[bytes], levels: list[bytes], stats: Statistics, w: dict, goes_on: np.ndarray, shares: np.ndarray, at_once: int = BLOCK) -> np.ndarray:
     """Natural log probability of each text's tokens; every token is predicted in one window. shares: of a word by its level."""
     stream, begins, lengths = streamed(blobs, stats.opens)
     tokens, marks = token_evidence(stream, begins, stats.evidence), token_marks(stream, begins)

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -291,6 +292,8 @@ def test_sharding_cuts_a_group_larger_than_a_shard(spark):
     sizes = sharding.shard(df, shards=8).groupBy("shard").agg(F.sum("size").alias("s")).collect()
     assert len(sizes) == 8
     assert max(r.s for r in sizes) - min(r.s for r in sizes) <= 2 * 58
+    for rows in sharding.shard(df, shards=8).groupBy("shard").agg(F.collect_list("slot").alias("slots"), F.collect_list("doc_id").alias("ids")).collect():
+        assert sorted(rows.slots) == list(range(len(rows.ids)))
 
 
 def test_base_spans_and_long_runs(spark):
@@ -461,7 +464,7 @@ def test_the_cache_of_frequent_words_decides_nothing(docs):
 
 def test_windows_score_each_prediction_once():
     lengths = np.array([1, 5, 31, 32, 33, 100, 1000])
-    place, fresh, text = scoring.windows(lengths)
+    place, fresh = scoring.windows(lengths)
     base = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     hit = Counter(place[:, 1:][fresh].tolist())
     assert hit == Counter(b + i for b, n in zip(base.tolist(), lengths.tolist()) for i in range(1, n + 1))
@@ -469,54 +472,82 @@ def test_windows_score_each_prediction_once():
 
 def test_training_takes_every_window_of_every_document():
     rng = np.random.default_rng(5)
-    lengths = [3, 40, 900, 31, 0, 200, 75]
-    blobs = [rng.integers(1, 1000, n).astype("<u2").tobytes() for n in lengths]
-    levels = [np.zeros(n + 1, "<u2").tobytes() for n in lengths]
-    opens = np.ones(scoring.SIZE, bool)
-    batch = pa.RecordBatch.from_arrays([pa.array([zlib.crc32(b) for b in blobs]), pa.array(blobs, pa.binary()), pa.array(levels, pa.binary())], names=["h", "ids", "levels"])
+    blobs = [rng.integers(1, 1000, n).astype("<u2").tobytes() for n in [3, 40, 900, 31, 0, 200, 75]]
+    opens, evidence = np.ones(scoring.SIZE, bool), np.zeros((scoring.SIZE, 2), np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array([None, 5, 2, 3, 4, 9, 8]), pa.array(blobs, pa.binary())], names=["doc_id", "ids"])
     got = Counter()
     for turn in range(scoring.ROUNDS):
-        for ids, _ in scoring.training_batches([batch], turn, scoring.EVERY, scoring.ROUNDS, opens, np.ones(1, np.float32)):
-            got.update(row.tobytes() for row in ids)
-    stream, n = scoring.streamed(blobs)
-    assert got == Counter(row.tobytes() for row in stream[scoring.windows(n)[0]])
+        for _, _, _, marks in scoring.training_batches([batch], turn, scoring.ROUNDS, opens, evidence):
+            got.update(row.tobytes() for row in marks)
+    stream, begins, n = scoring.streamed(blobs, opens)
+    assert got == Counter(row.tobytes() for row in scoring.token_marks(stream, begins)[scoring.windows(n)[0]])
 
 
-def test_attention_is_causal_and_gradients_are_right():
-    class Stats:
-        k = 5
-        row = np.arange(20) % 7
-        classes = np.arange(20) % 5
-
-        def base(self, last, target):
-            return np.zeros((*last.shape, 5), np.float32)
-
+def test_attention_is_causal_and_gradients_are_right(monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK", 2)
     rng = np.random.default_rng(2)
-    flat = (scoring.fresh(5) + rng.normal(0, 0.1, len(scoring.fresh(5)))).astype(np.float64)
-    ids = rng.integers(0, 20, (2, scoring.WINDOW + 1))
-    stats, weight = Stats(), np.ones((2, scoring.WINDOW))
-    w = scoring.split(flat, 5)
-    one, _ = scoring.forward(w, stats.row[ids[:, :-1]])
-    other = ids.copy()
+    k = 5
+    flat = scoring.fresh(np.zeros(k)).astype(np.float64)
+    flat += rng.normal(0, 0.1, len(flat))
+    seen, target = rng.normal(0, 1, (2, 3, scoring.WINDOW, k))
+    weight = rng.random((3, scoring.WINDOW)) < 0.8
+    w = scoring.split(flat, k)
+    other = seen.copy()
     other[:, 20:] = 3
-    two, _ = scoring.forward(w, stats.row[other[:, :-1]])
-    assert np.allclose(one[:, :20], two[:, :20])
+    assert np.allclose(scoring.forward(w, seen)[0][:, :20], scoring.forward(w, other)[0][:, :20])
 
     def loss(x):
-        w = scoring.split(x, 5)
-        hidden, _ = scoring.forward(w, stats.row[ids[:, :-1]])
-        logits = hidden @ w["out"]
-        return -(np.take_along_axis(logits, stats.classes[ids[:, 1:]][..., None], 2)[..., 0] - scoring.normalised(logits)).mean()
-
-    parts = scoring.gradient(w, stats, ids, weight)
-    g = np.concatenate([parts[n].ravel() for n in scoring.shapes(5)])
-    for i in rng.choice(np.flatnonzero(np.abs(g) > 1e-6), 12, replace=False):
+        logits, _ = scoring.forward(scoring.split(x, k), seen)
+        mixed = np.log((scoring.softmax(logits) * np.exp(target)).sum(2))
+        return -(mixed * weight).sum() / weight.sum()
+
+    parts = scoring.gradient(w, seen, target, weight)
+    g = np.concatenate([parts[n].ravel() for n in scoring.shapes(k)])
+    for i in rng.choice(np.flatnonzero(np.abs(g) > 1e-5), 20, replace=False):
         up, down = flat.copy(), flat.copy()
         up[i] += 1e-5
         down[i] -= 1e-5
         assert g[i] == pytest.approx((loss(up) - loss(down)) / 2e-5, rel=2e-3, abs=1e-7)
 
 
+def test_log_probabilities_against_one_token_at_a_time():
+    rng = np.random.default_rng(4)
+    k, classes = 3, 4
+    opens = rng.random(scoring.SIZE) < 0.7
+    opens[scoring.END_ID] = True
+    stats = SimpleNamespace(
+        opens=opens, evidence=rng.normal(0, 1, (scoring.SIZE, k)), prior=rng.normal(0, 1, k), per=rng.random(k), left=rng.random(k) / 2, classes=rng.integers(0, classes, scoring.SIZE),
+        goes_on=-rng.random(scoring.SIZE), ends=-rng.random(scoring.SIZE), follow=-rng.random((scoring.SIZE + 1, classes)), share=-rng.random((classes + 1, scoring.SIZE)), start=rng.random((scoring.SIZE, k)),
+    )
+    w = scoring.split(rng.normal(0, 0.4, len(scoring.fresh(np.zeros(k)))), k)
+    goes_on, shares = np.array([0.1, 0.3, 0.6]), rng.random(9)
+    pool = np.flatnonzero(opens[:60])[:12]
+    texts = [[[int(rng.choice(pool)), *(int(x) for x in np.flatnonzero(~opens[:40])[: rng.integers(0, 3)])] for _ in range(n)] for n in (0, 1, 30, 31, 32, 33, 57, 120)]
+    levels = [rng.integers(0, 9, len(t) + 1) for t in texts]
+    got = scoring.log_probabilities([np.array(sum(t, []), "<u2").tobytes() for t in texts], [x.astype("<u2").tobytes() for x in levels], stats, w, goes_on, shares)
+    ev = lambda t: np.clip(stats.evidence[t].sum(0), -12, 12)
+    for text, level, value in zip(texts, levels, got):
+        tokens, total = [[scoring.END_ID], *text, [scoring.END_ID]], 0.0
+        for j in range(len(tokens) - 1):
+            at = max(0, (j - scoring.OVERLAP) // (scoring.WINDOW - scoring.OVERLAP)) if j >= scoring.WINDOW else 0
+            at *= scoring.WINDOW - scoring.OVERLAP
+            seen, target = tokens[at : j + 1], tokens[j + 1]
+            x = np.array([ev(t) for t in seen]) @ w["lift"] + w["place"][: len(seen)]
+            a = scoring.softmax((x[-1] @ w["q"]) @ (x @ w["k"]).T / math.sqrt(scoring.WIDTH))
+            hidden = np.tanh(x[-1] + (a @ (x @ w["v"])) @ w["o"])
+            gate = scoring.softmax(hidden @ w["out"] + (a @ np.array([ev(t) for t in seen])) @ w["skip"] + w["bias"][0])
+            known = shares[level[j]] * (gate * scoring.softmax(stats.prior + ev(target))) @ stats.per
+            spelled = stats.ends[target[-1]] + sum(stats.goes_on[x] + stats.follow[x, stats.classes[y]] + stats.share[stats.classes[x], y] for x, y in zip(target, target[1:]))
+            p = known + (gate * stats.start[target[0]]) @ stats.left * math.exp(spelled)
+            for length in range(min(scoring.COPY, len(seen) - 1), 0, -1):
+                ends = [e for e in range(length, len(seen)) if seen[e - length : e] == seen[-length:]]
+                if ends:
+                    p = (1 - goes_on[length - 1]) * p + goes_on[length - 1] * (seen[ends[-1]] == target)
+                    break
+            total += math.log(p)
+        assert value == pytest.approx(total, rel=1e-4)
+
+
 def test_word_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
