@@ -69,7 +69,7 @@ def seeded(tag: str, broadcast):
 
 
 def prepared(texts: list, coding, places: dict, pool: np.ndarray, pool_starts: np.ndarray, logs: np.ndarray, levels: np.ndarray) -> list[list]:
-    """Columns of each text: n_tokens, n_often, often_sum, rare words, their counts, their places (in the order of the zeros of levels), levels, ids."""
+    """Columns of each text: n_tokens, n_often, often_sum, rare words, which of them stands at each zero of levels, levels, ids."""
     found = [words_of(t) for t in texts]
     n = np.array([len(w) for w in found], np.int64)
     flat = list(chain.from_iterable(found))
@@ -91,13 +91,13 @@ def prepared(texts: list, coding, places: dict, pool: np.ndarray, pool_starts: n
     counts = np.bincount(doc[often], minlength=len(texts)) + (end >= 0)
     level = levels[at]
     cut = np.searchsorted(doc[rare_at], np.arange(len(texts) + 1)).tolist()
-    out: list[list] = [[] for _ in range(8)]
+    out: list[list] = [[] for _ in range(7)]
     for i in range(len(texts)):
         rare: dict[bytes, int] = {}
         which = np.array([rare.setdefault(w, len(rare)) for w in rare_words[cut[i] : cut[i + 1]] + [END] * (end < 0)], "<u4")
         blob = ids[starts[first[i]] : starts[first[i + 1]]].tobytes()
         row = (
-            n[i] + 1, counts[i], sums[i], list(rare), np.bincount(which, minlength=len(rare)).tolist(), which.tobytes(),
+            n[i] + 1, counts[i], sums[i], list(rare), which.tobytes(),
             level[first[i] : first[i + 1]].tobytes() + levels[end].tobytes(), blob,
         )
         for column, value in zip(out, row):
@@ -105,17 +105,6 @@ def prepared(texts: list, coding, places: dict, pool: np.ndarray, pool_starts: n
     return out
 
 
-def completed(levels: bytes, which: bytes, found: list[int] | None) -> bytes:
-    """Levels with those of the joined words in place of the zeros; found: place of a rare word << 16 | its level."""
-    if not found:
-        return levels
-    out, at, codes = np.frombuffer(levels, "<u2").copy(), np.frombuffer(which, "<u4"), np.array(found, np.int64)
-    of = np.zeros(max(at.max(), (codes >> 16).max()) + 1, "<u2")
-    of[codes >> 16] = codes & 0xFFFF
-    out[out == 0] = of[at]
-    return out.tobytes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -576,8 +565,9 @@ def training_batches(batches, turn: int, rounds: int, opens: np.ndarray, evidenc
         yield tokens[:, :-1], tokens[:, 1:], fresh_, marks
 
 
-def log_probabilities(blobs: list[bytes], levels: list[bytes], stats: Statistics, w: dict, goes_on: np.ndarray, shares: np.ndarray, at_once: int = BLOCK) -> np.ndarray:
-    """Natural log probability of each text's tokens; every token is predicted in one window. shares: of a word by its level."""
+def token_terms(blobs: list[bytes], stats: Statistics, w: dict, goes_on: np.ndarray, at_once: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known, other, where each text starts) of the tokens of all texts, one after the other: a token's probability is its corpus share times
+    exp(known), plus exp(other). Every token is predicted in one window."""
     stream, begins, lengths = streamed(blobs, stats.opens)
     tokens, marks = token_evidence(stream, begins, stats.evidence), token_marks(stream, begins)
     place, fresh_ = windows(lengths)
@@ -597,14 +587,22 @@ def log_probabilities(blobs: list[bytes], levels: list[bytes], stats: Statistics
     inner[begins] = 0
     stop = np.append(begins[1:], len(stream)) - 1
     spelled = np.add.reduceat(inner, begins) + stats.ends[stream[stop]]
-    share = np.zeros(len(begins))
-    share[scored] = shares[np.frombuffer(b"".join(levels), "<u2")]
-    known = share * (gate * softmax(stats.prior + tokens) @ stats.per)
+    known = gate * softmax(stats.prior + tokens) @ stats.per
     new = (gate * stats.start[stream[begins]]) @ stats.left
-    token = np.logaddexp(np.log(np.maximum(known, 1e-300)), np.log(np.maximum(new, 1e-300)) + spelled)
     copies = np.append(0.0, goes_on)[run]
-    token = np.logaddexp(np.log1p(-copies) + token, np.where(right, np.log(np.maximum(copies, 1e-300)), -np.inf))
-    return np.add.reduceat(np.where(scored, token, 0.0), lead)
+    own = np.log1p(-copies)
+    other = np.logaddexp(own + np.log(np.maximum(new, 1e-300)) + spelled, np.where(right, np.log(np.maximum(copies, 1e-300)), -np.inf))
+    return (own + np.log(np.maximum(known, 1e-300)))[scored], other[scored], lead - np.arange(len(lead))
+
+
+def judged(blobs: list[bytes], levels: list[bytes], stats: Statistics, w: dict, goes_on: np.ndarray, shares: np.ndarray) -> tuple:
+    """Of each text: the summed natural log probability of the tokens with a level; known and other of those without one, and where each text's begin."""
+    known, other, starts = token_terms(blobs, stats, w, goes_on)
+    level = np.frombuffer(b"".join(levels), "<u2")
+    often = level > 0
+    token = np.where(often, np.logaddexp(np.log(np.maximum(shares[level], 1e-300)) + known, other), 0.0)
+    edges = np.searchsorted(np.flatnonzero(~often), np.append(starts, len(level))).astype(np.int32)
+    return np.add.reduceat(token, starts), known[~often], other[~often], edges
 
 
 # --- the operator ----------------------------------------------------------------------------------------------
@@ -614,9 +612,9 @@ def level_of(c: str):
     return F.floor(F.log2(c) * SCALE).cast("int") + 1
 
 
-def frequent(counts: DataFrame, total: int, most: int) -> tuple[tuple, np.ndarray]:
-    """The words of highest count, at most ``most``, as (words, counts, levels, ids of all, where each word's ids start); and by level, of any training word, its
-    share of the training tokens.
+def frequent(counts: DataFrame, total: int, most: int) -> tuple[tuple, np.ndarray, float]:
+    """The words of highest count, at most ``most``, as (words, counts, levels, ids of all, where each word's ids start); by level, of any training word, its
+    share of the training tokens; and the discount of counts in those shares.
 
     Levels are whole steps of a fine scale of counts, so the table behind the choice is bounded by the scale. Shares are
     discounted by n1 / (n1 + 2 n2), n1 and n2 words of count 1 and 2.
@@ -636,7 +634,7 @@ def frequent(counts: DataFrame, total: int, most: int) -> tuple[tuple, np.ndarra
     shares[0] = 0
     rows = counts.where(level >= least).select("token", "c", level.alias("l"), "ids").toArrow().to_pydict()
     pool, starts = ragged(rows["ids"])
-    return (rows["token"], np.array(rows["c"], np.int64), np.array(rows["l"], np.int64), pool.astype("<u2"), starts), shares
+    return (rows["token"], np.array(rows["c"], np.int64), np.array(rows["l"], np.int64), pool.astype("<u2"), starts), shares, discount
 
 
 def score(docs: DataFrame, held_out, classes: int = CLASSES, rounds: int = ROUNDS, most: int = FREQUENT) -> DataFrame:
@@ -653,52 +651,52 @@ def score(docs: DataFrame, held_out, classes: int = CLASSES, rounds: int = ROUND
     counts = token_counts(docs.where(~F.col("held_out")))
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
     n, v = n or 0, v or 0
-    known, shares = frequent(counts, n, most)
+    known, shares, discount = frequent(counts, n, most)
     often, tag = spark.sparkContext.broadcast(known), uuid.uuid4().hex
 
     def prepare(batches):
         helpers = seeded(tag, often)
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-        names = ["doc_id", "held_out", "n_tokens", "n_often", "often_sum", "rare", "times", "which", "levels", "ids"]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
+        names = ["doc_id", "held_out", "n_tokens", "n_often", "often_sum", "rare", "which", "levels", "ids"]
         for batch in batches:
             ids, texts, held = (c.to_pylist() for c in batch.columns)
             for lo, hi in in_parts(texts):
                 values = [ids[lo:hi], held[lo:hi], *prepared(texts[lo:hi], *helpers)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, types)], names=names)
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_often long, often_sum double, rare array<binary>, times array<long>, which binary, levels binary, ids binary"
-    first = written(docs.select("doc_id", "text", "held_out").mapInArrow(prepare, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = first.select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("at", "x")).select("row", "at", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
-    more = rare.join(counts.select("token", "c"), "token", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_rare"),
-        F.collect_list(F.when(F.col("c") > 0, F.shiftleft(F.col("at").cast("long"), 16) + level_of("c"))).alias("found"),
-    )
-    every_token = math.log10(n + 0.5 * (v + 1))
-    joined = first.join(more, "row", "left").select(
-        "levels", "which", "found", "ids", "doc_id", "held_out", "n_tokens", (F.col("n_often") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        (F.col("often_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(every_token)).alias("base_score"),
-    )
-
-    def complete(batches):
-        for batch in batches:
-            levels = [completed(*x) for x in zip(*(c.to_pylist() for c in batch.columns[:3]))]
-            yield pa.RecordBatch.from_arrays([pa.array(levels, pa.binary()), *batch.columns[3:]], names=["levels", "ids", "doc_id", "held_out", "n_tokens", "n_known", "base_score"])
-
-    held = written(joined.mapInArrow(complete, "levels binary, ids binary, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"))
-    drop_written(first)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_often long, often_sum double, rare array<binary>, which binary, levels binary, ids binary"
+    held = written(docs.select("doc_id", "text", "held_out").mapInArrow(prepare, schema))
     learned = held.where(~F.col("held_out"))
     stats = Statistics(counts, n, shares, neighbours(learned), classes)
     model = spark.sparkContext.broadcast((stats, *train(learned, stats, rounds)))
 
     def judge(batches):
+        _SEEDED.clear()
         stats, flat, goes_on = model.value
         w = split(flat, len(stats.prior))
         for batch in batches:
-            blobs, levels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            got: list[float] = []
-            for lo in range(0, len(blobs), 100):
-                got += (log_probabilities(blobs[lo : lo + 100], levels[lo : lo + 100], stats, w, goes_on, shares) / math.log(10)).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(got, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    scores = held.select("ids", "levels", "doc_id", "held_out", "n_tokens", "n_known", "base_score").mapInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+            for lo in range(0, batch.num_rows, 100):
+                part = batch.slice(lo, 100)
+                blobs, levels, rare, which = (part.column(i).to_pylist() for i in range(4))
+                score, known, other, edges = judged(blobs, levels, stats, w, goes_on, shares)
+                words = [held[i] for held, at in zip(rare, which) for i in np.frombuffer(at, "<u4").tolist()]
+                lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x, t)) for x, t in ((words, pa.binary()), (known, pa.float64()), (other, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[4:], pa.array(score), *lists], names=["doc_id", "held_out", "n_tokens", "n_often", "often_sum", "often_score", "rare", "known", "other"])
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_often long, often_sum double, often_score double, rare array<binary>, known array<double>, other array<double>"
+    part = held.select("ids", "levels", "rare", "which", "doc_id", "held_out", "n_tokens", "n_often", "often_sum").mapInArrow(judge, schema)
+    first = written(part.withColumn("row", F.monotonically_increasing_id()))
+    drop_written(held)
+    rare = first.select("row", F.explode(F.arrays_zip("rare", "known", "other")).alias("x")).select("row", F.col("x.rare").alias("token"), "x.known", "x.other")
+    share = F.greatest(F.pow(F.lit(2.0), (level_of("c") - 1) / SCALE) - F.lit(float(discount)), F.lit(0.0)) / F.lit(float(max(n, 1)))
+    by_share = F.log(share) + F.col("known")
+    both = F.greatest(by_share, "other") + F.log1p(F.exp(-F.abs(by_share - F.col("other"))))
+    more = rare.join(counts.select("token", "c"), "token", "left").groupBy("row").agg(
+        F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sum"), F.count("c").alias("n_rare"), F.sum(F.when(share > 0, both).otherwise(F.col("other"))).alias("rare_score"),
+    )
+    every_token = math.log10(n + 0.5 * (v + 1))
+    return first.join(more, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_often") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("often_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(every_token)).alias("base_score"),
+        ((F.col("often_score") + F.coalesce("rare_score", F.lit(0.0))) / math.log(10)).alias("score"),
+    )

@@ -458,8 +458,9 @@ def test_the_cache_of_frequent_words_decides_nothing(docs):
     ids = scoring.coder().each_of(words)
     pool, starts = np.frombuffer(ids[0], "<u2"), np.array([0, len(ids[0]) // 2])
     row = [c[0] for c in scoring.prepared([text], scoring.coder(), {words[0]: 0}, pool, starts, np.zeros(2), np.array([5, 0], "<u2"))]
-    assert row[7] == b"".join(ids)
-    assert np.frombuffer(scoring.completed(row[6], row[5], [(0 << 16) | 7, (2 << 16) | 9]), "<u2").tolist() == [5, 7, 0, 9]
+    assert row[6] == b"".join(ids)
+    assert np.frombuffer(row[5], "<u2").tolist() == [5, 0, 0, 0] and np.frombuffer(row[4], "<u4").tolist() == [0, 1, 2]
+    assert row[3] == [*words[1:], b"\n"]
 
 
 def test_windows_score_each_prediction_once():
@@ -524,7 +525,9 @@ def test_log_probabilities_against_one_token_at_a_time():
     pool = np.flatnonzero(opens[:60])[:12]
     texts = [[[int(rng.choice(pool)), *(int(x) for x in np.flatnonzero(~opens[:40])[: rng.integers(0, 3)])] for _ in range(n)] for n in (0, 1, 30, 31, 32, 33, 57, 120)]
     levels = [rng.integers(0, 9, len(t) + 1) for t in texts]
-    got = scoring.log_probabilities([np.array(sum(t, []), "<u2").tobytes() for t in texts], [x.astype("<u2").tobytes() for x in levels], stats, w, goes_on, shares)
+    sums, known_rare, other_rare, edges = scoring.judged([np.array(sum(t, []), "<u2").tobytes() for t in texts], [x.astype("<u2").tobytes() for x in levels], stats, w, goes_on, shares)
+    rare = np.logaddexp(np.log(shares[0]) + known_rare, other_rare)
+    got = [s + rare[lo:hi].sum() for s, lo, hi in zip(sums, edges, edges[1:])]
     ev = lambda t: np.clip(stats.evidence[t].sum(0), -12, 12)
     for text, level, value in zip(texts, levels, got):
         tokens, total = [[scoring.END_ID], *text, [scoring.END_ID]], 0.0
