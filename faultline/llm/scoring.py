@@ -516,6 +516,7 @@ def train(held: DataFrame, stats: Statistics, rounds: int = ROUNDS) -> tuple[np.
             evidence, opens, flat = shared.value
             flat = flat.copy()
             first, second, steps, done = np.zeros_like(flat), np.zeros_like(flat), 0, 0
+            mean = flat.astype(float)  # of the weights along the steps, later ones counting more
             copies = np.zeros((2, COPY + 1))
             for seen, target, weight, marks in training_batches(batches, turn, rounds, opens, evidence):
                 length, right = copied(marks)
@@ -527,8 +528,9 @@ def train(held: DataFrame, stats: Statistics, rounds: int = ROUNDS) -> tuple[np.
                 first = 0.9 * first + 0.1 * g
                 second = 0.99 * second + 0.01 * g * g
                 flat -= RATE / math.sqrt(1 + 0.01 * steps) * (first / (1 - 0.9**steps)) / (np.sqrt(second / (1 - 0.99**steps)) + 1e-6)
+                mean += (flat - mean) * 2 / (steps + 1)
             if done:
-                sums = np.concatenate([flat.astype(float) * done, copies[1, 1:] + 0.01]), np.concatenate([np.full(len(flat), float(done)), copies[0, 1:] + 1])
+                sums = np.concatenate([mean * done, copies[1, 1:] + 0.01]), np.concatenate([np.full(len(flat), float(done)), copies[0, 1:] + 1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums[0]), dtype=np.int32)), *map(pa.array, sums)], names=["i", "v", "n"])
 
         rows = held.select("doc_id", "ids").mapInArrow(learn, "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
