@@ -305,7 +305,7 @@ def surveyed(pages: DataFrame) -> DataFrame:
 
 def elected(survey: DataFrame) -> DataFrame:
     """(host, pages, paths, furniture): the paths that enough pages of a host vote for, most votes first, and the paths whose text never differs."""
-    by_path = survey.groupBy("host", "path", F.col("votes").alias("kind")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    by_path = written(survey.groupBy("host", "path", F.col("votes").alias("kind")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), few=True)
     vote = F.col("kind") == 1
     hosts = by_path.groupBy("host").agg(
         F.sum(F.when(vote, F.col("n"))).alias("pages"), F.min(F.when(vote, F.col("lo"))).alias("lo"), F.max(F.when(vote, F.col("hi"))).alias("hi"),
