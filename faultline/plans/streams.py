@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.operators.tables import scratch
 from faultline.streaming import windows as W
 
 from .views import query
@@ -14,23 +13,10 @@ from .views import query
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the shared place that the session names, or beside a local session's temporary files."""
-    import tempfile
-
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
-
-
 def replayed(v, rows: DataFrame, build, parts: int = 4) -> DataFrame:
     """Rows of build(stream) when ``rows`` arrive in ranges of the column ``ord``: each range is appended to a folder and
     drained by a run of the same query, which goes on from the checkpoint of the run before."""
-    folder = scratch(v.spark)
+    folder = scratch(v.spark, "stream")
     rows = rows.withColumn("ord", F.col("ord").cast("double"))
     cuts = rows.agg(F.percentile_approx("ord", [i / parts for i in range(1, parts)])).first()[0] or []
     edges = [float("-inf"), *sorted(set(cuts)), float("inf")]

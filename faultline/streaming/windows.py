@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from faultline.operators import learner as L
+
 
 def windowed(stream: DataFrame, ts: str, width: str, lateness: str, keys: list[str]) -> DataFrame:
     """Count and sum per tumbling event-time window; a window is final once the watermark has passed its end."""
@@ -204,3 +206,25 @@ def idle_windows(rows: DataFrame, key: str, win: str, components: DataFrame) ->
     grid = span.select(key, F.explode(F.sequence("a", "b")).alias(win)).join(components)
     have = rows.select(key, win, "component").distinct().withColumn("_have", F.lit(True))
     return grid.join(have, [key, win, "component"], "left").withColumn("issue", F.when(F.col("_have").isNull(), "missing_component")).drop("_have")
+
+
+class ServiceLearner(StatefulProcessor):
+    """learner.learn across micro-batches: FEATURES rows in, RESULT rows out. State of a target: its features, coefficients, covariance and counters."""
+
+    OUTPUT = L.RESULT
+
+    def __init__(self, **rule):
+        self.rule = rule
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.model = handle.getValueState("model", "keys array<string>, theta array<double>, p array<double>, updates int, since int, version int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        model = L.TargetModel(**self.rule, state=self.model.get())
+        frame = L.plain(pd.concat(list(rows)).sort_values("win"))
+        out = L.as_result([model.step(row) for row in frame.itertuples(index=False)])
+        self.model.update(model.state())
+        yield out
+
+    def close(self) -> None:
+        pass
