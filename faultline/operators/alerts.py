@@ -35,14 +35,17 @@ def business_impact(edges: DataFrame, services: DataFrame, threshold: float) ->
     return both.withColumn("impact", F.when(worst > threshold, "business").otherwise("isolated_edge")).drop("src_score", "dst_score")
 
 
-def state_machine(windows: DataFrame, key: str, order: str, soft: float, hard: float, soft_n: int, hard_n: int, recover_n: int, cooldown: int) -> DataFrame:
+def state_machine(windows: DataFrame, key: str, order: str, soft: float, hard: float, soft_n: int, hard_n: int, recover_n: int, cooldown: int, carried: DataFrame | None = None) -> DataFrame:
     """Alert state of each window: healthy, soft, hard, recovery; an ordered fold per key over one row for each window.
 
     Columns: key, order, score. A hard alert holds until ``recover_n`` calm windows (then recovery, then healthy after
     ``cooldown`` more); a soft one until a calm window. In recovery ``hard_n`` hot windows alert again.
+    carried: (key, state, s, h, calm) that earlier windows have left.
     """
     start = F.struct(F.lit("healthy").alias("state"), F.lit(0).alias("s"), F.lit(0).alias("h"), F.lit(0).alias("calm"))
     fields = "struct<state:string,s:int,h:int,calm:int>"
+    if carried is not None:
+        start = F.coalesce("_carried", start.cast(fields))
     start = F.struct(start.alias("now"), F.array().cast(f"array<struct<at:double,score:double,state:string,s:int,h:int,calm:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -64,7 +67,10 @@ def state_machine(windows: DataFrame, key: str, order: str, soft: float, hard: f
         return F.struct(fresh.cast(fields).alias("now"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).cast("double").alias("at"), F.col("score").cast("double").alias("score"))))
-    folded = windows.groupBy(key).agg(ordered.alias("w")).select(key, F.aggregate("w", start, step)["out"].alias("out"))
+    lists = windows.groupBy(key).agg(ordered.alias("w"))
+    if carried is not None:
+        lists = lists.join(carried.select(key, F.struct("state", "s", "h", "calm").cast(fields).alias("_carried")), key, "left")
+    folded = lists.select(key, F.aggregate("w", start, step)["out"].alias("out"))
     return folded.select(key, F.inline("out"))
 
 

@@ -13,18 +13,26 @@ from .views import query
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def replayed(v, rows: DataFrame, build, parts: int = 4) -> DataFrame:
-    """Rows of build(stream) when ``rows`` arrive in ranges of the column ``ord``: each range is appended to a folder and
-    drained by a run of the same query, which goes on from the checkpoint of the run before."""
+def replayed_through(v, rows: DataFrame, build, sink, parts: int = 4, cuts: list[float] | None = None):
+    """build(stream) into sink when ``rows`` arrive in ranges of the column ``ord`` (up to each of cuts, or ``parts`` of about equal
+    size): each range is appended to a folder and drained by a run of the same query, which goes on from the checkpoint of the run before."""
     folder = scratch(v.spark, "stream")
     rows = rows.withColumn("ord", F.col("ord").cast("double"))
-    cuts = rows.agg(F.percentile_approx("ord", [i / parts for i in range(1, parts)])).first()[0] or []
+    if cuts is None:
+        cuts = rows.agg(F.percentile_approx("ord", [i / parts for i in range(1, parts)])).first()[0] or []
     edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
     for lo, hi in zip(edges, edges[1:]):
         rows.where((F.col("ord") > lo) & (F.col("ord") <= hi)).write.mode("append").parquet(f"{folder}/in")
         stream = build(v.spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
-        W.drained(stream, f"{folder}/checkpoint", lambda batch, _: batch.write.mode("append").parquet(f"{folder}/out"))
-    return v.spark.read.schema(stream.schema).parquet(f"{folder}/out")
+        W.drained(stream, f"{folder}/checkpoint", sink)
+    return stream.schema
+
+
+def replayed(v, rows: DataFrame, build, parts: int = 4) -> DataFrame:
+    """The rows that build(stream) appends when ``rows`` arrive in ranges of the column ``ord``."""
+    out = scratch(v.spark, "stream")
+    schema = replayed_through(v, rows, build, lambda batch, _: batch.write.mode("append").parquet(out), parts)
+    return v.spark.read.schema(schema).parquet(out)
 
 
 def events(v) -> DataFrame:
