@@ -34,11 +34,11 @@ class Rule:
     least: int = 3
     floor: float = 10.0
     cap: float = 10.0
-    soft: float = 1.0
-    hard: float = 1.5
+    soft: float = 2.0
+    hard: float = 3.0
     soft_n: int = 1
     hard_n: int = 1
-    recover_n: int = 2
+    recover_n: int = 1
     cooldown: int = 1
     lags: tuple[int, ...] = (1,)
     max_gap: int = 2

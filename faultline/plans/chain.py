@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultline.operators import chain as C
+from faultline.operators import paths as P
 from faultline.operators import topology as T
 from faultline.operators.tables import scratch, written
 from faultline.streaming import chain as S
@@ -55,7 +56,7 @@ SQL["v_creach"] = """SELECT seed, node, min(hop) AS hop FROM (SELECT service AS
 SQL["v_creports"] = """WITH h AS (SELECT t.service, t.win, m.ready AS own, m.reason AS why FROM v_ctimeline t LEFT JOIN v_cmodel m ON m.service=t.service AND m.win=t.win WHERE state='hard' AND previous<>'hard'),
  b AS (SELECT service, win, arg_max(metric, {'score': score, 'metric': metric}) AS metric FROM v_cscores WHERE score IS NOT NULL GROUP BY 1,2),
  r AS (SELECT h.service, h.win, node AS root_service, metric AS root_metric, greatest(residual, 0)*pow(0.8, hop) AS root_score, hop FROM h JOIN v_creach ON seed=h.service JOIN v_cmodel m ON m.service=node AND m.win=h.win AND m.residual IS NOT NULL JOIN b ON b.service=node AND b.win=h.win WHERE own)
- SELECT service, win, 'not_ready' AS status, CASE WHEN own IS NULL OR why IN ('insufficient_history', 'missing_parent_state', 'baseline_not_ready', 'missing_target') THEN coalesce(why, 'too_few_updates') ELSE 'too_few_updates' END AS reason, NULL AS rank, NULL AS root_service, NULL AS root_metric, NULL AS root_score, NULL AS hop FROM h WHERE NOT coalesce(own, false)
+ SELECT service, win, 'not_ready' AS status, CASE WHEN own IS NULL OR why IN ('insufficient_history', 'missing_parent_state', 'baseline_not_ready', 'missing_target') THEN coalesce(why, 'too_few_updates') ELSE 'too_few_updates' END AS reason, NULL::BIGINT AS rank, NULL::VARCHAR AS root_service, NULL::VARCHAR AS root_metric, NULL::DOUBLE AS root_score, NULL::INT AS hop FROM h WHERE NOT coalesce(own, false)
  UNION ALL SELECT service, win, 'diagnosed', NULL, rank, root_service, root_metric, root_score, hop FROM (SELECT *, row_number() OVER (PARTITION BY service, win ORDER BY round(root_score, 9) DESC, hop, root_service) AS rank FROM r) WHERE rank<=3"""
 
 
@@ -109,3 +110,36 @@ def _(v):
     late = S.results(v.spark, folder, "late").groupBy("service", "win").agg(F.count("*").alias("late"), F.sum("value").alias("late_value"))
     all_ = rows(v).groupBy("service", F.floor(F.col("timestamp") / LATE_RULE.width).alias("win")).agg(F.count("*").alias("n"))
     return all_.join(late, ["service", "win"], "left").select("service", "win", "n", F.coalesce("late", F.lit(0)).alias("late"), F.coalesce("late_value", F.lit(0.0)).alias("late_value"))
+
+
+#: Coefficients of metrics: slopes of a window's value on the value one or two windows before, within a service and from its parents.
+SQL["v_ccoef"] = """WITH v AS (SELECT service||'.'||metric AS node, service, win, value FROM v_cscores), p AS (SELECT parent, target FROM v_flow UNION SELECT DISTINCT service, service FROM v)
+ SELECT x.node AS parent, y.node AS target, lag, regr_slope(y.value, x.value) AS coefficient, count(*)>=10 AS ready FROM p JOIN v x ON x.service=p.parent CROSS JOIN (SELECT unnest([1,2]) AS lag) JOIN v y ON y.service=p.target AND y.win=x.win+lag WHERE x.node<>y.node GROUP BY 1,2,3"""
+SQL["v_cedges"] = "SELECT parent, target, lag, coefficient, support FROM (SELECT *, coefficient/max(coefficient) OVER () AS support FROM v_ccoef WHERE ready AND coefficient>0 AND NOT isnan(coefficient)) WHERE support>=0.3"
+_PATHS = """WITH RECURSIVE t AS (SELECT DISTINCT service||'@'||win AS incident_id, service||'.'||m AS node FROM v_creports CROSS JOIN (SELECT unnest(['request.error_rate', 'request.p99_latency_ms']) AS m)),
+ w AS (SELECT service||'@'||win AS incident_id, root_service||'.'||root_metric AS root, root_service||'.'||root_metric AS node, [root_service||'.'||root_metric] AS path, []::INT[] AS lags, root_score/(1+root_score) AS score FROM v_creports WHERE root_score>0
+  UNION ALL SELECT incident_id, root, e.target, list_append(path, e.target), list_append(lags, e.lag), score*e.support*exp(-0.1::DOUBLE) FROM w JOIN v_cedges e ON e.parent=w.node WHERE len(lags)<3 AND NOT list_contains(path, e.target))
+ SELECT incident_id, root, array_to_string(path, '>') AS path, array_to_string(lags, ',') AS lags, score, len(lags) AS hops, rank FROM (SELECT w.*, row_number() OVER (PARTITION BY incident_id, root ORDER BY score DESC, array_to_string(path, '>'), array_to_string(lags, ',')) AS rank FROM w JOIN t USING (incident_id, node)) WHERE rank<=3"""
+
+
+def coefficients(v, parents, scores):
+    """(parent, target, lag, coefficient, ready) of the metrics of services and of their parents."""
+    x = scores.select("service", "win", F.concat_ws(".", "service", "metric").alias("node"), "value")
+    pairs = parents.unionByName(x.select(F.col("service").alias("parent"), F.col("service").alias("target"))).distinct()
+    before = x.select(F.col("service").alias("parent"), F.col("node").alias("from"), F.col("value").alias("x"), "win", F.explode(F.array(F.lit(1), F.lit(2))).alias("lag")).withColumn("win", F.col("win") + F.col("lag"))
+    now = x.select(F.col("service").alias("target"), "node", F.col("value").alias("y"), "win")
+    rows = pairs.join(before, "parent").join(now, ["target", "win"]).where("from <> node")
+    return rows.groupBy(F.col("from").alias("parent"), F.col("node").alias("target"), "lag").agg(F.regr_slope("y", "x").alias("coefficient"), (F.count("*") >= 10).alias("ready"))
+
+
+@query("dia_12_best_paths", _PATHS)
+def _(v):
+    parents, reach = topology(v)
+    out = C.whole(rows(v), parents, reach, RULE)
+    reports = written(out["reports"])
+    incident = F.concat_ws("@", "service", F.col("win").cast("string")).alias("incident_id")
+    roots = reports.where("root_score > 0").select(incident, F.concat_ws(".", "root_service", "root_metric").alias("root"), (F.col("root_score") / (1 + F.col("root_score"))).alias("support"))
+    targets = reports.select(incident, "service").distinct().select("incident_id", F.explode(F.array(*[F.concat_ws(".", "service", F.lit(m)) for m in ("request.error_rate", "request.p99_latency_ms")])).alias("node"))
+    edges = written(P.supports(coefficients(v, parents, out["scores"]), 0.3))
+    found = P.best_paths(roots, edges, targets, 3, 3, 0.1)
+    return found.select("incident_id", "root", F.concat_ws(">", "path").alias("path"), F.array_join(F.transform("steps", lambda s: s["lag"].cast("string")), ",").alias("lags"), "score", "hops", "rank")

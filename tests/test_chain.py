@@ -9,7 +9,7 @@ from faultline.operators.tables import scratch
 from faultline.streaming import chain as S
 from faultline.streaming import windows as W
 
-RULE = C.Rule(width=10.0, lateness=5.0, floor=1.0, soft=2.0, hard=3.0, least_updates=2)
+RULE = C.Rule(width=10.0, lateness=5.0, floor=1.0, recover_n=2, least_updates=2)
 
 
 def table():
