@@ -98,3 +98,44 @@ def continuity(rows: DataFrame, stream: str, seq: str) -> DataFrame:
     return t.groupBy(stream).agg(
         F.min(seq).alias("first"), F.max(seq).alias("last"), F.count("*").alias("n"), F.sum(F.when(F.col("gap") > 1, 1).otherwise(0)).alias("gaps"), (F.count("*") - F.count_distinct(seq)).alias("duplicates")
     )
+
+
+def identifiability(cf: Column, path: Column, margin: Column, coherence: Column, entropy: Column, weights: tuple = (0.5, 0.2, 0.3), doubts: tuple = (0.7, 0.3)) -> Column:
+    """Weighted mean of what speaks for a candidate (counterfactual, path, margin), less the weighted mean of what blurs it (coherence, entropy)."""
+    mean = lambda w, cols: sum((k * c for k, c in zip(w, cols)), F.lit(0.0)) / sum(w)
+    return F.least(F.greatest(mean(weights, (cf, path, margin)) * (1 - mean(doubts, (coherence, entropy))), F.lit(0.0)), F.lit(1.0))
+
+
+def weighted_confidence(cf: Column, margin: Column, quality: Column, ident: Column, weights: tuple = (0.4, 0.2, 0.2, 0.2)) -> Column:
+    return F.least(F.greatest(sum((k * c for k, c in zip(weights, (cf, margin, quality, ident))), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+
+
+def told_apart(gains: DataFrame, signature: DataFrame, quality: DataFrame) -> DataFrame:
+    """How far each candidate of an alert can be told from the others, and the confidence in it.
+
+    gains (service, win, root_service, hop, gain): what each candidate explains; signature (root_service, win, metric, x) and
+    quality (root_service, win, quality) of the candidates. Pairs are made among the candidates of one alert, which lie within a few hops.
+    """
+    alert = ["service", "win"]
+    share = F.col("gain") / (F.sum("gain").over(Window.partitionBy(*alert)) + 1e-12)
+    r = gains.withColumn("relative", share)
+    rivals = F.array_compact(F.transform(F.collect_list("relative").over(Window.partitionBy(*alert)), lambda o: F.when((o > 0) & (o != F.col("relative")), o)))
+    sorted_ = F.array_sort("rivals")
+    n = F.size("rivals")
+    median = (F.get(sorted_, F.floor((n - 1) / 2).cast("int")) + F.get(sorted_, F.floor(n / 2).cast("int"))) / 2
+    with_cf = r.withColumn("rivals", rivals).withColumn("cf", F.when(n == 0, 1.0).otherwise(F.least(F.greatest(F.col("relative") / (F.col("relative") + median + 1e-12), F.lit(0.0)), F.lit(1.0)))).drop("rivals")
+    down = Window.partitionBy(*alert).orderBy(F.desc("relative"), "root_service")
+    after = F.coalesce(F.lead("relative").over(down), F.lit(0.0))
+    alone = F.count("*").over(Window.partitionBy(*alert)) == 1
+    t = with_cf.withColumns({"margin": F.when(alone, 1.0).otherwise(F.greatest(F.col("relative") - after, F.lit(0.0)) / F.greatest("relative", F.lit(1e-12))), "path": 1 / (1.0 + F.col("hop"))})
+    vector = signature.groupBy("root_service", "win").agg(F.map_from_entries(F.collect_list(F.struct("metric", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.collect_list(F.when(F.col("x") > 0, F.col("x"))).alias("mass"))
+    total = F.aggregate("mass", F.lit(0.0), lambda a, x: a + x)
+    entropy = F.when(F.size("mass") <= 1, 0.0).otherwise(-F.aggregate(F.transform("mass", lambda x: x / total * F.log(x / total)), F.lit(0.0), lambda a, x: a + x) / F.log(F.size("mass")))
+    own = t.join(vector.withColumn("entropy", entropy).drop("mass"), ["root_service", "win"])
+    other = own.select(*alert, F.col("root_service").alias("other"), F.col("m").alias("om"), F.col("norm").alias("onorm"))
+    dot = F.aggregate(F.map_entries("m"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.col("om")[e["key"]], F.lit(0.0)))
+    near = own.join(other, alert).where("root_service <> other").groupBy(*alert, "root_service").agg(F.max(F.when(F.col("norm") == 0, 0.0).otherwise(F.abs(dot) / (F.col("norm") * F.col("onorm") + 1e-12))).alias("coherence"))
+    whole = own.join(near, [*alert, "root_service"], "left").withColumn("coherence", F.coalesce("coherence", F.lit(0.0))).join(quality, ["root_service", "win"])
+    c = F.col
+    scored = whole.withColumn("identifiability", identifiability(c("cf"), c("path"), c("margin"), c("coherence"), c("entropy")))
+    return scored.select(*alert, "root_service", "cf", "path", "margin", "coherence", "entropy", "quality", "identifiability", weighted_confidence(c("cf"), c("margin"), c("quality"), c("identifiability")).alias("confidence"))
