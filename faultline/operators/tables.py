@@ -42,3 +42,14 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def removed(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file that says that all beside it is written."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
+
+
+def committed(spark: SparkSession, folder: str) -> list[int]:
+    """The batches (folders batch=<id>) of a folder whose mark is there."""
+    return [int(n.partition("=")[2]) for n in children(spark, folder) if n.startswith("batch=") and exists(spark, f"{folder}/{n}/_COMMITTED")]

@@ -55,3 +55,23 @@ def ownership(rows: DataFrame, node: str, service: str, metric: str) -> DataFram
     a, b = parts[0], F.get(parts, F.lit(1))
     issue = F.when(b.isNull(), "bad_node").when(a != F.col(service), "service_mismatch").when(b != F.col(metric), "metric_mismatch")
     return rows.withColumns({"issue": issue, "valid": issue.isNull(), "service_fixed": F.when(b.isNull(), F.col(service)).otherwise(a), "metric_fixed": F.coalesce(b, F.col(metric))})
+
+
+def structure_prints(parts: DataFrame, snapshot: str, part: str) -> DataFrame:
+    """(snapshot, print): a canonical fingerprint of each snapshot's distinct parts, whatever their order or repetition."""
+    return parts.groupBy(snapshot).agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_set(part))), 256).alias("print"))
+
+
+def version_issues(snapshots: DataFrame) -> DataFrame:
+    """(snapshot_id, valid_from, issue) of snapshots (snapshot_id, valid_from, valid_to, print, recorded), [from, to).
+
+    changed_structure: the recorded fingerprint is not that of the structure; repeated_id: a second snapshot has the id; empty_interval: it
+    ends before it begins; overlap: it begins before an earlier one has ended. Snapshots are few; those of all times are compared in one sorted run.
+    """
+    w = Window.partitionBy(F.lit(0)).orderBy("valid_from", "valid_to").rowsBetween(Window.unboundedPreceding, -1)
+    tests = [
+        (~F.col("print").eqNullSafe(F.col("recorded")), "changed_structure"), (F.count("*").over(Window.partitionBy("snapshot_id")) > 1, "repeated_id"),
+        (F.col("valid_to") <= F.col("valid_from"), "empty_interval"), (F.max("valid_to").over(w) > F.col("valid_from"), "overlap"),
+    ]
+    named = snapshots.withColumn("issues", F.array_compact(F.array(*[F.when(test, issue) for test, issue in tests])))
+    return named.select("snapshot_id", "valid_from", F.explode("issues").alias("issue"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators import chain as C
-from faultline.operators.tables import children, exists, removed
+from faultline.operators.tables import committed, mark, removed
 
 CLOCK = "top double, final long"
 STATES = {"open": C.OPEN, "memory": C.MEMORY, "recent": C.RECENT, "alerts": C.ALERTS, "models": C.MODELS, "clock": CLOCK}
@@ -75,7 +75,7 @@ class Chain:
         put("reports", C.diagnosed(timeline, scores, predictions, self.reach, rule))
         put("clock", spark.createDataFrame([(top, last)], CLOCK))
         self.before_commit(batch_id)
-        _mark(spark, f"{self.folder}/batch={batch_id}/_COMMITTED")
+        mark(spark, f"{self.folder}/batch={batch_id}/_COMMITTED")
         for name in ([*STATES, "rows", "accumulated", "model"] if previous is not None else ()):
             removed(spark, f"{self.folder}/batch={previous}/{name}")
 
@@ -85,15 +85,6 @@ class Chain:
         self(spark.createDataFrame([], "service string, metric string, timestamp double, value double"), max(ids, default=-1) + 1, closing=True)
 
 
-def _mark(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
-
-
-def committed(spark: SparkSession, folder: str) -> list[int]:
-    return [int(n.partition("=")[2]) for n in children(spark, folder) if n.startswith("batch=") and exists(spark, f"{folder}/{n}/_COMMITTED")]
-
-
 def results(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The rows of an output of all committed batches."""
     paths = [f"{folder}/batch={i}/{name}" for i in committed(spark, folder)]
