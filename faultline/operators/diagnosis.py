@@ -138,4 +138,4 @@ def told_apart(gains: DataFrame, signature: DataFrame, quality: DataFrame) -> Da
     whole = own.join(near, [*alert, "root_service"], "left").withColumn("coherence", F.coalesce("coherence", F.lit(0.0))).join(quality, ["root_service", "win"])
     c = F.col
     scored = whole.withColumn("identifiability", identifiability(c("cf"), c("path"), c("margin"), c("coherence"), c("entropy")))
-    return scored.select(*alert, "root_service", "cf", "path", "margin", "coherence", "entropy", "quality", "identifiability", weighted_confidence(c("cf"), c("margin"), c("quality"), c("identifiability")).alias("confidence"))
+    return scored.select(*alert, "root_service", "hop", "gain", "relative", "cf", "path", "margin", "coherence", "entropy", "quality", "identifiability", weighted_confidence(c("cf"), c("margin"), c("quality"), c("identifiability")).alias("confidence"))

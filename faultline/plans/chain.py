@@ -132,14 +132,21 @@ def coefficients(v, parents, scores):
     return rows.groupBy(F.col("from").alias("parent"), F.col("node").alias("target"), "lag").agg(F.regr_slope("y", "x").alias("coefficient"), (F.count("*") >= 10).alias("ready"))
 
 
-@query("dia_12_best_paths", _PATHS)
-def _(v):
-    parents, reach = topology(v)
-    out = C.whole(rows(v), parents, reach, RULE)
+def paths_of(v, out, parents):
+    """The best propagation paths from the roots of a chain's reports to the requests of the alerting services."""
     reports = written(out["reports"])
     incident = F.concat_ws("@", "service", F.col("win").cast("string")).alias("incident_id")
     roots = reports.where("root_score > 0").select(incident, F.concat_ws(".", "root_service", "root_metric").alias("root"), (F.col("root_score") / (1 + F.col("root_score"))).alias("support"))
     targets = reports.select(incident, "service").distinct().select("incident_id", F.explode(F.array(*[F.concat_ws(".", "service", F.lit(m)) for m in ("request.error_rate", "request.p99_latency_ms")])).alias("node"))
     edges = written(P.supports(coefficients(v, parents, out["scores"]), 0.3))
-    found = P.best_paths(roots, edges, targets, 3, 3, 0.1)
+    return P.best_paths(roots, edges, targets, 3, 3, 0.1)
+
+
+SQL["v_paths"] = _PATHS
+
+
+@query("dia_12_best_paths", "SELECT * FROM v_paths")
+def _(v):
+    parents, reach = topology(v)
+    found = paths_of(v, C.whole(rows(v), parents, reach, RULE), parents)
     return found.select("incident_id", "root", F.concat_ws(">", "path").alias("path"), F.array_join(F.transform("steps", lambda s: s["lag"].cast("string")), ",").alias("lags"), "score", "hops", "rank")

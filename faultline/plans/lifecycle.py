@@ -45,7 +45,7 @@ def _(v):
     return M.transitions(events, CACHE).join(models, ["service", "fitted_at"], "left")
 
 
-_IDENT = """WITH c AS (SELECT service, win, node AS root_service, greatest(m.residual, 0)*pow(0.8, hop) AS gain, hop FROM (SELECT t.service, t.win FROM v_ctimeline t JOIN v_cmodel o ON o.service=t.service AND o.win=t.win WHERE t.state='hard' AND t.previous<>'hard' AND o.ready) h JOIN v_creach ON seed=h.service JOIN (SELECT service AS node, win AS mw, residual FROM v_cmodel WHERE residual IS NOT NULL) m USING (node) WHERE mw=win),
+SQL["v_ident"] = """WITH c AS (SELECT service, win, node AS root_service, greatest(m.residual, 0)*pow(0.8, hop) AS gain, hop FROM (SELECT t.service, t.win FROM v_ctimeline t JOIN v_cmodel o ON o.service=t.service AND o.win=t.win WHERE t.state='hard' AND t.previous<>'hard' AND o.ready) h JOIN v_creach ON seed=h.service JOIN (SELECT service AS node, win AS mw, residual FROM v_cmodel WHERE residual IS NOT NULL) m USING (node) WHERE mw=win),
  r AS (SELECT *, gain/(sum(gain) OVER (PARTITION BY service, win)+1e-12) AS relative FROM c),
  cf AS (SELECT r.*, CASE WHEN o.med IS NULL THEN 1.0 ELSE least(greatest(relative/(relative+o.med+1e-12), 0), 1) END AS cf FROM r LEFT JOIN (SELECT a.service, a.win, a.root_service, median(b.relative) AS med FROM r a JOIN r b ON a.service=b.service AND a.win=b.win AND b.relative>0 AND b.relative<>a.relative GROUP BY 1,2,3) o USING (service, win, root_service)),
  mg AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY service, win)=1 THEN 1.0 ELSE greatest(relative-coalesce(lead(relative) OVER (PARTITION BY service, win ORDER BY relative DESC, root_service), 0), 0)/greatest(relative, 1e-12) END AS margin, 1/(1.0::DOUBLE+hop) AS path FROM cf),
@@ -56,13 +56,11 @@ _IDENT = """WITH c AS (SELECT service, win, node AS root_service, greatest(m.res
  ent AS (SELECT root_service, win, CASE WHEN count(*) FILTER (x>0)<=1 THEN 0 ELSE -sum(CASE WHEN x>0 THEN x/t*ln(x/t) ELSE 0 END)/ln(count(*) FILTER (x>0)) END AS entropy FROM (SELECT *, sum(x) OVER (PARTITION BY root_service, win) AS t FROM sig) GROUP BY 1,2),
  q AS (SELECT service AS root_service, win, sum(n)/(sum(n)+2.0::DOUBLE) AS quality FROM (SELECT service, CAST(floor(timestamp/21600) AS BIGINT) AS win, count(*) AS n FROM v_metrics GROUP BY 1,2) GROUP BY 1,2),
  i AS (SELECT mg.*, coalesce(coherence, 0) AS coherence, entropy, quality, least(greatest((0.5*cf+0.2*path+0.3*margin)*(1-(0.7*coalesce(coherence, 0)+0.3*entropy)), 0), 1) AS identifiability FROM mg LEFT JOIN coh USING (service, win, root_service) JOIN ent USING (root_service, win) JOIN q USING (root_service, win))
- SELECT service, win, root_service, cf, path, margin, coherence, entropy, quality, identifiability, least(greatest(0.4*cf+0.2*margin+0.2*quality+0.2*identifiability, 0), 1) AS confidence FROM i"""
+ SELECT service, win, root_service, hop, gain, relative, cf, path, margin, coherence, entropy, quality, identifiability, least(greatest(0.4*cf+0.2*margin+0.2*quality+0.2*identifiability, 0), 1) AS confidence FROM i"""
 
 
-@query("dia_08_identifiability", _IDENT)
-def _(v):
-    parents, reach = chain.topology(v)
-    out = C.whole(chain.rows(v), parents, reach, chain.RULE)
+def told_apart(v, out, reach):
+    """Candidates of the hard alerts of a chain's results, with how far each can be told from the others."""
     own = out["predictions"].where("ready").select("service", "win")
     hard = out["timeline"].where("state = 'hard' and previous <> 'hard'").select("service", "win").join(own, ["service", "win"], "left_semi")
     left = out["predictions"].where("residual is not null").select(F.col("service").alias("root_service"), "win", F.greatest("residual", F.lit(0.0)).alias("left"))
@@ -71,3 +69,9 @@ def _(v):
     signature = out["scores"].select(F.col("service").alias("root_service"), "win", "metric", F.coalesce("score", F.lit(0.0)).alias("x"))
     quality = v.metrics().groupBy(F.col("service").alias("root_service"), F.floor(F.col("timestamp") / chain.RULE.width).alias("win")).agg((F.count("*") / (F.count("*") + 2.0)).alias("quality"))
     return D.told_apart(gains, signature, quality)
+
+
+@query("dia_08_identifiability", "SELECT service, win, root_service, cf, path, margin, coherence, entropy, quality, identifiability, confidence FROM v_ident")
+def _(v):
+    parents, reach = chain.topology(v)
+    return told_apart(v, C.whole(chain.rows(v), parents, reach, chain.RULE), reach).drop("hop", "gain", "relative")

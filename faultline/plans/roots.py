@@ -23,11 +23,8 @@ SQL["v_rgroups"] = """SELECT *, CASE WHEN sqrt(list_sum(list_transform(cs, lambd
   JOIN (SELECT * FROM (VALUES ('CPU', 1.0::DOUBLE), ('network', 0.8), ('storage I/O', 0.9), ('load', 1.2)) p(category, base)) USING (category) LEFT JOIN (SELECT service AS entity, CAST(floor(timestamp/21600) AS BIGINT) AS win, least(count(*)/5.0::DOUBLE, 1) AS strength FROM v_metrics WHERE metric='request.error_rate' GROUP BY 1,2) e USING (entity, win)))"""
 
 
-@query("inv_12_root_contributions", """SELECT service, win, entity, category, rank, score, base, effective, strength, ms[k] AS metric, CASE WHEN score>0 THEN cs[k]*score/(qs[k]*score+effective) ELSE 0 END AS contribution, rs[k] AS residual, qs[k] AS quality FROM (
- SELECT *, unnest(range(1, len(ms)+1)) AS k FROM (SELECT *, row_number() OVER (PARTITION BY service, win ORDER BY round(score, 9) DESC, entity, category) AS rank FROM v_rgroups) WHERE rank<=3)""")
-def _(v):
-    parents, reach = chain.topology(v)
-    out = C.whole(chain.rows(v), parents, reach, chain.RULE)
+def ranked(v, out, reach):
+    """The best groups of the hard alerts of a chain's results, with what they rest on."""
     hard = out["timeline"].where("state = 'hard' and previous <> 'hard'").select("service", "win")
     m = v.metrics().withColumn("win", F.floor(F.col("timestamp") / chain.RULE.width))
     counts = m.groupBy(F.col("service").alias("entity"), "metric", "win").agg((F.count("*") / (F.count("*") + 2.0)).alias("quality"))
@@ -38,3 +35,10 @@ def _(v):
     evidence = near.join(errors, ["entity", "win"]).select("service", "win", "entity", "strength")
     penalties = v.spark.createDataFrame(list(PENALTIES.items()), "category string, base double")
     return R.ranked_roots(rows, ["service", "win"], penalties, evidence, L1, ETA, KEEP)
+
+
+@query("inv_12_root_contributions", """SELECT service, win, entity, category, rank, score, base, effective, strength, ms[k] AS metric, CASE WHEN score>0 THEN cs[k]*score/(qs[k]*score+effective) ELSE 0 END AS contribution, rs[k] AS residual, qs[k] AS quality FROM (
+ SELECT *, unnest(range(1, len(ms)+1)) AS k FROM (SELECT *, row_number() OVER (PARTITION BY service, win ORDER BY round(score, 9) DESC, entity, category) AS rank FROM v_rgroups) WHERE rank<=3)""")
+def _(v):
+    parents, reach = chain.topology(v)
+    return ranked(v, C.whole(chain.rows(v), parents, reach, chain.RULE), reach)
