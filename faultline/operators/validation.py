@@ -75,3 +75,13 @@ def version_issues(snapshots: DataFrame) -> DataFrame:
     ]
     named = snapshots.withColumn("issues", F.array_compact(F.array(*[F.when(test, issue) for test, issue in tests])))
     return named.select("snapshot_id", "valid_from", F.explode("issues").alias("issue"))
+
+
+def single_role(metrics: DataFrame, roles: DataFrame) -> DataFrame:
+    """metrics (metric, source, one row each) with the roles that fit, and problem: no_role, several_roles or ok.
+
+    A role (role, prefix, sources) fits a metric whose name begins with its prefix and whose source it lists. Roles are a table written by hand.
+    """
+    fits = F.col("metric").startswith(F.col("prefix")) & F.array_contains("sources", F.col("source"))
+    joined = metrics.join(F.broadcast(roles), fits, "left").groupBy(*metrics.columns).agg(F.array_sort(F.collect_list("role")).alias("roles"))
+    return joined.withColumn("problem", F.when(F.size("roles") == 0, "no_role").when(F.size("roles") > 1, "several_roles").otherwise("ok"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultline.plans import aggregation, alerts, baselines, chain, diagnosis, evidence, functions, inventory, joint, learner, lifecycle, propagation, reports, roots, sinks, sources, streams, topology, views  # noqa: F401
+from faultline.plans import aggregation, alerts, baselines, chain, diagnosis, evidence, functions, inventory, joint, learner, lifecycle, propagation, reports, rerun, roots, sinks, sources, streams, topology, views  # noqa: F401
 
 QUERIES = views.QUERIES
 ORACLE_SQL = views.ORACLE

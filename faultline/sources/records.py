@@ -103,3 +103,18 @@ def reports_to_write(reports: DataFrame, existing: DataFrame, key: str, payload:
 def kernel_events(lines: Column) -> Column:
     """A typed event out of a JSON line; null where it is malformed."""
     return F.from_json(lines, "event_id long, type string, cgroup string, value double, cpu int, seq long")
+
+
+def call_edges(samples: DataFrame, edge: list[str], identity: str, value: str) -> DataFrame:
+    """Per edge the sum over its samples, each counted once, and what came in conflict.
+
+    Samples of the same edge and identity with the same value are one; with differing values they are a conflict and none counts.
+    The sources are kept as their first, their last and an order-free sum, which tells sets apart without holding them.
+    """
+    one = samples.groupBy(*edge, identity).agg(F.count_distinct(value).alias("_kinds"), F.min(value).alias("_value"))
+    good = F.col("_kinds") == 1
+    take = lambda c: F.when(good, c)
+    return one.groupBy(*edge).agg(
+        F.coalesce(F.sum(take(F.col("_value"))), F.lit(0.0)).alias("total"), F.count_if(good).alias("samples"), F.count_if(~good).alias("conflicts"),
+        F.min(take(F.col(identity))).alias("first_source"), F.max(take(F.col(identity))).alias("last_source"), F.sum(take(F.col(identity) % 1000003)).alias("sources"),
+    )
