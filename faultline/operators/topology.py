@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from faultline.operators.tables import written
+
 
 def point_in_time(queries: DataFrame, snapshots: DataFrame, ts: str, bucket: float = 86400.0 * 366) -> DataFrame:
     """The snapshot valid at each ts, [from, to): found by time cells; none or several are an issue."""
@@ -42,25 +44,29 @@ def impact_edges(calls: DataFrame, explicit: DataFrame, rules: DataFrame) -> Dat
 
 
 def hops(seeds: DataFrame, edges: DataFrame, most: int, keep: list[str] | None = None) -> DataFrame:
-    """(keep..., seed, node, hop): nodes within ``most`` edges of each seed and their least hop. One join a hop, each frontier deduplicated."""
+    """(keep..., seed, node, hop): nodes within ``most`` edges of each seed and their least hop.
+
+    One join a hop, each frontier deduplicated and written, so that a hop reads edges and frontiers and plans nothing again.
+    """
     keys = [*(keep or []), "seed"]
-    seen = seeds.select(*keys, F.col("seed").alias("node"), F.lit(0).alias("hop"))
+    edges = written(edges.select("src", "dst"))
+    seen = written(seeds.select(*keys, F.col("seed").alias("node"), F.lit(0).alias("hop")))
     front = seen
     for hop in range(1, most + 1):
         step = front.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node").select(*keys, F.col("next").alias("node"), F.lit(hop).alias("hop")).distinct()
-        front = step.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti")
+        front = written(step.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti"))
         seen = seen.unionByName(front)
     return seen
 
 
 def simple_paths(seeds: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     """(seed, node, path, score) of all paths without repeated nodes up to ``most`` edges; score is the product of weights."""
-    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "weight")
+    step = written(edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "weight"))
     front = seeds.select("seed", F.col("seed").alias("node"), F.array("seed").alias("path"), F.lit(1.0).alias("score"))
     out = None
     for _ in range(most):
         joined = front.join(step, "node").where(~F.array_contains("path", F.col("next")))
-        front = joined.select("seed", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), (F.col("score") * F.col("weight")).alias("score"))
+        front = written(joined.select("seed", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), (F.col("score") * F.col("weight")).alias("score")))
         out = front if out is None else out.unionByName(front)
     return out
 

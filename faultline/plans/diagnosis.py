@@ -16,7 +16,7 @@ SQL["v_adj"] = "SELECT src, dst, max(weight) AS weight FROM v_graph WHERE edge_t
 
 
 def ring(v):
-    return v.graph().where("edge_type = 'call'").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    return v.kept("ring", lambda: v.graph().where("edge_type = 'call'").groupBy("src", "dst").agg(F.max("weight").alias("weight")))
 
 
 @query("dia_01_candidate_energy", "SELECT incident_id, service, sqrt(sum(probability*residual*residual)) AS energy FROM v_residuals GROUP BY 1,2")

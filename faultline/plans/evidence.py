@@ -153,7 +153,7 @@ SQL["v_types"] = "SELECT incident_id, root_type, sum(semantic_score) AS type_sco
 
 
 def sparse(v):
-    return I.sparse_scores(v.residuals(), l1=0.05, group=0.05)
+    return v.kept("sparse", lambda: I.sparse_scores(v.residuals(), l1=0.05, group=0.05))
 
 
 def ipw(v):
@@ -161,7 +161,7 @@ def ipw(v):
 
 
 def semantic(v):
-    return E.semantic_scores(sparse(v), evidence(v).drop("evidence_type"))
+    return v.kept("semantic", lambda: E.semantic_scores(sparse(v), evidence(v).drop("evidence_type")))
 
 
 @query("evd_07_semantic_scores", "SELECT incident_id, service, metric, evidence_score, semantic_score, semantic_rank FROM v_sem")
@@ -223,7 +223,7 @@ SQL["v_cal"] = """SELECT r.*, greatest(-10, least(10, (residual-m)/(1.4826*d+1e-
 
 
 def calibrated(v):
-    return E.calibrate(v.residuals().withColumn("family", S.metric_family(F.col("metric"))))
+    return v.kept("calibrated", lambda: E.calibrate(v.residuals().withColumn("family", S.metric_family(F.col("metric")))))
 
 
 @query("evd_14_calibrated_residuals", "SELECT incident_id, event_id, calibrated FROM v_cal")
@@ -319,16 +319,16 @@ SQL["v_signal"] = "SELECT incident_id, service, metric, family, service||'.'||me
 
 
 def signal(v):
-    return I.residual_signal(calibrated(v)).withColumn("node_id", F.concat_ws(".", "service", "metric"))
+    return v.kept("signal", lambda: I.residual_signal(calibrated(v)).withColumn("node_id", F.concat_ws(".", "service", "metric")))
 
 
 def edges(v):
-    return I.metric_edges(signal(v), v.graph().where("edge_type = 'call'").select("src", "dst"))
+    return v.kept("edges", lambda: I.metric_edges(signal(v), v.graph().where("edge_type = 'call'").select("src", "dst")))
 
 
 def solution(v):
     s = signal(v)
-    return I.graph_inversion(s, edges(v), I.penalties(s))
+    return v.kept("solution", lambda: I.graph_inversion(s, edges(v), I.penalties(s)))
 
 
 @query("inv_03_residual_signal", "SELECT incident_id, service, metric, signal FROM v_signal")

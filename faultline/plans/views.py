@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from faultline.operators.tables import written
+
 #: Event type to metric name.
 METRIC_OF = {"error": "request.error_rate", "view": "request.p99_latency_ms", "click": "cpu.throttled_usec", "purchase": "net.retrans", "signup": "io.write_bytes"}
 DAY0 = 1704067200.0  # 2024-01-01
@@ -44,6 +46,13 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A stage that several parts of a query read: written on first use, then read."""
+        if name not in self._kept:
+            self._kept[name] = written(build())
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
