@@ -301,12 +301,14 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, mark: str = "[redacted]", **options) -> DataFrame:
-    """doc_id and text with every detected span replaced; rows are matched by doc_id, which must be unique."""
-    found = detect(docs, **options).where(F.size("spans") > 0)
+    """doc_id and text with every detected span replaced. Each row is matched with its own spans by a number of its own, so that null
+    and repeated ids are redacted like others and no row is lost or doubled. Null text stays null."""
+    rows = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+    found = detect(rows.select(F.col("row").alias("doc_id"), "text"), **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("row"), "spans")
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
     )
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     finish = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text") - acc["at"]))
-    return docs.join(found, "doc_id", "left").select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", start, step, finish)).alias("text"))
+    return rows.join(found, "row", "left").select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", start, step, finish)).alias("text"))

@@ -577,3 +577,10 @@ def test_pipeline_keeps_columns_and_decides(spark, docs, tmp_path):
             out = spark.read.parquet(str(tmp_path / f"stage{i}"))
     assert out.count() > 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == out.count()
+
+
+def test_redaction_is_by_row_not_by_id(spark):
+    rows = [(None, "mail a.b@c.de now"), (None, "plain"), (2, "call x@y.org"), (2, "other x@y.org z@y.org"), (2, "call x@y.org"), (3, None), (4, "")]
+    got = pii.redacted(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, "mail [redacted] now"), (None, "plain"), (2, "call [redacted]"), (2, "other [redacted] [redacted]"), (2, "call [redacted]"), (3, None), (4, "")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
