@@ -19,6 +19,29 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{WS}]+"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, combine, block: int = 256) -> Column:
+    """The combinations of each array element with all before it (combine is associative), empty for an empty array, null for null.
+
+    Arrays grow by copies, so they are grown in blocks only; the blocks' last values are combined alike and then joined in.
+    """
+
+    def grown(a: Column) -> Column:
+        return F.aggregate(F.slice(a, 2, F.size(a)), F.slice(a, 1, 1), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+
+    def joined(blocks: Column) -> Column:
+        tops = grown(F.transform(blocks, lambda b: F.get(b, F.size(b) - 1)))  # null for an empty last block
+        shift = lambda t, b, k: F.when(k == 0, b).otherwise(F.transform(b, lambda x: combine(F.get(t, k - 1), x)))
+        return let(tops, lambda t: F.flatten(F.transform(blocks, lambda b, k: shift(t, b, k))))
+
+    starts = lambda a: F.sequence(F.lit(0), F.floor(F.size(a) / block).cast("int"))
+    return let(values, lambda a: let(F.transform(starts(a), lambda i: grown(F.slice(a, i * block + 1, F.lit(block)))), joined))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written tables: spark.checkpoint.dir, or on a local master a temporary one."""
     sc = spark.sparkContext

@@ -2,11 +2,15 @@
 
 Generators propose spans per kind: the base formats, and looser ones (national phone numbers, spelt-out addresses,
 secrets). A base candidate is labelled by its check (digit sum, octet range, digit count). A looser one is labelled by
-evidence that no feature shows: it lies in a confirmed span of its own kind (positive) or of another (negative), a cue word
-or an assignment stands before it, its domain ends in a usual way, its digits are too few or too many. Where nothing
-tells, it has no label and teaches nothing, but is judged. Features are small categories, so all candidates of all
+evidence that no feature shows: it lies in a confirmed span of its own kind (positive) or of another (negative); a number
+is positive after a cue word, negative with too few or too many digits, and else has no label and teaches nothing, but is
+judged; a spelt-out address is positive if its domain ends in a usual way, a secret if an assignment to a usual name stands
+before it or it has an issued key's form, and both are negative otherwise. Features are small categories, so all candidates of all
 documents reduce to a table bounded by the number of feature combinations; the trees are boosted on that table, and each
 looser generator has a threshold of its own.
+
+Work grows with the number of matches of a text but for a logarithm: running ends and maxima are combined in blocks, and
+spans that meet are found by binary search.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import running, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 
@@ -44,6 +48,7 @@ GENERATORS = (
     ("secret", "secret", SECRET, None),
 )
 BASE = 4  # the first generators are the base formats
+LOOSER = range(BASE, len(GENERATORS))
 CUES = r"(?i)(mail|phone|tel|call|fax|mobile|card|visa|credit|pay|ip|host|address|contact|write)\W{0,4}\w{0,8}\W{0,3}$"
 #: What labels looser candidates: words before a phone number, usual domain endings, an assignment to a secret's name.
 CALLS = r"(?i)\b(phone|tel|telephone|call|fax|mobile|cell|contact|dial)\b[^0-9A-Za-z]{0,3}(\w{0,8}[^0-9A-Za-z]{1,3})?$"
@@ -55,6 +60,8 @@ ISSUED = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abp
 #: Boosting: rounds, learning rate, least weight of a leaf; precision that the redaction threshold must reach.
 ROUNDS, RATE, LEAST = 30, 0.3, 5.0
 PRECISION = 0.9
+#: Code points of a block of text from which redaction copies.
+BLOCK = 256
 #: Bits of each feature in the code of a combination, lowest first.
 FEATURES = {"generator": 3, "digits": 3, "separator": 3, "before": 2, "after": 2, "cue": 1, "groups": 2}
 
@@ -149,12 +156,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     wide = wide.select("doc_id", "part", *[c.alias(f"{name}_{k}") for name, m, p in proposals(F.col("text")) for k, c in (("m", m), ("p", p))])
     for number, name in enumerate(names):
         m, p = F.col(f"{name}_m"), F.col(f"{name}_p")
-        ends = F.aggregate(  # running end of each match, from the lengths of pieces and matches
-            F.arrays_zip(F.slice(p, 1, F.size(m)).alias("p"), m.alias("m")),
-            F.array().cast("array<int>"),
-            lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.char_length(x["p"]) + F.char_length(x["m"]))),
-        )
-        wide = wide.withColumn(f"{name}_e", F.when(F.size(m) > 0, ends).otherwise(F.array().cast("array<int>")))
+        sizes = F.zip_with(F.slice(p, 1, F.size(m)), m, lambda a, b: F.char_length(a) + F.char_length(b))
+        wide = wide.withColumn(f"{name}_e", running(sizes, lambda a, b: a + b))  # the end of each match
         wide = wide.withColumn(f"{name}_s", F.transform(m, described(number, name)))
     spans = F.concat(*[F.col(f"{name}_s") for name in names])
     # short runs of digits are no candidates; every confirmed span is
@@ -275,22 +278,54 @@ def detect(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     kind = F.array(*[F.lit(KINDS.index(g[1])) for g in GENERATORS])
     plain = lambda s: F.struct(s["start"].alias("start"), F.get(kind, s["generator"]).alias("kind"), s["end"].alias("end"))
     base = F.array_sort(F.transform(F.filter("spans", lambda s: s["ok"] & (s["generator"] < BASE)), plain))
-    out = found.select("doc_id", "spans", base.alias("base"))
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.filter("spans", lambda s: (s["generator"] >= BASE) & s["code"].isin(chosen) & clear(s)) if chosen else F.slice("spans", 1, 0)
-    size = lambda s: F.struct(s["end"] - s["start"], s["generator"])
-    out = out.withColumn("more", more)
-    more = F.filter("more", lambda s: ~F.exists("more", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & (size(o) > size(s))))
-    return out.select("doc_id", "base", F.array_sort(F.array_distinct(F.concat("base", F.transform(more, plain)))).alias("spans"))
+    out = found.select("doc_id", "spans", base.alias("base")).withColumn("reach", reach("base", lambda b: b["end"]))
+
+    def added(n: int) -> Column:
+        return F.filter("spans", lambda s: (s["generator"] == n) & s["code"].isin(chosen) & ~meeting("reach", s)) if chosen else F.slice("spans", 1, 0)
+
+    def stays(n: int):
+        return lambda s: ~functools.reduce(Column.__or__, [larger(f"more_{o}", s) for o in LOOSER if o != n])
+
+    out = out.select("doc_id", "base", *[F.array_sort(added(n)).alias(f"more_{n}") for n in LOOSER])
+    more = [F.transform(F.filter(f"more_{n}", stays(n)), plain) for n in LOOSER]
+    return out.select("doc_id", "base", F.array_sort(F.concat("base", *more)).alias("spans"))
+
+
+def before(spans: str, least: Column, field: str = "start") -> Column:
+    """How many spans of a column that is sorted by the field, have it below the value: by binary search, in steps that halve."""
+    steps = F.sequence(F.length(F.bin(F.size(spans))) - 1, F.lit(0), F.lit(-1))
+    here = lambda at, k: at + F.pow(F.lit(2), k).cast("int")
+    return F.aggregate(steps, F.lit(0), lambda at, k: F.when(F.coalesce(F.get(spans, here(at, k) - 1)[field] < least, F.lit(False)), here(at, k)).otherwise(at))
+
+
+def reach(spans: str, *tops) -> Column:
+    """The spans by start, each with the running maximum of each of the functions of a span: (start, top0, top1, ...)."""
+    names = [f"top{i}" for i in range(len(tops))]
+    rows = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), *[t(s).alias(n) for t, n in zip(tops, names)])))
+    return running(rows, lambda a, b: F.struct(b["start"].alias("start"), *[F.greatest(a[n], b[n]).alias(n) for n in names]))
+
+
+def meeting(sure: str, s: Column, top: int = 0) -> Column:
+    """Whether span s meets one that column sure, made by reach, counts in its maximum of that number."""
+    return F.coalesce(F.get(sure, before(sure, s["end"]) - 1)[f"top{top}"] > s["start"], F.lit(False))
+
+
+def larger(others: str, s: Column) -> Column:
+    """Whether span s meets a larger one, then one of a later generator, of another generator's sorted spans. Those do not meet
+    each other, so all but the first and the last that s meets lie within s."""
+    size = lambda x: F.struct(x["end"] - x["start"], x["generator"])
+    beats = lambda o: F.coalesce((o["start"] < s["end"]) & (s["start"] < o["end"]) & (size(o) > size(s)), F.lit(False))
+    return beats(F.get(others, before(others, s["end"]) - 1)) | beats(F.get(others, before(others, s["start"] + 1, "end")))
 
 
 def labelled(found: DataFrame) -> DataFrame:
     """A looser proposal that meets a confirmed base span is positive if one of its own kind is among them, else negative."""
-    kind = F.array(*[F.lit(KINDS.index(g[1])) for g in GENERATORS])
-    meets = lambda s: F.filter("sure", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    alike = lambda s: F.exists(meets(s), lambda b: F.get(kind, b["generator"]) == F.get(kind, s["generator"]))
-    told = lambda s: F.when((s["generator"] < BASE) | (F.size(meets(s)) == 0), s["label"]).otherwise(alike(s).cast("int"))
+    kind = {n: KINDS.index(g[1]) for n, g in enumerate(GENERATORS)}
+    of = lambda n: lambda b: F.when(b["generator"].isin([g for g in range(BASE) if kind[g] == kind[n]]), b["end"]).otherwise(-1)
     sure = found.withColumn("sure", F.filter("spans", lambda s: s["ok"] & (s["generator"] < BASE)))
+    sure = sure.withColumn("reach", reach("sure", lambda b: b["end"], *map(of, LOOSER)))
+    alike = lambda s: F.coalesce(*[F.when(s["generator"] == n, meeting("reach", s, 1 + i)) for i, n in enumerate(LOOSER)])
+    told = lambda s: F.when((s["generator"] < BASE) | ~meeting("reach", s), s["label"]).otherwise(alike(s).cast("int"))
     return sure.select("doc_id", "part", F.transform("spans", lambda s: s.withField("label", told(s))).alias("spans"))
 
 
@@ -304,11 +339,16 @@ def redacted(docs: DataFrame, mark: str = "[redacted]", **options) -> DataFrame:
     """doc_id and text with every detected span replaced. Each row is matched with its own spans by a number of its own, so that null
     and repeated ids are redacted like others and no row is lost or doubled. Null text stays null."""
     rows = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
-    found = detect(rows.select(F.col("row").alias("doc_id"), "text"), **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("row"), "spans")
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    finish = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text") - acc["at"]))
-    return rows.join(found, "row", "left").select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", start, step, finish)).alias("text"))
+    found = written(detect(rows.select(F.col("row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("row"), "spans")).where(F.size("spans") > 0)
+    both = rows.join(found, "row", "left").withColumn("at", running(F.transform("spans", lambda s: s["end"]), F.greatest))
+    both = both.withColumn("blocks", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+    ends = lambda i: F.when(i > 0, F.get("at", i - 1)).otherwise(0)
+    gaps = F.filter(F.transform("spans", lambda s, i: F.struct(ends(i).alias("lo"), s["start"].alias("hi"))), lambda g: g["lo"] <= g["hi"])
+    last = F.struct(F.element_at("at", -1).alias("lo"), F.char_length("text").alias("hi"))
+    return both.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.concat(gaps, F.array(last)), piece), mark)).alias("text"))
+
+
+def piece(gap: Column) -> Column:
+    """The text from code point lo to hi, from the blocks that hold it."""
+    held = F.array_join(F.slice("blocks", F.floor(gap["lo"] / BLOCK).cast("int") + 1, F.floor(gap["hi"] / BLOCK).cast("int") - F.floor(gap["lo"] / BLOCK).cast("int") + 1), "")
+    return F.substring(held, gap["lo"] % BLOCK + 1, gap["hi"] - gap["lo"])

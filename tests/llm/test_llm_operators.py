@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -584,3 +585,34 @@ def test_redaction_is_by_row_not_by_id(spark):
     got = pii.redacted(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     want = [(None, "mail [redacted] now"), (None, "plain"), (2, "call [redacted]"), (2, "other [redacted] [redacted]"), (2, "call [redacted]"), (3, None), (4, "")]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_running_combines_over_blocks(spark):
+    from faultline.llm.common import running
+
+    sizes = [0, 1, 4, 5, 8, 9, 37]
+    rng = np.random.default_rng(3)
+    rows = [(n, [int(x) for x in rng.integers(-50, 50, n)]) for n in sizes] + [(-1, None)]
+    df = spark.createDataFrame(rows, "n int, a array<int>").select("n", "a", running("a", lambda x, y: x + y, 4).alias("total"), running("a", F.greatest, 4).alias("top"))
+    for r in df.collect():
+        assert r.total == (None if r.a is None else list(np.cumsum(r.a)) if r.a else [])
+        assert r.top == (None if r.a is None else list(np.maximum.accumulate(r.a)) if r.a else [])
+
+
+def test_pii_of_texts_with_very_many_matches(spark):
+    n = 60_000
+    numbers = " ".join(f"call +4930{i:08d} or 030-1234-{i % 10000:04d}," for i in range(n))
+    df = spark.createDataFrame([(1, numbers), (2, " ".join(f"word{i} and" for i in range(n))), (3, None), (4, "tel. +49301234567 \U0001f600 mail a@b.de")], "doc_id long, text string")
+    begin = time.time()
+    got = {r.doc_id: r.spans for r in pii.detect(df).collect()}
+    want = [(m.start(), 3, m.end()) for m in re.finditer(r"\+4930[0-9]{8}", numbers)]
+    assert [tuple(s) for s in got[1] if numbers[s.start] == "+"] == want and got[2] == got[3] == []
+    assert {(s.start, s.end) for s in got[1]} - {(a, b) for a, _, b in want} <= {m.span() for m in re.finditer(r"030-1234-[0-9]{4}", numbers)}
+    out = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    kept, at = [], 0
+    for s in got[1]:
+        kept.append(numbers[at : s.start])
+        at = s.end
+    assert out[1] == "[redacted]".join([*kept, numbers[at:]])
+    assert out[2] == df.where("doc_id = 2").first().text and out[3] is None and out[4] == "tel. [redacted] \U0001f600 mail [redacted]"
+    assert time.time() - begin < 120  # work that grew with the square of the matches would take hours
