@@ -616,3 +616,29 @@ def test_pii_of_texts_with_very_many_matches(spark):
     assert out[1] == "[redacted]".join([*kept, numbers[at:]])
     assert out[2] == df.where("doc_id = 2").first().text and out[3] is None and out[4] == "tel. [redacted] \U0001f600 mail [redacted]"
     assert time.time() - begin < 120  # work that grew with the square of the matches would take hours
+
+
+def shingle_nodes(spark, texts):
+    found = near.sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    return found, found.select("node", F.col("node").alias("root")).distinct()
+
+
+def test_rare_shingles_miss_no_similar_pair(spark):
+    rng = np.random.default_rng(23)
+    pools = [[f"p{p}w{x}" for x in range(60)] for p in range(4)]
+    texts = {" ".join(pools[rng.integers(4)][int(a) : int(a + n)] + [f"x{i}"] * int(rng.integers(0, 3))) for i in range(160) for a, n in [(rng.integers(0, 12), rng.integers(3, 50))]}
+    found, nodes = shingle_nodes(spark, sorted(texts))
+    held = {r.node: set(np.frombuffer(r.held, np.uint64).tolist()) for r in found.collect()}
+    pairs = near.rare_pairs(near.rare_ends(nodes, found))
+    got = {(r.src, r.dst) for r in near.similar(pairs, found).collect()}
+    keys = sorted(held)
+    want = {frozenset((a, b)) for i, a in enumerate(keys) for b in keys[:i] if 5 * len(held[a] & held[b]) >= 4 * len(held[a] | held[b])}
+    assert {frozenset(p) for p in got} == want and len(want) > 50
+
+
+def test_many_texts_just_below_the_similarity_are_not_paired(spark):
+    page = [f"page{x}" for x in range(304)]
+    texts = [" ".join([*page, *[f"own{i}x{x}" for x in range(50)]]) for i in range(2_000)]  # 300 of 400 shingles shared by any two
+    found, nodes = shingle_nodes(spark, texts)
+    assert near.rare_pairs(near.rare_ends(nodes, found)).count() == 0
+    assert len(stage_near_dedup(spark, list(enumerate(texts)))) == 2_000
