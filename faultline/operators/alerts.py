@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultline.functions.scalars import RESOURCE_METRICS, STRONG_SYMPTOMS, alert_score
+from .tables import written
 
 
 def streaks(rows: DataFrame, keys: list[str], order: list[str], high: Column) -> DataFrame:
@@ -114,17 +117,30 @@ def detect(scored: DataFrame, step: float | Column, soft: float = 3.0, hard: flo
     return out.withColumn("severity", F.when(F.size("reasons") > 0, "hard").otherwise("soft"))
 
 
-def alert_windows(events: DataFrame, before: float = 30.0, after: float = 60.0, by: list[str] | None = None) -> DataFrame:
+def alert_windows(events: DataFrame, before: float = 30.0, after: float = 60.0, by: list[str] | None = None, cell: float = 3600.0) -> DataFrame:
     """Events whose padded intervals touch form a window; each with its range, severity, largest z and trigger metrics.
 
-    Windows are told apart per ``by`` (a cluster or tenant); without it over all events, which are few by construction.
+    Windows are told apart per ``by`` (a cluster or tenant), without it over all events. An event opens a window if the time before
+    its own ends too early, so distinct times decide. They are numbered within cells of ``cell`` seconds; the ends of cells are
+    stitched over one row a cell, a table that grows with the time spanned, not with the events. Events without a time have no window.
     """
     keys = by or []
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("timestamp", "event_id")
-    last_end = F.max(F.col("timestamp") + after).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(last_end.isNull() | (F.col("timestamp") - before > last_end), 1).otherwise(0)
-    numbered = events.withColumn("_opens", opens).withColumn("window_no", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.drop("_opens")
+    events = written(events)
+    times = events.where("timestamp is not null").select(*keys, "timestamp", F.floor(F.col("timestamp") / cell).alias("_cell")).distinct()
+    apart = lambda at, last: at - before > last + after
+    w = Window.partitionBy(*keys, "_cell").orderBy("timestamp")
+    opens = F.coalesce(apart(F.col("timestamp"), F.lag("timestamp").over(w)), F.lit(False)).cast("long")
+    inside = times.withColumn("_opens", opens).withColumn("_within", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = inside.drop("_opens")
+    cells = inside.groupBy(*keys, "_cell").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"), F.max("_within").alias("_more"))
+    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_cell")
+    cells = cells.withColumn("_new", F.coalesce(apart(F.col("_first"), F.lag("_last").over(along)), F.lit(True)).cast("long"))
+    start = F.sum(F.col("_new") + F.col("_more")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_more")
+    cells = cells.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_cell").alias("_c"), start.alias("_start"))
+    same = lambda a, b: reduce(lambda x, k: x & F.col(a(k)).eqNullSafe(F.col(b(k))), keys, F.lit(True))
+    numbered = inside.join(cells, (F.col("_cell") == F.col("_c")) & same(lambda k: k, lambda k: f"_c_{k}"))
+    numbered = numbered.select(*[F.col(k).alias(f"_n_{k}") for k in keys], F.col("timestamp").alias("_at"), (F.col("_start") + F.col("_within")).alias("window_no"))
+    return events.join(numbered, (F.col("timestamp") == F.col("_at")) & same(lambda k: k, lambda k: f"_n_{k}")).select(*events.columns, "window_no")
 
 
 def window_summary(numbered: DataFrame, before: float = 30.0, after: float = 60.0, by: list[str] | None = None) -> DataFrame:

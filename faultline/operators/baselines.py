@@ -27,17 +27,24 @@ def robust_stats(metrics: DataFrame, incidents: DataFrame, eps: float = 1e-6) ->
     """Median and MAD per (incident, service, instance, metric) before the incident.
 
     Falls back from rows without an incident id of the instance to any of the instance, then
-    the same two of (service, metric). The incident table is small and broadcast by size.
+    the same two of (service, metric). Both kinds of rows are taken in the same two aggregations of each level. The incident
+    table is small and broadcast by size.
     """
     before = metrics.join(incidents.select(F.col("incident_id").alias("incident"), "start_ts"), F.col("timestamp") < F.col("start_ts"))
-    clean = before.where("incident_id is null")
-    fine, coarse = ["incident", "service", "instance", "metric"], ["incident", "service", "metric"]
-    groups = metrics.select("service", "instance", "metric").distinct().join(incidents.select(F.col("incident_id").alias("incident")))
-    out = groups
-    for i, (rows, keys) in enumerate([(clean, fine), (before, fine), (clean, coarse), (before, coarse)]):
-        found = median_mad(rows, keys).select(*keys, F.struct("median", "mad", "n").alias(f"s{i}"))
-        out = out.join(found, keys, "left")
-    best = out.withColumn("s", F.coalesce(*[F.col(f"s{i}") for i in range(4)])).where("s is not null")
+    kinds = {"clean": F.col("incident_id").isNull(), "any": F.lit(True)}
+    out = metrics.select("service", "instance", "metric").distinct().join(incidents.select(F.col("incident_id").alias("incident")))
+    choices = []
+    for keys in (["incident", "service", "instance", "metric"], ["incident", "service", "metric"]):
+        of = lambda k, x: F.when(kinds[k], x)
+        size = len(keys)
+        parts = [(F.count(of(k, F.lit(1))).alias(f"rows_{k}"), F.count(of(k, F.col("value"))).alias(f"n_{k}"), F.percentile(of(k, F.col("value")), 0.5).alias(f"median_{k}")) for k in kinds]
+        center = before.groupBy(*keys).agg(*[c for part in parts for c in part])
+        mads = [F.percentile(of(k, F.abs(F.col("value") - F.col(f"median_{k}"))), 0.5).alias(f"mad_{k}") for k in kinds]
+        both = before.join(center, keys).groupBy(*keys, *center.columns[size:]).agg(*mads)
+        stats = [F.when(F.col(f"rows_{k}") > 0, F.struct(F.col(f"median_{k}").alias("median"), F.col(f"mad_{k}").alias("mad"), F.col(f"n_{k}").alias("n"))).alias(f"{k}_{size}") for k in kinds]
+        out = out.join(both.select(*keys, *stats), keys, "left")
+        choices += [f"{k}_{size}" for k in kinds]
+    best = out.withColumn("s", F.coalesce(*choices)).where("s is not null")
     return best.select("incident", "service", "instance", "metric", "s.median", "s.mad", (MAD * F.col("s.mad") + eps).alias("scale"), F.col("s.n").alias("baseline_count"))
 
 

@@ -1,6 +1,7 @@
 """Operators against hand-computed values and closed forms."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -77,6 +78,36 @@ def test_alert_windows_merge(spark):
     assert values(w, "window_no", "start_ts", "end_ts", "event_count") == [(1, -30.0, 140.0, 2), (2, 141.0, 231.0, 1), (3, 370.0, 460.0, 1)]
 
 
+def test_alert_windows_over_cells_and_keys(spark):
+    """Numbers equal those of one ordered walk, whatever the cells, for ties, repeats, null keys and null times."""
+    rng = random.Random(5)
+    data = [(i, rng.choice([-4000.0, 0.0, 9000.0]) + rng.randrange(40) * 45.0, rng.choice(["a", "b", None])) for i in range(120)] + [(500, None, "a")]
+    df = rows(spark, data + data[:3], "event_id int, timestamp double, cluster string")
+    for by in ([], ["cluster"]):
+        want, last, no = [], {}, {}
+        for i, t, k in sorted((r for r in data + data[:3] if r[1] is not None), key=lambda r: r[1]):
+            k = k if by else "all"
+            no[k] = no.get(k, 0) + (k not in last or t - 30.0 > last[k] + 60.0)
+            last[k] = t
+            want.append((i, no[k]))
+        for cell in (60.0, 3600.0):
+            assert values(L.alert_windows(df, by=by, cell=cell), "event_id", "window_no") == sorted(want)
+    plan = L.alert_windows(df)._jdf.queryExecution().toString()
+    assert plan.count("_cell") and L.alert_windows(df.limit(0)).count() == 0
+
+
+def test_robust_stats_fall_back(spark):
+    """Clean rows of the instance, any of the instance, clean ones of the service, any of the service; before the incident only."""
+    cols = "timestamp double, service string, instance string, metric string, value double, incident_id string"
+    m = rows(spark, [(float(t), s, i, "m", v, inc) for t, s, i, v, inc in [
+        (1, "s", "a", 1.0, None), (2, "s", "a", 3.0, None), (3, "s", "a", 50.0, "x"), (9, "s", "a", 99.0, None),
+        (1, "s", "b", 7.0, "x"), (2, "s", "b", 9.0, "x"), (8, "s", "c", 4.0, None), (1, "t", "d", 5.0, "x"), (8, "t", "e", 6.0, None), (8, "u", "f", 6.0, None)]], cols)
+    stats = B.robust_stats(m, rows(spark, [("i", 5.0), ("early", 0.0)], "incident_id string, start_ts double"))
+    assert values(stats, "incident", "instance", "median", "mad", "baseline_count") == [
+        ("i", "a", 2.0, 1.0, 2), ("i", "b", 8.0, 1.0, 2), ("i", "c", 2.0, 1.0, 2), ("i", "d", 5.0, 0.0, 1), ("i", "e", 5.0, 0.0, 1),
+    ]
+
+
 def test_robust_scores(spark):
     df = rows(spark, [("a", float(i), float(v)) for i, v in enumerate([1, 2, 3, 4, 100, 7])], "k string, ts double, value double")
     got = dict(values(B.prefix_z(df, ["k"], ["ts"], ratio=0.5), "ts", "z_score"))
