@@ -29,9 +29,10 @@ def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int
 
     The classifier is fitted on a bounded sample: of each language the ``sample_docs``
     documents of least hashed doc_id, from which equal shares of at most ``size`` bytes in
-    all are taken. The choice uses ids only, in two steps, so no language gathers in one task.
+    all are taken. The choice uses ids only, in two steps, so no language gathers in one task. Of rows that repeat
+    lang and doc_id the least text is taken, so that the bound holds; rows without doc_id teach nothing.
     """
-    ids = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    ids = labelled.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct()
     part = ids.withColumn("part", F.pmod("h", F.lit(8)))
     order = [F.col("h"), F.col("doc_id")]
     some = part.withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("k") <= sample_docs)
@@ -41,7 +42,8 @@ def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int
     # each text gives what its share of the size takes, eight characters a byte at most
     room = F.greatest(F.lit(share), F.floor(F.lit(size) / F.count("*").over(Window.partitionBy("lang")))) * 8
     chosen = F.broadcast(chosen.withColumn("room", room.cast("int")))  # at most sample_docs rows a language
-    rows = labelled.join(chosen, ["doc_id", "lang"]).select("lang", "doc_id", F.substring("text", F.lit(1), F.col("room")).alias("text")).collect()
+    rows = labelled.join(chosen, ["doc_id", "lang"]).select("lang", "doc_id", F.substring("text", F.lit(1), F.col("room")).alias("text"))
+    rows = rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
     out: dict[str, bytes] = {}
     by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] or 0, r["text"] or "")):
