@@ -23,7 +23,7 @@ def streaks(rows: DataFrame, keys: list[str], order: list[str], high: Column) ->
 
 def composite(scores: DataFrame, keys: list[str], order: str, selectors: DataFrame, need: int) -> DataFrame:
     """Streaks of windows in which all (or any) selectors of a rule are met on the same key; selectors is a fixed small table."""
-    met = scores.join(selectors, "metric").where(F.col("score") > F.col("least"))
+    met = scores.join(F.broadcast(selectors), "metric").where(F.col("score") > F.col("least"))
     counted = met.groupBy(*keys, order, "rule", "mode", "parts").agg(F.count_distinct("metric").alias("hits"))
     fired = counted.withColumn("fired", F.when(F.col("mode") == "all", F.col("hits") >= F.col("parts")).otherwise(F.col("hits") > 0))
     return streaks(fired, [*keys, "rule"], [order], F.col("fired")).withColumn("alert", F.col("streak") >= need)

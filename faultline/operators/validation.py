@@ -16,7 +16,7 @@ def with_reasons(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def contract(rows: DataFrame, declared: DataFrame, on: list[str], fields: list[str]) -> DataFrame:
     """rows whose fields differ from the declared row of their key, or that have none. The declared table is a small dimension."""
     d = declared.select(*on, *[F.col(f).alias(f"_{f}") for f in fields], F.lit(True).alias("_known"))
-    j = rows.join(d, on, "left")
+    j = rows.join(F.broadcast(d), on, "left")
     wrong = F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), F.lit(f)) for f in fields]))
     return j.withColumn("problem", F.when(F.col("_known").isNull(), "undeclared").when(F.size(wrong) > 0, F.concat(F.lit("differs:"), F.array_join(wrong, ",")))).drop("_known", *[f"_{f}" for f in fields])
 

@@ -114,7 +114,7 @@ def _(v):
 @query("src_27_registry_records", "SELECT metric, kind, count(*) AS n FROM v_metrics JOIN (VALUES ('request.error_rate','gauge'),('cpu.throttled_usec','monotonic_counter'),('net.retrans','monotonic_counter')) r(m, kind) ON m=metric GROUP BY 1,2")
 def _(v):
     reg = v.spark.createDataFrame([("request.error_rate", "gauge"), ("cpu.throttled_usec", "monotonic_counter"), ("net.retrans", "monotonic_counter")], "metric string, kind string")
-    return v.metrics().join(reg, "metric").groupBy("metric", "kind").agg(F.count("*").alias("n"))
+    return v.metrics().join(F.broadcast(reg), "metric").groupBy("metric", "kind").agg(F.count("*").alias("n"))
 
 
 # --- validation
