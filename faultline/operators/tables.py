@@ -25,6 +25,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_width(table: DataFrame, rows: int = 1 << 19) -> int:
+    """Partitions that hold about ``rows`` rows of a table read from files (its count is in their footers), so that a task's memory does not grow with it."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // rows))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

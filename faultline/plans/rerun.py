@@ -66,7 +66,7 @@ def _(v):
 @query("src_09_conflicting_samples", """WITH i AS (SELECT src, dst, month, request_id, count(DISTINCT latency) AS kinds, min(latency) AS latency FROM v_call_rows GROUP BY 1,2,3,4)
  SELECT src, dst, month, coalesce(sum(latency) FILTER (kinds=1), 0) AS total, count(*) FILTER (kinds=1) AS samples, count(*) FILTER (kinds>1) AS conflicts, min(request_id) FILTER (kinds=1) AS first_source, max(request_id) FILTER (kinds=1) AS last_source, CAST(sum(request_id%1000003) FILTER (kinds=1) AS BIGINT) AS sources FROM i GROUP BY 1,2,3""")
 def _(v):
-    return Q.call_edges(v.call_rows(), ["src", "dst", "month"], "request_id", "latency")
+    return Q.call_edges(v.call_rows(dealt=True), ["src", "dst", "month"], "request_id", "latency")
 
 
 @query("val_03_metric_roles", """WITH r AS (SELECT * FROM (VALUES ('symptom', 'request.', ['events'], 'load'), ('latency', 'request.p99', ['events'], 'load'), ('cause', 'cpu.', ['events'], 'CPU'), ('cause', 'io.', ['probe'], 'storage I/O')) t(role, prefix, sources, family)),

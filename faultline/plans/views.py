@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.operators.tables import written
+from faultline.operators.tables import spread_width, written
 
 #: Event type to metric name.
 METRIC_OF = {"error": "request.error_rate", "view": "request.p99_latency_ms", "click": "cpu.throttled_usec", "purchase": "net.retrans", "signup": "io.write_bytes"}
@@ -93,13 +93,18 @@ class Views:
             F.lit("svc0").alias("symptom_service"), start.alias("start_ts"), (start + 43200.0).alias("end_ts"), F.array(svc(i), svc(i + 1), F.lit("svc0")).alias("injected_path"),
         )
 
-    def call_rows(self) -> DataFrame:
+    def call_rows(self, dealt: bool = False) -> DataFrame:
+        """The calls; dealt by request over partitions of a bounded size, for what groups rows of single requests."""
         li = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate")
         orders = self.table("orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
         cust = self.table("customer").select("c_custkey", "c_nationkey")
         supp = self.table("supplier").select("s_suppkey", "s_nationkey")
         nation = self.table("nation").select("n_nationkey", "n_name")
-        rows = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(cust, F.col("o_custkey") == F.col("c_custkey")).join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+        placed, served = orders.join(cust, F.col("o_custkey") == F.col("c_custkey")), li.join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+        if dealt:
+            width = spread_width(li)
+            placed, served = placed.repartition(width, "o_orderkey"), served.repartition(width, "l_orderkey")
+        rows = served.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         a, b = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("src")), nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("dst"))
         return rows.join(a, "c_nationkey").join(b, "s_nationkey").select(
             "src", "dst", "month", F.col("l_quantity").alias("latency"), (F.col("l_returnflag") == "R").cast("long").alias("failed"), F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("line")

@@ -108,11 +108,12 @@ def kernel_events(lines: Column) -> Column:
 def call_edges(samples: DataFrame, edge: list[str], identity: str, value: str) -> DataFrame:
     """Per edge the sum over its samples, each counted once, and what came in conflict.
 
-    Samples of the same edge and identity with the same value are one; with differing values they are a conflict and none counts.
+    Samples of the same edge and identity with the same value are one; with differing values they are a conflict and none counts. Without
+    any value they are neither.
     The sources are kept as their first, their last and an order-free sum, which tells sets apart without holding them.
     """
-    one = samples.groupBy(*edge, identity).agg(F.count_distinct(value).alias("_kinds"), F.min(value).alias("_value"))
-    good = F.col("_kinds") == 1
+    one = samples.groupBy(*edge, identity).agg(F.min(value).alias("_value"), F.max(value).alias("_most"))
+    good = F.col("_value") == F.col("_most")
     take = lambda c: F.when(good, c)
     return one.groupBy(*edge).agg(
         F.coalesce(F.sum(take(F.col("_value"))), F.lit(0.0)).alias("total"), F.count_if(good).alias("samples"), F.count_if(~good).alias("conflicts"),
