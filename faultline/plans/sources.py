@@ -40,7 +40,7 @@ def _(v):
 
 @query("src_09_call_edges", "SELECT src, dst, month, sum(latency) AS total, count(*) AS samples FROM (SELECT DISTINCT src, dst, month, request_id, line, latency FROM v_call_rows) GROUP BY 1,2,3 HAVING sum(latency)>0")
 def _(v):
-    rows = v.call_rows().select("src", "dst", "month", "request_id", "line", "latency").distinct()
+    rows = v.call_rows(dealt=True).select("src", "dst", "month", "request_id", "line", "latency").distinct()
     return rows.groupBy("src", "dst", "month").agg(F.sum("latency").alias("total"), F.count("*").alias("samples")).where("total > 0")
 
 

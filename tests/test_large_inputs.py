@@ -14,3 +14,21 @@ def test_small_tables_meet_rows_by_broadcast(spark):
     for name in ("src_27_registry_records", "val_02_component_contract"):
         plan = plan_of(entry.queries()[name](spark, FOLDER))
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_calls_are_dealt_over_partitions_of_bounded_size(spark):
+    from faultline.operators.tables import spread_width
+
+    lineitem = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    assert spread_width(lineitem) == 4 and spread_width(lineitem, 100) == -(-lineitem.count() // 100)
+    for name in ("src_09_call_edges", "src_09_conflicting_samples"):
+        plan = plan_of(entry.queries()[name](spark, FOLDER))
+        assert "hashpartitioning(l_orderkey" in plan and "REPARTITION_BY_NUM" in plan and "Expand" not in plan
+
+
+def test_samples_without_a_value_are_no_conflict(spark):
+    from faultline.sources.records import call_edges
+
+    rows = [("x", "y", 1, None), ("x", "y", 2, 3.0), ("x", "y", 2, None), ("x", "y", 3, 4.0), ("x", "y", 3, 5.0)]
+    r = call_edges(spark.createDataFrame(rows, "src string, dst string, id long, v double"), ["src", "dst"], "id", "v").first()
+    assert (r.total, r.samples, r.conflicts) == (3.0, 1, 1)
