@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from faultline.functions.scalars import evidence_type, noisy_or, root_type, specificity
 from faultline.operators.alerts import streaks
+from faultline.operators.tables import written
 
 ALWAYS_ON = ("request.error_rate", "request.p99_latency_ms")
 
@@ -60,6 +61,43 @@ def blind_lift(metrics: DataFrame, windows: DataFrame, key: str) -> DataFrame:
     return t.withColumns({"relative_lift": F.col("absolute_lift") / (F.abs("baseline_mean") + 1e-9), "evidence_type": root_type(evidence_type(F.col("metric")))})
 
 
+def separate_lift(metrics: DataFrame, windows: DataFrame, key: str, cell: float = 3600.0) -> DataFrame:
+    """blind_lift for many windows: (key, service, metric, baseline_mean, faulty_mean, absolute_lift) where both sides have rows; null where one has no value.
+
+    Rows inside a window are found by time cells, so their number decides. Means ahead of a start are running sums: within
+    cells of ``cell`` seconds, joined with the running sums of whole cells, so no row meets a window that it is only ahead of.
+    """
+    of = lambda c: F.floor(F.col(c) / cell)
+    rows = metrics.select("service", "metric", "timestamp", "value", of("timestamp").alias("_cell")).where("timestamp is not null")
+    w = windows.select(key, "start_ts", "end_ts")
+    spread = w.withColumn("_cell", F.explode(F.sequence(of("start_ts"), of("end_ts"))))
+    inside = rows.join(spread, "_cell").where((F.col("timestamp") >= F.col("start_ts")) & (F.col("timestamp") <= F.col("end_ts")))
+    faulty = written(inside.groupBy(key, "start_ts", "service", "metric").agg(F.avg("value").alias("faulty_mean")))
+
+    sums = [F.sum("value").alias("_sum"), F.count("value").alias("_values"), F.count("*").alias("_rows")]
+    names = ("_sum", "_values", "_rows")
+    up_to = lambda over: [F.sum(c).over(over).alias(f"{c}_before") for c in names]
+    one = rows.groupBy("service", "metric", "_cell", "timestamp").agg(*sums)
+    starts = faulty.select("service", "metric", of("start_ts").alias("_cell"), F.col("start_ts").alias("timestamp")).distinct()
+    asked = starts.select("*", *[F.lit(None).cast(t).alias(c) for c, t in zip(names, ("double", "long", "long"))])
+    # a start comes ahead of the rows of its own time
+    both = one.withColumn("_asks", F.lit(False)).unionByName(asked.withColumn("_asks", F.lit(True)))
+    ordered = Window.partitionBy("service", "metric", "_cell").orderBy("timestamp", F.desc("_asks")).rowsBetween(Window.unboundedPreceding, -1)
+    within = both.select("service", "metric", "_cell", "timestamp", "_asks", *up_to(ordered)).where("_asks")
+    cells = one.groupBy("service", "metric", "_cell").agg(*[F.sum(c).alias(c) for c in names])
+    asks = starts.select("service", "metric", "_cell").distinct().select("*", *[F.lit(None).cast(t).alias(c) for c, t in zip(names, ("double", "long", "long"))])
+    cells = cells.unionByName(asks).groupBy("service", "metric", "_cell").agg(*[F.sum(c).alias(c) for c in names])
+    along = Window.partitionBy("service", "metric").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = cells.select("service", "metric", "_cell", *[F.sum(c).over(along).alias(f"{c}_ahead") for c in names])
+    total = lambda c: F.coalesce(f"{c}_before", F.lit(0)) + F.coalesce(f"{c}_ahead", F.lit(0))
+    same = lambda at: F.col("a.service").eqNullSafe(F.col("b.service")) & F.col("a.metric").eqNullSafe(F.col("b.metric")) & at
+    means = within.alias("a").join(ahead.alias("b"), same(F.col("a._cell") == F.col("b._cell"))).where(total("_rows") > 0).select(
+        "a.service", "a.metric", "timestamp", F.when(total("_values") > 0, total("_sum") / total("_values")).alias("baseline_mean")
+    )
+    both = faulty.alias("a").join(means.alias("b"), same(F.col("start_ts") == F.col("b.timestamp")))
+    return both.select(key, "a.service", "a.metric", "baseline_mean", "faulty_mean", (F.col("faulty_mean") - F.col("baseline_mean")).alias("absolute_lift"))
+
+
 def normalised_evidence(lift: DataFrame, key: str) -> DataFrame:
     """Positive lift over the largest of its window and type; rows without positive lift go."""
     up = lift.where("absolute_lift > 0")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from faultline.functions import scalars as S
 from faultline.operators import evidence as E
 from faultline.operators import inversion as I
+from faultline.operators.tables import written
 
 from .alerts import daily, windows
 from .baselines import scored
@@ -107,7 +108,7 @@ def _(v):
 
 @query("evd_02_alert_window_lift", "SELECT window_no, service, metric, avg(value) FILTER (timestamp>=start_ts)-avg(value) FILTER (timestamp<start_ts) AS absolute_lift FROM v_metrics JOIN v_windows ON timestamp<=end_ts GROUP BY 1,2,3 HAVING count(*) FILTER (timestamp>=start_ts)>0 AND count(*) FILTER (timestamp<start_ts)>0")
 def _(v):
-    return E.blind_lift(v.metrics(), windows(v), "window_no").select("window_no", "service", "metric", "absolute_lift")
+    return E.separate_lift(v.metrics(), written(windows(v)), "window_no").select("window_no", "service", "metric", "absolute_lift")
 
 
 @query("evd_03_normalised_lift", "SELECT incident_id, service, metric, evidence_score FROM v_normal")

@@ -32,3 +32,28 @@ def test_samples_without_a_value_are_no_conflict(spark):
     rows = [("x", "y", 1, None), ("x", "y", 2, 3.0), ("x", "y", 2, None), ("x", "y", 3, 4.0), ("x", "y", 3, 5.0)]
     r = call_edges(spark.createDataFrame(rows, "src string, dst string, id long, v double"), ["src", "dst"], "id", "v").first()
     assert (r.total, r.samples, r.conflicts) == (3.0, 1, 1)
+
+
+def test_lift_of_many_windows_needs_no_range_join(spark):
+    import random
+
+    from faultline.operators import evidence as E
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["m", "n", None]), float(rng.randrange(4000)), rng.choice([None, *[rng.gauss(100, 30) for _ in range(9)]])) for _ in range(3000)]
+    windows = [(i, 20.0 * i + 3, 20.0 * i + 9) for i in range(-1, 210)] + [(900, 0.0, 4000.0), (901, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "service string, metric string, timestamp double, value double")
+    out = E.separate_lift(df, spark.createDataFrame(windows, "w long, start_ts double, end_ts double"), "w", 64.0)
+    assert "NestedLoop" not in plan_of(out) and "Cartesian" not in plan_of(out)
+    want = {}
+    for w, a, b in windows:
+        for s, m in {(r[0], r[1]) for r in rows}:
+            of = lambda test: [v for x, y, t, v in rows if (x, y) == (s, m) and test(t)]  # noqa: B023, E731
+            before, inside = of(lambda t: t < a), of(lambda t: a <= t <= b)  # noqa: B023
+            mean = lambda vs: sum(v for v in vs if v is not None) / n if (n := sum(v is not None for v in vs)) else None
+            if before and inside:
+                want[w, s, m] = None if None in (mean(inside), mean(before)) else mean(inside) - mean(before)
+    got = {(r.w, r.service, r.metric): r.absolute_lift for r in out.collect()}
+    assert got.keys() == want.keys() and None in want.values()
+    assert all(want[k] is x is None or abs(want[k] - x) < 1e-9 for k, x in got.items())
+    assert "NestedLoop" not in plan_of(entry.queries()["evd_02_alert_window_lift"](spark, FOLDER))
