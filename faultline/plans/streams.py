@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators.tables import scratch
+from faultline.operators.tables import scratch, spread_width, written
 from faultline.streaming import windows as W
 
 from .views import query
@@ -17,7 +17,7 @@ def replayed_through(v, rows: DataFrame, build, sink, parts: int = 4, cuts: list
     """build(stream) into sink when ``rows`` arrive in ranges of the column ``ord`` (up to each of cuts, or ``parts`` of about equal
     size): each range is appended to a folder and drained by a run of the same query, which goes on from the checkpoint of the run before."""
     folder = scratch(v.spark, "stream")
-    rows = rows.withColumn("ord", F.col("ord").cast("double"))
+    rows = written(rows.withColumn("ord", F.col("ord").cast("double")))
     if cuts is None:
         cuts = rows.agg(F.percentile_approx("ord", [i / parts for i in range(1, parts)])).first()[0] or []
     edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
@@ -60,7 +60,9 @@ def _with_store(v):
 @query("str_04_stateful_delta", "SELECT issue, count(*) AS n, sum(CASE WHEN value>=prev THEN value-prev END) AS total FROM (SELECT *, CASE WHEN prev IS NULL THEN 'no_history' WHEN value<prev THEN 'counter_reset' END AS issue FROM (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY timestamp, event_id) AS prev FROM v_counter)) GROUP BY 1")
 def _(v):
     _with_store(v)
-    out = replayed(v, v.counter().select("series_id", (F.col("timestamp") + F.col("event_id") * 1e-9).alias("ts"), "value", F.col("timestamp").alias("ord")), lambda stream: W.stateful(stream.drop("ord"), "series_id", W.CounterDelta()))
+    rows = v.counter().select("series_id", (F.col("timestamp") + F.col("event_id") * 1e-9).alias("ts"), "value", F.col("timestamp").alias("ord"))
+    bucket = F.pmod(F.xxhash64("series_id"), F.lit(spread_width(v.table("events"), 20_000)))
+    out = replayed(v, rows, lambda stream: W.stateful(stream.drop("ord").withColumn("bucket", bucket), "bucket", W.CounterDelta()))
     return out.groupBy("issue").agg(F.count("*").alias("n"), F.sum("delta").alias("total"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,29 +36,47 @@ def delayed_diagnosis(alerts: DataFrame, evidence: DataFrame, delay: str, latene
 
 
 class CounterDelta(StatefulProcessor):
-    """Delta of each counter series across micro-batches; a reset is missing. State: the last time and value of the series."""
+    """Delta of each counter series across micro-batches; a reset is missing. Keyed by a bucket of series: one call takes all rows of its series
+    at once. State: the last time and value of each series of the bucket."""
 
     OUTPUT = "series_id string, ts double, delta double, issue string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts double, value double")
+        self.last = handle.getValueState("last", "series array<string>, ts array<double>, value array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("ts")
-        before = self.last.get()
-        out = []
-        for ts, value in zip(frame["ts"], frame["value"]):
-            if before is None:
-                out.append((key[0], ts, None, "no_history"))
-            elif ts < before[0]:
-                out.append((key[0], ts, None, "late"))
-                continue
-            else:
-                d = value - before[1]
-                out.append((key[0], ts, None if d < 0 else d, "counter_reset" if d < 0 else None))
-            before = (float(ts), float(value))
-        self.last.update(before)
-        yield pd.DataFrame(out, columns=["series_id", "ts", "delta", "issue"])
+        frame = pd.concat(list(rows))
+        held = self.last.get() or ([], [], [])
+        names = np.array([*held[0], *frame["series_id"]], object)
+        codes, _ = pd.factorize(names, use_na_sentinel=False)
+        floats = lambda x: np.array(x, float)  # noqa: E731  missing values become nan
+        n, last_ts, last_value = len(held[0]), floats(held[1]), floats(held[2])
+        at = np.full(len(names), -1)
+        at[codes[:n]] = np.arange(n)
+        order = np.lexsort((floats(frame["ts"]), codes[n:]))
+        code, ts, value = codes[n:][order], floats(frame["ts"])[order], floats(frame["value"])[order]
+        series = names[n:][order]
+        known = at[code] >= 0
+        late = np.zeros(len(code), bool)
+        late[known] = ts[known] < last_ts[at[code[known]]]
+        rest = np.flatnonzero(~late)
+        first = np.append(True, code[rest][1:] != code[rest][:-1])[: len(rest)]
+        before = np.append(np.nan, value[rest][:-1])[: len(rest)]
+        carried = first & known[rest]
+        before[carried] = last_value[at[code[rest][carried]]]
+        has = ~first | carried
+        d = value[rest] - before
+        delta, issue = np.full(len(code), np.nan), np.full(len(code), None, object)
+        delta[rest] = np.where(has & ~(d < 0), d, np.nan)
+        issue[late] = "late"
+        issue[rest[~has]] = "no_history"
+        issue[rest[has & (d < 0)]] = "counter_reset"
+        ends = rest[np.append(first[1:], True)[: len(rest)]]
+        old = ends[known[ends]]
+        last_ts[at[code[old]]], last_value[at[code[old]]] = ts[old], value[old]
+        new = ends[~known[ends]]
+        self.last.update(([*held[0], *series[new]], [*last_ts.tolist(), *ts[new].tolist()], [*last_value.tolist(), *value[new].tolist()]))
+        yield pd.DataFrame({"series_id": series, "ts": ts, "delta": delta, "issue": issue})
 
     def close(self) -> None:
         pass
@@ -167,8 +188,6 @@ class RecursiveFit(StatefulProcessor):
         self.model = handle.getValueState("model", "theta array<double>, p array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         frame = pd.concat(list(rows)).sort_values("ts")
         state = self.model.get()
         n = len(frame["x"].iloc[0])

@@ -57,3 +57,101 @@ def test_lift_of_many_windows_needs_no_range_join(spark):
     assert got.keys() == want.keys() and None in want.values()
     assert all(want[k] is x is None or abs(want[k] - x) < 1e-9 for k, x in got.items())
     assert "NestedLoop" not in plan_of(entry.queries()["evd_02_alert_window_lift"](spark, FOLDER))
+
+
+class _Held:
+    """A state value as Spark keeps it, without a stream."""
+
+    def __init__(self):
+        self.row = None
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        return self.row
+
+    def update(self, row):
+        self.row = row
+
+
+def _fed(processor, key, batches):
+    import pandas as pd
+
+    processor.init(_Held())
+    return [pd.concat(list(processor.handleInputRows((key,), iter([b]), None)), ignore_index=True) for b in batches]
+
+
+def test_one_call_takes_all_series_of_a_bucket():
+    import numpy as np
+    import pandas as pd
+
+    from faultline.streaming import windows as W
+
+    a = pd.DataFrame({"series_id": ["x", "y", "x", None, "x"], "ts": [3.0, 1.0, 1.0, 1.0, 2.0], "value": [7.0, 1.0, 5.0, 2.0, 4.0]})
+    b = pd.DataFrame({"series_id": ["x", "x", "z", None], "ts": [2.5, 4.0, 9.0, 2.0], "value": [1.0, 9.0, 1.0, 5.0]})
+    one, two = _fed(W.CounterDelta(), 3, [a, b])
+    rows = lambda f: sorted((repr(s), t, None if np.isnan(d) else d, i) for s, t, d, i in zip(f.series_id, f.ts, f.delta, f.issue))
+    assert rows(one) == [("'x'", 1.0, None, "no_history"), ("'x'", 2.0, None, "counter_reset"), ("'x'", 3.0, 3.0, None), ("'y'", 1.0, None, "no_history"), ("None", 1.0, None, "no_history")]
+    assert rows(two) == [("'x'", 2.5, None, "late"), ("'x'", 4.0, 2.0, None), ("'z'", 9.0, None, "no_history"), ("None", 2.0, 3.0, None)]
+
+
+def test_healthy_buffer_scores_as_medians_do_and_in_little_time():
+    import random
+    import time
+
+    import numpy as np
+    import pandas as pd
+
+    from faultline.streaming import windows as W
+
+    rng = random.Random(2)
+    n = 20_000
+    values = [float("nan") if i in (1, 7) else rng.choice([1.0, 2.0, rng.gauss(50, 20), rng.gauss(400, 90)]) for i in range(n)]
+    frame = pd.DataFrame({"ts": [float(i) for i in range(n)], "value": values})
+    start = time.time()
+    got = pd.concat(_fed(W.HealthyBuffer(), "k", [frame[:500], frame[500:]]), ignore_index=True)
+    assert time.time() - start < 3  # medians of pandas took some 10 s
+    held = []
+    for value, ready, score in list(zip(values, got.ready, got.score))[:1500]:
+        assert ready == (len(held) >= 3)
+        want = None
+        if ready:
+            mid = pd.Series(held).median()
+            want = min(max((value - mid) / max(1.4826 * (pd.Series(held) - mid).abs().median(), 1.0), 0.0), 8.0)
+            assert want == score or (np.isnan(want) and np.isnan(score))
+        if want is None or want < 3.0:
+            held = [*held, value][-20:]
+
+
+def test_alerts_and_evidence_meet_by_time_cells(spark):
+    from pyspark.sql import functions as F
+
+    from faultline.streaming import windows as W
+
+    at = lambda s: F.timestamp_seconds(s)
+    alerts = spark.createDataFrame([(i, "s", float(t)) for i, t in enumerate([0, 3599, 3600, 7199, 7200, -1, 20000])], "alert_id long, service string, t double").select("alert_id", "service", at("t").alias("alert_ts"))
+    found = spark.createDataFrame([("s", float(t), 1.0) for t in [0, 1, 3600, 7199, 7200, 10799, 14399, 14400, -7201, 13000]], "service string, t double, value double").select("service", at("t").alias("evidence_ts"), "value")
+    out = W.delayed_diagnosis(alerts, found, "2 hours", "40 days")
+    plan = plan_of(out)
+    assert "cell" in plan.partition("Join")[2].split("Inner")[0]
+    near = alerts.withColumnRenamed("service", "s").join(found, F.expr("evidence_ts >= alert_ts AND evidence_ts <= alert_ts + INTERVAL 2 hours"))
+    key = lambda r: (r.alert_id, r.evidence_ts)
+    assert sorted(map(key, out.collect())) == sorted(map(key, near.collect()))
+
+
+def test_previous_rows_come_over_the_ends_of_time_cells(spark):
+    import random
+
+    from faultline.plans.chain import with_previous
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["n", "m", None]), rng.choice([None, float(rng.randrange(100_000)), float(rng.randrange(3000))]), rng.choice(["a", "b", None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, node string, timestamp double, service string")
+    want = {}
+    for k in {r[1] for r in rows}:
+        last = None
+        for i, _, _, s in sorted((r for r in rows if r[1] == k), key=lambda r: (r[2] is not None, r[2] or 0.0, r[0])):
+            want[i], last = last, s
+    got = with_previous(df, "node", ["timestamp", "id"], "service", "before")
+    assert {r.id: r.before for r in got.collect()} == want
