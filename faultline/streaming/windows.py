@@ -82,6 +82,23 @@ class CounterDelta(StatefulProcessor):
         pass
 
 
+def median_and_mad(ordered: list[float]) -> tuple[float, float]:
+    """Median and median absolute deviation of sorted numbers (nan without any): the distances from the median are two sorted runs."""
+    n = len(ordered)
+    if not n:
+        return float("nan"), float("nan")
+    mid = (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
+    hi = bisect_left(ordered, mid)
+    lo, last, now = hi - 1, 0.0, 0.0
+    for _ in range(n // 2 + 1):
+        last = now
+        if hi == n or (lo >= 0 and mid - ordered[lo] <= ordered[hi] - mid):
+            now, lo = mid - ordered[lo], lo - 1
+        else:
+            now, hi = ordered[hi] - mid, hi + 1
+    return mid, now if n % 2 else (last + now) / 2
+
+
 class HealthyBuffer(StatefulProcessor):
     """Score of each value against the last ``size`` healthy ones of its key, then the buffer's update. State: a bounded list."""
 
@@ -95,21 +112,26 @@ class HealthyBuffer(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         state = self.held.get()
-        values = list(state[0]) if state is not None else []
-        out = []
+        values = deque(state[0] if state is not None else [], self.size)
+        inside = sorted(x for x in values if x == x)  # the held values that are numbers, in order
         frame = pd.concat(list(rows)).sort_values("ts")
-        for ts, value in zip(frame["ts"], frame["value"]):
+        readies, scores = [], []
+        for value in frame["value"].astype(float).tolist():
             ready = len(values) >= self.least
             score = None
             if ready:
-                s = pd.Series(values)
-                mid = s.median()
-                score = float(min(max((value - mid) / max(1.4826 * (s - mid).abs().median(), self.floor), 0.0), self.cap))
-            out.append((key[0], float(ts), ready, score))
+                mid, spread = median_and_mad(inside)
+                score = min(max((value - mid) / max(1.4826 * spread, self.floor), 0.0), self.cap)
+            readies.append(ready)
+            scores.append(score)
             if score is None or score < self.below:
-                values = (values + [float(value)])[-self.size :]
-        self.held.update((values,))
-        yield pd.DataFrame(out, columns=["key", "ts", "ready", "score"])
+                if len(values) == self.size and (gone := values[0]) == gone:
+                    del inside[bisect_left(inside, gone)]
+                values.append(value)
+                if value == value:
+                    insort(inside, value)
+        self.held.update((list(values),))
+        yield pd.DataFrame({"key": key[0], "ts": frame["ts"].astype(float).to_numpy(), "ready": np.array(readies, bool), "score": np.array(scores, float)})
 
     def close(self) -> None:
         pass
