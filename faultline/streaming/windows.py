@@ -28,10 +28,15 @@ def alert_sessions(events: DataFrame, ts: str, gap: str, lateness: str, keys: li
 
 
 def delayed_diagnosis(alerts: DataFrame, evidence: DataFrame, delay: str, lateness: str) -> DataFrame:
-    """Evidence that comes within ``delay`` after an alert of its service: a stream-stream interval join, both sides watermarked."""
-    a = alerts.withWatermark("alert_ts", lateness).alias("a")
-    e = evidence.withWatermark("evidence_ts", lateness).alias("e")
-    near = F.expr(f"a.service = e.service AND e.evidence_ts >= a.alert_ts AND e.evidence_ts <= a.alert_ts + INTERVAL {delay}")
+    """Evidence that comes within ``delay`` after an alert of its service: a stream-stream interval join, both sides watermarked.
+
+    Rows meet by service and time cell of that width, each alert in its own and the next one, so that a row is held against two cells
+    and not against all that the state keeps of its service."""
+    width = F.expr(f"unix_micros(TIMESTAMP '1970-01-01 00:00:00 UTC' + INTERVAL {delay})")
+    cell = lambda ts: F.floor(F.unix_micros(ts) / width)
+    a = alerts.withWatermark("alert_ts", lateness).withColumn("cell", F.explode(F.array(cell("alert_ts"), cell("alert_ts") + 1))).alias("a")
+    e = evidence.withWatermark("evidence_ts", lateness).withColumn("cell", cell("evidence_ts")).alias("e")
+    near = F.expr(f"a.service = e.service AND a.cell = e.cell AND e.evidence_ts >= a.alert_ts AND e.evidence_ts <= a.alert_ts + INTERVAL {delay}")
     return a.join(e, near).select("a.alert_id", "a.service", "a.alert_ts", "e.evidence_ts", "e.value")
 
 
