@@ -60,10 +60,22 @@ SQL["v_creports"] = """WITH h AS (SELECT t.service, t.win, m.ready AS own, m.rea
  UNION ALL SELECT service, win, 'diagnosed', NULL, rank, root_service, root_metric, root_score, hop FROM (SELECT *, row_number() OVER (PARTITION BY service, win ORDER BY round(root_score, 9) DESC, hop, root_service) AS rank FROM r) WHERE rank<=3"""
 
 
+def with_previous(rows, key: str, order: list[str], value: str, name: str, cell: float = 3600.0):
+    """rows plus ``name``: the value of the row before within key, along ``order`` (its first column is a time). The rows of a key are walked in
+    time cells; only one row a cell is walked along the key, to give each cell's first row the last value of the cell before."""
+    rows = rows.withColumn("_cell", F.floor(F.col(order[0]) / cell))
+    w = Window.partitionBy(key, "_cell").orderBy(*order)
+    rows = rows.withColumns({"_inside": F.lag(value).over(w), "_first": F.row_number().over(w) == 1})
+    last = rows.groupBy(key, "_cell").agg(F.max_by(F.struct(value), F.struct(*order))[value].alias("_last"))
+    along = Window.partitionBy("_key").orderBy(F.col("_c").asc_nulls_first())
+    ahead = last.select(F.col(key).alias("_key"), F.col("_cell").alias("_c"), "_last").withColumn("_ahead", F.lag("_last").over(along)).drop("_last")
+    joined = rows.join(ahead, F.col(key).eqNullSafe(F.col("_key")) & F.col("_cell").eqNullSafe(F.col("_c")))
+    return joined.withColumn(name, F.when(F.col("_first"), F.col("_ahead")).otherwise(F.col("_inside"))).drop("_inside", "_first", "_cell", "_key", "_c", "_ahead")
+
+
 def topology(v):
     """(parents, reach) of the services, written once."""
-    before = F.lag("service").over(Window.partitionBy("node").orderBy("timestamp", "event_id"))
-    n = v.metrics().withColumn("parent", before).where("parent <> service").groupBy("parent", F.col("service").alias("target")).agg(F.count("*").alias("n"))
+    n = with_previous(v.metrics(), "node", ["timestamp", "event_id"], "service", "parent").where("parent <> service").groupBy("parent", F.col("service").alias("target")).agg(F.count("*").alias("n"))
     parents = written(n.withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("n"), "parent"))).where("r <= 2").select("parent", "target"))
     seeds = v.metrics().select(F.col("service").alias("seed")).distinct()
     reach = T.hops(seeds, parents.select(F.col("target").alias("src"), F.col("parent").alias("dst")), 2)
