@@ -1,4 +1,4 @@
-"""Near duplicates by the similarity of 5-word shingle sets: candidates by MinHash bands, then by rare shingles, each checked exactly."""
+"""Near duplicates by SimHash fingerprints of 5-word shingle sets and trie self-joins; what these link is checked exactly by its shingles."""
 
 from __future__ import annotations
 
@@ -9,17 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import written
 from .graph import components
 from .tokens import in_parts
 
 #: Words of a shingle; least similarity (intersection by union) of near duplicates, as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
-#: Bands of minima that must agree as a whole; a pair of similarity 0.8 agrees in none with a chance of 3e-5.
-BANDS, ROWS = 20, 4
 #: Nodes of a frequent shingle that all its nodes are checked against first; all pairs left in different components follow, so it decides nothing.
 STARS = 16
-_FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -31,33 +29,50 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(42)), np.uint64))
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, node, bands, held): node names the shingle set, held are its hashes; version tells texts apart."""
+def _name(blob: bytes) -> int:
+    from xxhash import xxh64_intdigest
 
-    def build(batches):
-        from xxhash import xxh64_intdigest
-
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        def made(batch):
-            nodes, bands, held = [], [], []
-            for text in batch.column(2).to_pylist():
-                h = shingles(text)
-                blob = h.tobytes()
-                nodes.append(signed(xxh64_intdigest(blob)))
-                held.append(blob)
-                least = [(h * f).min() for f in _FACTORS] if len(h) else []
-                least = np.array(least, np.uint64).tobytes()
-                bands.append([signed(xxh64_intdigest(least[i : i + 8 * ROWS], i)) for i in range(0, len(least), 8 * ROWS)])
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(held, pa.binary())], names=["doc_id", "version", "node", "bands", "held"]
-            )
+    x = xxh64_intdigest(blob)
+    return x - (1 << 64) if x >> 63 else x
 
-        for batch in batches:
-            for lo, hi in in_parts(batch.column(2).to_pylist()):
-                yield made(batch.slice(lo, hi - lo))
 
+def remixed(h: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def built(docs: DataFrame, columns, schema: str) -> DataFrame:
+    """(doc_id, version, node, ...): node names the shingle set, version tells texts apart; columns makes the rest of a list of shingle sets."""
+
+    def build(batches):
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for lo, hi in in_parts(texts):
+                held = [shingles(t) for t in texts[lo:hi]]
+                nodes = pa.array([_name(h.tobytes()) for h in held], pa.int64())
+                made = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), nodes, *columns(held)]
+                yield pa.RecordBatch.from_arrays(made, names=names)
+
+    names = ["doc_id", "version", "node", *(c.split()[0] for c in schema.split(", "))]
     rows = docs.select(F.col("doc_id").cast("long"), version_of("text").alias("version"), "text")
-    return rows.mapInArrow(build, "doc_id long, version long, node long, bands array<long>, held binary")
+    return rows.mapInArrow(build, f"doc_id long, version long, node long, {schema}")
+
+
+def sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, node, held): held are the hashes of the shingle set."""
+    return built(docs, lambda held: [pa.array([h.tobytes() for h in held], pa.binary())], "held binary")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, node, fp, more): 128 bits of SimHash of the shingle set."""
+
+    def bits(held):
+        flat, lengths = np.concatenate(held), np.array([len(h) for h in held], np.int64)
+        return [pa.array(simhash.majority_bits(h, lengths).view(np.int64)) for h in (flat, remixed(flat))]
+
+    return built(docs, bits, "fp long, more long")
 
 
 def version_of(text: str):
@@ -66,20 +81,20 @@ def version_of(text: str):
 
 def similar(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs (src, dst) of nodes whose sets are similar enough, by their exact intersection."""
-    ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
-    of = written(found.select("node", "held").join(ends, "node", "left_semi").dropDuplicates(["node"]))
-    both = pairs.join(of.select(F.col("node").alias("src"), F.col("held").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("held").alias("b")), "dst")
 
-    def check(batches):
+    def listed(batches):
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(SIMILAR[1] * common >= SIMILAR[0] * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(good, pa.bool_()))
+            blobs = batch.column(1).to_pylist()
+            for lo, hi in in_parts(blobs):
+                ends = np.cumsum([0, *(len(x) // 8 for x in blobs[lo:hi])]).astype(np.int32)
+                held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs[lo:hi]), np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), held], names=["node", "held"])
 
-    return written(both.select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long"), few=True)
+    ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    of = written(found.select("node", "held").join(ends, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(listed, "node long, held array<long>"))
+    both = pairs.join(of.select(F.col("node").alias("src"), F.col("held").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("held").alias("b")), "dst")
+    common = F.size(F.array_intersect("a", "b"))
+    return written(both.where(SIMILAR[1] * common >= SIMILAR[0] * (F.size("a") + F.size("b") - common)).select("src", "dst"), few=True)
 
 
 def rare_ends(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -136,38 +151,46 @@ def rare_pairs(ends: DataFrame) -> DataFrame:
     return x.join(y, "shingle").where(f"{once} AND {fits} AND {early} AND {places}").select(F.least("xv", "yv").alias("src"), F.greatest("xv", "yv").alias("dst")).distinct()
 
 
-def groups(found: DataFrame) -> DataFrame:
-    """(node, root) for the nodes that are near another one.
+def groups(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) for the nodes that are near another one; found are the fingerprints of docs.
 
-    First each node is checked against the least node of each of its bands, which settles dense groups at their size. Nodes of
-    bands that hold several components are then held against a few nodes of each of their rarest shingles, which settles most of a loose
+    Tries over the fingerprints link what may be similar into loose groups; only texts of such groups are read again for their shingles.
+    First each node is checked against the least node of its loose group, which settles dense groups at their size. Nodes of
+    loose groups that hold several components are then held against a few nodes of each of their rarest shingles, which settles most of a
     group, and what is left in different components is paired by those shingles, which misses none; texts just below
-    the similarity that differ in shingles of their own, however many share a band, are not paired.
+    the similarity that differ in shingles of their own, however many a group holds, are not paired.
     """
-    spread = found.select("node", F.explode("bands").alias("band")).distinct()
-    least = spread.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    banded = written(spread.join(least, "band").select("band", "node", "least"))
-    first = similar(written(banded.where("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct()), found)
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")).alias("row")
+    nodes = written(found.groupBy("node", "fp", "more").agg(row))
+    loose = simhash.wide_groups(nodes.select("fp", "more"))
+    placed = written(nodes.join(loose, "fp", "left").select("node", "row", F.coalesce("loose", "fp").alias("loose")))
+    least = written(placed.groupBy("loose").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("loose", "least"), few=True)
+    members = written(placed.join(least, "loose"))
+    own = docs.select(F.col("doc_id").cast("long"), "text", version_of("text").alias("version"))
+    rows = members.select(F.col("row.doc_id").alias("row_id"), F.col("row.version").alias("row_version"))
+    held = written(sets(own.join(rows, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("version") == F.col("row_version")), "left_semi")))
+    first = similar(written(members.where("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")), few=True), held)
     roots = written(components(first), few=True)
-    placed = banded.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    open_ = placed.join(mixed, "band", "left_semi").select("node", "root").distinct()
-    ends = rare_ends(open_, found)
-    linked = first.unionByName(similar(written(rare_stars(ends)), found))
+    rooted = members.select("node", "loose").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("loose").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("loose")
+    open_ = rooted.join(mixed, "loose", "left_semi").select("node", "root")
+    ends = rare_ends(open_, held)
+    linked = first.unionByName(similar(written(rare_stars(ends)), held))
     roots = written(components(linked), few=True)
     ends = written(ends.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    return written(components(linked.unionByName(similar(written(rare_pairs(ends)), found))), few=True)
+    return written(components(linked.unionByName(similar(written(rare_pairs(ends)), held))), few=True)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near duplicates (similarity of 5-word shingle sets of 0.8 or more, and chains of such pairs).
+    """docs without near duplicates (similarity of 5-word shingle sets of 0.8 or more, and chains of such pairs, as far as their SimHash
+    fingerprints meet in a trie).
 
     Of each group the row with the smallest doc_id stays, rows without one last, then by text hash. Rows that repeat
     a doc_id with other texts are rows of their own; rows that repeat doc_id and text are one. Texts without a word (null ones too) are
     copies of each other: one stays. Other columns are kept as they are. Empty table: no rows.
     """
-    found = written(sets(docs))
-    rooted = found.select("doc_id", "version", "node").join(groups(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = written(fingerprints(docs))
+    rooted = found.select("doc_id", "version", "node").join(groups(found, docs), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")).alias("kept")
     kept = rooted.groupBy("root").agg(first).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.version").alias("kept_version"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col("doc_id").cast("long").alias("own_id"), version_of("text").alias("version"))

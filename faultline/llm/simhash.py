@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffle_width, written
 from .graph import components
 from .tokens import in_parts
 
@@ -20,6 +21,12 @@ NODE_ROWS = 1 << 20
 #: Fingerprint copies that a task traverses at once.
 TRAVERSE_ROWS = 400_000
 
+#: Wide budgets: most differing bits of the first 64 and of all 128 bits, rows of a trie node on average, and the
+#: logarithm of how rarely a pair of word sets of similarity 0.8 (0.15 of its bits differ) may meet in no trie.
+WIDE, WIDE_ROWS, SURE, ALIKE = (24, 38), 128, 8, 0.85
+#: Rows of a node above which its rows are first held against PIVOTS of them; pairs descended or compared at once.
+DENSE, PIVOTS, PAIRS = 1000, 64, 1_000_000
+
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -70,23 +77,29 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", version.alias("version")).mapInArrow(hashed, "doc_id long, fp long, version long")
 
 
-def trie_pairs(keys: np.ndarray, left: tuple, right: tuple, spent: np.ndarray, budget: int, top: int = 63) -> tuple[np.ndarray, np.ndarray]:
+def trie_pairs(keys: np.ndarray, left: tuple, right: tuple, spent: np.ndarray, budget: int, top: int = 63, few: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ``keys`` (uint64, sorted within each node) of the pairs below the given node pairs.
 
     left, right: (start, end) arrays of the two nodes; spent: bits by which their prefixes
     differ; top: the highest bit below the nodes. Pairs descend together one bit at a time; a pair goes when its differing
-    bits exceed the budget, and is settled by one comparison when both nodes are single keys.
+    bits exceed the budget, and is settled by comparisons when its nodes hold at most ``few`` pairs of keys.
     A node paired with itself gives each pair of its keys once.
     """
     (al, ah), (bl, bh), d = left, right, spent
     found_a, found_b = [], []
     for bit in range(top, -2, -1):
         if bit >= 0:
-            lone = (ah - al == 1) & (bh - bl == 1)
+            lone = (ah - al) * (bh - bl) <= few
         else:
             lone = np.ones(len(al), bool)  # all bits are used: equal keys, or the budget held
         if lone.any():
             a, b = al[lone], bl[lone]
+            if few > 1:
+                wide, pairs = bh[lone] - b, (ah[lone] - a) * (bh[lone] - b)
+                own, wide, a, b = (np.repeat(v, pairs) for v in (a == b, wide, a, b))
+                at = np.arange(len(a)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+                a, b = a + at // wide, b + at % wide
+                a, b = a[~own | (a < b)], b[~own | (a < b)]
             near = (np.bitwise_count(keys[a] ^ keys[b]) <= budget) & (a != b)
             found_a.append(a[near])
             found_b.append(b[near])
@@ -183,6 +196,96 @@ def near_links(fps: DataFrame, budget: int = 2, prefix_bits: int = PREFIX_BITS)
     return spread.mapInArrow(traverse, "src long, dst long")
 
 
+def dense_links(x: np.ndarray, y: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that span the pairs of (x, y) within the budget. A dense group is settled by a few pivots, at its size; every row outside
+    the largest group then meets all rows."""
+    n = len(x)
+
+    def met(rows: np.ndarray):
+        a, b = np.nonzero(np.bitwise_count(x[rows, None] ^ x) + np.bitwise_count(y[rows, None] ^ y) <= budget)
+        return rows[a], b
+
+    def grown(links: tuple, rows: np.ndarray) -> tuple:
+        step = max(1, PAIRS // n)
+        for lo in range(0, len(rows), step):
+            links = forest(*(np.concatenate(c) for c in zip(links, met(rows[lo : lo + step]))))
+        return links
+
+    links = grown((np.zeros(0, np.int64),) * 2, np.unique(np.linspace(0, n - 1, PIVOTS).astype(np.int64)))
+    label = np.arange(n)
+    label[links[0]] = links[1]
+    return grown(links, np.flatnonzero(label != np.bincount(label).argmax()))
+
+
+def wide_links(fps: DataFrame) -> DataFrame:
+    """(src, dst): links that span nearly all pairs of distinct fp whose 128 bits (fp, more) are within the wide budget.
+
+    No single trie prunes at a budget of a quarter of the bits, so each of many tries takes the bits in an order of its own, and only
+    pairs that share its first bits descend in it, bit by bit. The depth grows with the logarithm of the rows, so that a node keeps
+    its size, and the tries with it, so that a pair of similarity 0.8 meets in one of them but for exp(-SURE).
+    """
+    depth = max(4, (fps.count() // WIDE_ROWS).bit_length())
+    tries = math.ceil(SURE / ALIKE**depth)
+    orders = [np.random.default_rng(t).permutation(128)[:depth] for t in range(tries)]
+
+    def deal(batches):
+        for batch in batches:
+            bits = [batch.column(i).to_numpy().view(np.uint64) for i in range(2)]
+            for t, order in enumerate(orders):
+                node = np.full(len(bits[0]), t << depth, np.int64)
+                for i, b in enumerate(order.tolist()):
+                    node |= ((bits[b // 64] >> np.uint64(b % 64)) & np.uint64(1)).astype(np.int64) << i
+                yield pa.RecordBatch.from_arrays([pa.array(node), batch.column(0), batch.column(1)], names=["node", "fp", "more"])
+
+    def solve(node: np.ndarray, fp: np.ndarray, more: np.ndarray):
+        """Links among the rows of whole nodes."""
+        order = np.lexsort((fp, node))
+        node, fp, more = node[order], fp[order], more[order]
+        start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        size = np.diff(np.append(start, len(node)))
+        found = []
+        for at, n in zip(start[size > DENSE].tolist(), size[size > DENSE].tolist()):
+            a, b = dense_links(fp[at : at + n], more[at : at + n], WIDE[1])
+            found.append((at + a, at + b))
+        some = (size > 1) & (size <= DENSE)
+        start, size = start[some], size[some]
+        part = np.cumsum(size**2) // PAIRS
+        for run in np.split(np.arange(len(size)), np.flatnonzero(np.diff(part)) + 1):
+            if len(run):
+                lo, hi = start[run[0]], start[run[-1]] + size[run[-1]]
+                ends = start[run] - lo, start[run] - lo + size[run]
+                a, b = trie_pairs(fp[lo:hi], ends, ends, np.zeros(len(run), np.int64), WIDE[0], few=64)
+                a, b = a + lo, b + lo
+                near = np.bitwise_count(fp[a] ^ fp[b]) + np.bitwise_count(more[a] ^ more[b]) <= WIDE[1]
+                found.append((a[near], b[near]))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        x, y = forest(fp[a].view(np.int64), fp[b].view(np.int64)) if len(a) else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["src", "dst"])
+
+    def traverse(batches):
+        """Rows of one node are adjacent; whole nodes are gathered up to TRAVERSE_ROWS."""
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(0).to_numpy(), *(batch.column(i).to_numpy().view(np.uint64) for i in (1, 2))])
+            size += batch.num_rows
+            if size >= TRAVERSE_ROWS and held[0][0][0] != held[-1][0][-1]:
+                rows = [np.concatenate(c) for c in zip(*held)]
+                cut = np.flatnonzero(rows[0][1:] != rows[0][:-1])[-1] + 1
+                yield solve(*(c[:cut] for c in rows))
+                held, size = [[c[cut:] for c in rows]], size - cut
+        if size:
+            yield solve(*(np.concatenate(c) for c in zip(*held)))
+
+    dealt = fps.select("fp", "more").mapInArrow(deal, "node long, fp long, more long")
+    return dealt.repartition(shuffle_width(fps.sparkSession), "node").sortWithinPartitions("node").mapInArrow(traverse, "src long, dst long")
+
+
+def wide_groups(fps: DataFrame) -> DataFrame:
+    """(fp, loose) for every fp of fps (fp, more) that the wide budget links to another one; loose is shared by all that are linked."""
+    fps = written(fps.groupBy("fp").agg(F.min("more").alias("more")))
+    return written(components(wide_links(fps)), few=True).select(F.col("node").alias("fp"), F.col("root").alias("loose"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, prefix_bits: int = PREFIX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id reachable over links.
 

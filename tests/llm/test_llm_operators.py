@@ -642,3 +642,49 @@ def test_many_texts_just_below_the_similarity_are_not_paired(spark):
     found, nodes = shingle_nodes(spark, texts)
     assert near.rare_pairs(near.rare_ends(nodes, found)).count() == 0
     assert len(stage_near_dedup(spark, list(enumerate(texts)))) == 2_000
+
+
+def near_copies(n: int, seed: int):
+    """Pairs of word texts whose 5-word shingle sets are similar by 0.8 to 0.9."""
+    rng = np.random.default_rng(seed)
+    out = []
+    while len(out) < n:
+        words = [f"w{x}" for x in rng.integers(0, 9000, int(rng.integers(60, 300)))]
+        edited = list(words)
+        for at in rng.choice(len(words), max(1, int(len(words) * rng.uniform(0.01, 0.025))), replace=False):
+            edited[at] = f"new{len(out)}x{at}"
+        a, b = (set(zip(*(t[k:] for k in range(5)))) for t in (words, edited))
+        if 0.8 <= len(a & b) / len(a | b) < 0.9:
+            out.append((" ".join(words), " ".join(edited)))
+    return out
+
+
+def test_tries_link_pairs_of_similarity_above_the_bound(spark):
+    pairs = near_copies(400, 5)
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    found = near.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    loose = {r.fp: r.loose for r in simhash.wide_groups(found.select("fp", "more")).collect()}
+    of = {r.doc_id: loose.get(r.fp, r.fp) for r in found.collect()}
+    assert sum(of[2 * i] == of[2 * i + 1] for i in range(len(pairs))) >= 396
+    assert len(set(of.values())) >= len(pairs)
+
+
+def test_near_dedup_stage_takes_its_candidates_from_the_tries(spark, monkeypatch):
+    rows = [(2 * i + j, t) for i, p in enumerate(near_copies(5, 6)) for j, t in enumerate(p)]
+    assert [r[1] for r in stage_near_dedup(spark, rows)] == [0, 2, 4, 6, 8]
+    monkeypatch.setattr(simhash, "wide_groups", lambda fps: fps.select("fp", F.col("fp").alias("loose")))
+    assert len(stage_near_dedup(spark, rows)) == 10
+
+
+def test_dense_nodes_of_a_trie_are_spanned():
+    rng = np.random.default_rng(2)
+    centres = rng.integers(0, 1 << 63, (3, 2), np.uint64)
+    flips = np.packbits(rng.random((4000, 128)) < 0.1, axis=1).view(np.uint64)
+    x, y = (np.concatenate([centres[np.arange(3000) % 3, k] ^ flips[:3000, k], flips[3000:, k] ^ rng.integers(0, 1 << 63, 1000, np.uint64)]) for k in range(2))
+    d = np.bitwise_count(x[:, None] ^ x) + np.bitwise_count(y[:, None] ^ y) <= 38
+    labels = []
+    for a, b in (simhash.forest(*np.nonzero(np.triu(d, 1))), simhash.dense_links(x, y, 38)):
+        label = np.arange(len(x))
+        label[a] = b
+        labels.append({frozenset(np.flatnonzero(label == k).tolist()) for k in np.unique(label)})
+    assert labels[0] == labels[1] and len(labels[0]) > 3
