@@ -117,13 +117,12 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            held: Counter = Counter()
             texts = batch.column(0).to_pylist()
             for lo, hi in in_parts(texts):
+                held: Counter = Counter({END: hi - lo})
                 for t in texts[lo:hi]:
                     held.update(words_of(t))
-            held[END] += len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "c"])
 
     def encode(batches):
         coding = coder()
@@ -144,20 +143,26 @@ def ragged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(blobs), "<u2").astype(np.int64), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def summed(counts: DataFrame, cells) -> np.ndarray:
-    """Sum of int64 cells over the token table: cells(ids, starts, c) gives (positions, weights); rows per cell meet by key."""
+def sliced(batch: pa.RecordBatch, rows: int):
+    """The batch in slices, so that neither side holds it as a whole once more."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
+def cell_sums(batches, cells, size: int):
+    """(k, v) of the cells seen in batches of (c, ids), in slices. A dictionary of them would take ten times the array."""
+    total = np.zeros(size)
+    for batch in batches:
+        ids, starts = ragged(batch.column(1).to_pylist())
+        at, weight = cells(ids, starts, np.array(batch.column(0).to_pylist(), np.int64))
+        np.add.at(total, at, weight)
+    seen = np.flatnonzero(total)
+    yield from sliced(pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["k", "v"]), 50_000)
 
-    def run(batches):
-        total: dict = {}
-        for batch in batches:
-            ids, starts = ragged(batch.column(1).to_pylist())
-            at, weight = cells(ids, starts, np.array(batch.column(0).to_pylist(), np.int64))
-            keys, where = np.unique(at, return_inverse=True)
-            for k, v in zip(keys.tolist(), np.bincount(where, weight).tolist()):
-                total[k] = total.get(k, 0.0) + v
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.float64())], names=["k", "v"])
 
-    rows = counts.select("c", "ids").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+def summed(counts: DataFrame, cells, size: int) -> np.ndarray:
+    """Sum of ``size`` cells over the token table: cells(ids, starts, c) gives (positions, weights); rows per cell meet by key."""
+    rows = counts.select("c", "ids").mapInArrow(lambda batches: cell_sums(batches, cells, size), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
     return rows.sort_values("k").to_numpy()
 
 
@@ -239,7 +244,7 @@ def neighbours(held: DataFrame) -> np.ndarray:
         table = total.reshape(SIZE, -1)[:, :BUCKETS]
         seen = np.flatnonzero(table.any(1))
         columns = [pa.array(seen)] + [pa.array(table[seen, b]) for b in range(BUCKETS)]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", *map(str, range(BUCKETS))])
+        yield from sliced(pa.RecordBatch.from_arrays(columns, names=["id", *map(str, range(BUCKETS))]), 2_000)
 
     names = [str(b) for b in range(BUCKETS)]
     rows = held.select("ids").mapInArrow(run, ", ".join(["id long", *(f"`{b}` long" for b in names)])).groupBy("id").agg(*[F.sum(f"`{b}`").alias(b) for b in names]).toPandas()
@@ -373,9 +378,9 @@ class Statistics:
         part = part / max(total, 1)
         left = np.maximum(part - known, 1e-3 * part) + 1e-12  # of each expert, what is spelled
         self.per, self.left = 1 / (known + left), left / (known + left)
-        count, self.classes = clustered(summed(counts, unigram_cells(buckets)), buckets, k)
-        pairs = summed(counts, follower_cells(self.classes, k))
+        count, self.classes = clustered(summed(counts, unigram_cells(buckets), SIZE * (1 + 2 * buckets)), buckets, k)
         cells = np.zeros((SIZE + 1) * (k + 1) + (k + 1) * SIZE)
+        pairs = summed(counts, follower_cells(self.classes, k), len(cells))
         cells[pairs[:, 0].astype(np.int64)] = pairs[:, 1]
         table = cells[: (SIZE + 1) * (k + 1)].reshape(SIZE + 1, k + 1)
         plain = np.bincount(self.classes, count + 0.1, k)

@@ -688,3 +688,25 @@ def test_dense_nodes_of_a_trie_are_spanned():
         label[a] = b
         labels.append({frozenset(np.flatnonzero(label == k).tolist()) for k in np.unique(label)})
     assert labels[0] == labels[1] and len(labels[0]) > 3
+
+
+def test_cells_of_a_large_vocabulary_take_a_bounded_array():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    blobs = [x.tobytes() for x in rng.integers(0, scoring.SIZE, (5_000, 100)).astype("<u2")]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(blobs)), pa.array(blobs)], names=["c", "ids"])
+    cells, size = scoring.unigram_cells(64), scoring.SIZE * (1 + 2 * 64)
+    tracemalloc.start()
+    slices = list(scoring.cell_sums([batch], cells, size))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    at, weight = cells(*scoring.ragged(blobs), None)
+    want = np.bincount(at, weight, size)
+    got = np.zeros(size)
+    for x in slices:
+        assert x.num_rows <= 50_000
+        got[x.column(0).to_numpy()] = x.column(1).to_numpy()
+    assert np.array_equal(got, want) and peak < 150_000_000
