@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import written
+from .common import drop_written, written
 from .graph import components
 from .tokens import in_parts
 
@@ -94,7 +94,9 @@ def similar(pairs: DataFrame, found: DataFrame) -> DataFrame:
     of = written(found.select("node", "held").join(ends, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(listed, "node long, held array<long>"))
     both = pairs.join(of.select(F.col("node").alias("src"), F.col("held").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("held").alias("b")), "dst")
     common = F.size(F.array_intersect("a", "b"))
-    return written(both.where(SIMILAR[1] * common >= SIMILAR[0] * (F.size("a") + F.size("b") - common)).select("src", "dst"), few=True)
+    good = written(both.where(SIMILAR[1] * common >= SIMILAR[0] * (F.size("a") + F.size("b") - common)).select("src", "dst"), few=True)
+    drop_written(of)
+    return good
 
 
 def rare_ends(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -118,8 +120,12 @@ def rare_ends(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
     spread = whole.mapInArrow(flat, "node long, root long, n long, shingle long")
     often = spread.groupBy("shingle").agg(F.count("*").alias("often"))
-    ranked = spread.join(often, "shingle").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) - 1)
-    return written(ranked.where(f"at < n - ceil(n * {num}D / {den} - 1e-9) + 1 AND often > 1").select("node", "root", "n", "at", "shingle"))
+    shared = spread.join(often.where("often > 1"), "shingle")  # shingles of one node come before these
+    node = Window.partitionBy("node")
+    ranked = shared.withColumn("at", F.col("n").cast("int") - F.count("*").over(node).cast("int") + F.row_number().over(node.orderBy("often", "shingle")) - 1)
+    ends = written(ranked.where(f"at < n - ceil(n * {num}D / {den} - 1e-9) + 1").select("node", "root", "n", "at", "shingle"))
+    drop_written(whole)
+    return ends
 
 
 def rare_stars(ends: DataFrame) -> DataFrame:
