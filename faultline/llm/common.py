@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as a regular expression class body; everything else is part of a word.
 WS = r"\x20\x09-\x0D"
+#: Most texts in an Arrow batch (Spark's default is 10,000).
+BATCH_ROWS = 2000
 _TRIM = " \t\n\x0b\x0c\r"
 
 
@@ -42,6 +44,12 @@ def running(values: Column, combine, block: int = 256) -> Column:
     return let(values, lambda a: let(F.transform(starts(a), lambda i: grown(F.slice(a, i * block + 1, F.lit(block)))), joined))
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let Spark hand whole texts to Python ``rows`` at a time at most, here and later in the session: the JVM's buffers and the worker's copies of a batch count together."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written tables: spark.checkpoint.dir, or on a local master a temporary one."""
     sc = spark.sparkContext

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 from pyspark.sql.window import Window
 
+from .common import small_batches
+from .tokens import forget
+
 #: Labelled documents per language whose texts make its dictionary, and the bytes kept of them.
 SAMPLE_DOCS = 200
 DICTIONARY_BYTES = 16 * 1024
@@ -75,6 +78,7 @@ def classify(docs: DataFrame, learned: dict[str, bytes], margin: float = MARGIN,
     learned every row is "und". Only the text is looked at; other columns pass through,
     and a column already named like an output is replaced.
     """
+    small_batches(docs.sparkSession)
     names = sorted(learned)
     out = ["lang_pred", "score", "rejected"]
     kept = docs.drop(*out)
@@ -84,6 +88,8 @@ def classify(docs: DataFrame, learned: dict[str, bytes], margin: float = MARGIN,
     def run(batches):
         import zstandard
 
+        forget()
+
         def coder(name: str, level: int):
             d = zstandard.ZstdCompressionDict(learned[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .tokens import in_parts
+from .common import small_batches, written
+from .tokens import forget, in_parts
 
 #: Words that a common block must hold to be deleted; chance-equal short lines stay.
 MIN_BLOCK_WORDS = 10
@@ -33,6 +33,7 @@ def line_table(keyed: DataFrame) -> DataFrame:
     def split(batches):
         from xxhash import xxh64_intdigest
 
+        forget()
         types = [pa.int64()] * 3 + [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         names = [c.split()[0] for c in _LINES.split(", ")]
         for batch in batches:
@@ -214,6 +215,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS, repor
     may end up empty. ``report`` adds n_lines and doomed (the numbers of the deleted
     lines). Columns named key, version or doomed in docs are kept apart by a prefix.
     """
+    small_batches(docs.sparkSession)
     names = docs.columns
     packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("all"))
     found = repeated_lines(docs.select("doc_id", "text"), min_words)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries that a worker keeps from batch to batch; a word beyond it is encoded again in the next batch.
 MEMO_ENTRIES = 600_000
@@ -84,6 +88,20 @@ class WordIds:
         ids = iter(self.each_of([w for words in texts for w in words]))
         return [b"".join(islice(ids, len(words))) for words in texts]
 
+    def of_column(self, texts: pa.Array) -> list[bytes]:
+        """For each text: the bytes of its ids (null: none). Arrow splits the texts and numbers their words, so each distinct word is looked up once."""
+        texts = texts.fill_null("")
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.fold else texts)
+        codes = lists.flatten().dictionary_encode()
+        blobs = self.each_of(codes.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+        sizes = np.array([len(b) for b in blobs], np.int64) // self.dtype.itemsize
+        word = codes.indices.to_numpy()
+        pool, n = np.frombuffer(b"".join(blobs), self.dtype), sizes[word]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[word] - ends[:-1], n)]
+        edges = ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])].tolist()
+        return [ids[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:])]
+
     def each_of(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word of a list."""
         found = list(map(self.memo.get, words))
@@ -98,10 +116,15 @@ class WordIds:
 
 def in_parts(texts: list, size: int = 2_000_000):
     """(start, end) of runs of texts with about ``size`` characters, so that a batch is never held as words at once."""
+    return in_runs([len(t or "") for t in texts], size)
+
+
+def in_runs(sizes: list[int], size: int = 2_000_000):
+    """(start, end) of runs of about ``size`` in sum."""
     start, held = 0, 0
-    for i, t in enumerate(texts, 1):
-        held += len(t or "")
-        if held >= size or i == len(texts):
+    for i, n in enumerate(sizes, 1):
+        held += n
+        if held >= size or i == len(sizes):
             yield start, i
             start, held = i, 0
 
@@ -112,3 +135,15 @@ def word_ids(path: str, dtype: str = "<u4", prefix: str = "", ordinary: bool = F
     if key not in _MEMOS:
         _MEMOS[key] = WordIds(*key)
     return _MEMOS[key]
+
+
+def forget() -> None:
+    """Give the memory of vocabularies, memos and past tasks back to the system: a worker outlives its stage, and the next one needs none of it.
+
+    malloc keeps freed memory unless asked; only glibc has the call.
+    """
+    _MEMOS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
