@@ -14,12 +14,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
-from .tokens import in_parts, word_ids
+from .common import small_batches, written
+from .tokens import in_runs, word_ids
 
 #: Rests are rounded up to a multiple of this within the plan.
 UNIT = 8
@@ -43,6 +44,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None,
     Null and blank texts hold the end id alone. Repeated rows are cut like any other.
     ``with_ids`` adds the piece's ids as binary (unsigned, little-endian, 32 bits).
     """
+    small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     fold = vocabulary is None  # the default vocabulary lower-cases and splits letters from punctuation
     end = np.array([END_ID], "<u4").tobytes()
@@ -51,10 +53,10 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None,
         coder = word_ids(path, fold=fold)
         names = [f.split()[0] for f in PIECE_SCHEMA.split(", ")] + ["ids"] * with_ids
         for batch in batches:
-            docs_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in in_parts(texts):
+            docs_of, texts = batch.column(0).to_pylist(), batch.column(1)
+            for lo, hi in in_runs(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
                 rows: list[tuple] = []
-                for doc, blob in zip(docs_of[lo:hi], coder.of([(t or "").encode().split() for t in texts[lo:hi]])):
+                for doc, blob in zip(docs_of[lo:hi], coder.of_column(texts.slice(lo, hi - lo))):
                     blob += end
                     n = len(blob) // 4
                     for at in range(0, n, capacity):
