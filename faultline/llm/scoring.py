@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
-from .tokens import in_parts, word_ids
+from .common import drop_written, small_batches, written
+from .tokens import forget, in_parts, word_ids
 
 #: Tokens of a window, of these context only, width of the attention, experts, classes of ids in spellings.
 WINDOW, OVERLAP, WIDTH, EXPERTS, CLASSES = 32, 8, 16, 8, 64
@@ -68,6 +68,12 @@ def seeded(tag: str, broadcast):
     return _SEEDED["held"]
 
 
+def unseeded() -> None:
+    """Give up what seeded() holds, with the worker's vocabularies: later steps know ids only."""
+    _SEEDED.clear()
+    forget()
+
+
 def prepared(texts: list, coding, places: dict, pool: np.ndarray, pool_starts: np.ndarray, logs: np.ndarray, levels: np.ndarray) -> list[list]:
     """Columns of each text: n_tokens, n_often, often_sum, rare words, which of them stands at each zero of levels, levels, ids."""
     found = [words_of(t) for t in texts]
@@ -151,6 +157,7 @@ def sliced(batch: pa.RecordBatch, rows: int):
 
 def cell_sums(batches, cells, size: int):
     """(k, v) of the cells seen in batches of (c, ids), in slices. A dictionary of them would take ten times the array."""
+    unseeded()
     total = np.zeros(size)
     for batch in batches:
         ids, starts = ragged(batch.column(1).to_pylist())
@@ -236,6 +243,7 @@ def neighbours(held: DataFrame) -> np.ndarray:
     opens = coder_opens()
 
     def run(batches):
+        unseeded()
         total = np.zeros(SIZE * (BUCKETS + 1), np.int64)
         for batch in batches:
             blobs = batch.column(0).to_pylist()
@@ -518,6 +526,7 @@ def train(held: DataFrame, stats: Statistics, rounds: int = ROUNDS) -> tuple[np.
         shared = spark.sparkContext.broadcast((stats.evidence, stats.opens, flat))
 
         def learn(batches, turn=turn, shared=shared):
+            unseeded()
             evidence, opens, flat = shared.value
             flat = flat.copy()
             first, second, steps, done = np.zeros_like(flat), np.zeros_like(flat), 0, 0
@@ -654,6 +663,7 @@ def score(docs: DataFrame, held_out, classes: int = CLASSES, rounds: int = ROUND
     a cache and changes no result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = token_counts(docs.where(~F.col("held_out")))
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
@@ -678,7 +688,7 @@ def score(docs: DataFrame, held_out, classes: int = CLASSES, rounds: int = ROUND
     model = spark.sparkContext.broadcast((stats, *train(learned, stats, rounds)))
 
     def judge(batches):
-        _SEEDED.clear()
+        unseeded()
         stats, flat, goes_on = model.value
         w = split(flat, len(stats.prior))
         for batch in batches:
