@@ -63,22 +63,26 @@ class WordIds:
                 lo = hi
         return out
 
-    def looked_up(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words."""
-        numbers: dict[str, int] = {}
+    def looked_up(self, words: list[bytes], held=None) -> dict[bytes, bytes]:
+        """Ids of new words. held: gives the ids of a word known elsewhere, or None; asked for words without the punctuation at their ends."""
+        numbers: dict[bytes, int] = {}
         simple: list[tuple[bytes, int, bytes]] = []
         other: list[bytes] = []
         for w in words:
             low = w.lower() if self.fold else w
             core = low.rstrip(_MARKS)
-            if (stem := core.decode()).isalpha():
-                simple.append((w, numbers.setdefault(stem, len(numbers)), low[len(core) :]))
+            if core.decode().isalpha():
+                simple.append((w, numbers.setdefault(core, len(numbers)), low[len(core) :]))
             else:
                 other.append(w)
         out = dict(zip(other, self.each([w.decode() for w in other])))
         tails = {t for _, _, t in simple if t}
         known = dict(zip(tails, self.each([t.decode() for t in tails], "")))
-        ids = self.together(list(numbers))
+        ids = list(map(held, numbers)) if held else [None] * len(numbers)
+        gaps = [i for i, v in enumerate(ids) if v is None]
+        cores = list(numbers)
+        for i, v in zip(gaps, self.together([cores[i].decode() for i in gaps])):
+            ids[i] = v
         for w, k, tail in simple:
             out[w] = ids[k] + known[tail] if tail else ids[k]
         return out

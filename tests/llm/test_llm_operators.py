@@ -552,6 +552,69 @@ def test_log_probabilities_against_one_token_at_a_time():
         assert value == pytest.approx(total, rel=1e-4)
 
 
+def test_repeated_places_of_later_windows_ask_nothing():
+    rng = np.random.default_rng(6)
+    k, n = 4, 40
+    w = scoring.split(scoring.fresh(np.zeros(k)).astype(np.float64) + rng.normal(0, 0.1, len(scoring.fresh(np.zeros(k)))), k)
+    seen, target = rng.normal(0, 1, (2, n, scoring.WINDOW, k))
+    whole, _ = scoring.forward(w, seen)
+    late, (rows, *_, hidden) = scoring.forward(w, seen, scoring.OVERLAP)
+    assert late.shape == (n, scoring.WINDOW - scoring.OVERLAP, k) and hidden.shape[1] == late.shape[1]
+    assert np.allclose(late, whole[:, scoring.OVERLAP :]) and np.allclose(rows.T, late.reshape(-1, k))
+    weight = rng.random((n, scoring.WINDOW)) < 0.8
+    weight[5:, : scoring.OVERLAP] = False
+    got = scoring.gradient(w, seen, target, weight)
+    all_places = scoring.block_gradient(w, scoring.joined(w), seen, target, (weight / weight.sum()), 0)
+    assert np.allclose(got["out"], all_places[0]) and np.allclose(got["lift"], all_places[2] @ scoring.joined(w)[0].T)
+
+
+def test_copies_and_evidence_against_plain_loops():
+    rng = np.random.default_rng(7)
+    marks = rng.integers(0, 6, (9, scoring.WINDOW + 1), np.uint64) + (rng.integers(0, 2, (9, scoring.WINDOW + 1), np.uint64) << np.uint64(16))  # alike in 16 bits
+    length, right = scoring.copied(marks)
+    for row, got, came in zip(marks.tolist(), length.tolist(), right.tolist()):
+        for i in range(scoring.WINDOW):
+            run = lambda j, i=i, row=row: next((m for m in range(scoring.COPY) if m > j or row[j - m] != row[i - m]), scoring.COPY)
+            best, at = max(((run(j), j) for j in range(i)), default=(0, 0))
+            assert got[i] == best and came[i] == (best > 0 and row[at + 1] == row[i + 1])
+    lengths = np.array([1, 2, 7, 8, 9, 30, 1, 12])
+    ids, evidence = rng.integers(0, 50, lengths.sum()), rng.normal(0, 1, (50, 3))
+    begins = np.cumsum(lengths) - lengths
+    assert np.allclose(scoring.token_evidence(ids, begins, evidence), np.clip([evidence[ids[b : b + n]].sum(0) for b, n in zip(begins, lengths)], -12, 12))
+
+
+def test_neighbours_and_words_against_plain_loops():
+    rng = np.random.default_rng(8)
+    opens = rng.random(scoring.SIZE) < 0.6
+    opens[scoring.END_ID] = True
+    first, later = np.flatnonzero(opens[:200]), np.flatnonzero(~opens[:200])
+    texts = [[[int(rng.choice(first)), *rng.choice(later, rng.integers(0, 3)).tolist()] for _ in range(n)] for n in (0, 1, 3, 30)]
+    total, want = np.zeros(scoring.SIZE * (scoring.BUCKETS + 1), np.int64), Counter()
+    for _ in range(2):
+        scoring.count_neighbours(total, *scoring.streamed([np.array(sum(t, []), "<u2").tobytes() for t in texts]), opens)
+    for words in texts:
+        for i, word in enumerate(words):
+            for j in range(max(0, i - scoring.REACH), min(len(words), i + scoring.REACH + 1)):
+                want.update({(t, (words[j][0] * 0x9E3779B1 >> 7) % scoring.BUCKETS): 2 * c for t, c in Counter(word).items()} if j != i else {})
+    table = total.reshape(scoring.SIZE, -1)[:, : scoring.BUCKETS]
+    assert {(i, b): table[i, b] for i, b in np.argwhere(table).tolist()} == want
+
+    texts = [None, "", " \n", " A\x0bb ", "x\x1cy\x85z\u00a0w \u2003q\t\r\n\u00c9 \u0130 ", "a a"]
+    words, n = scoring.words_of_column(pa.array(["cut", *texts]).slice(1))
+    assert words.cast(pa.binary()).to_pylist() == [w for t in texts for w in scoring.words_of(t)] and n.tolist() == [len(scoring.words_of(t)) for t in texts]
+
+
+def test_words_with_punctuation_take_held_ids(monkeypatch):
+    coding = scoring.coder()
+    words = [b"known!!", b"known", b"other.", b"it's", "\u00e9t\u00e9,".encode()]
+    want, asked = coding.looked_up(words), []
+    stem = coding.each(["known"])[0]
+    together = coding.together
+    monkeypatch.setattr(coding, "together", lambda part: asked.extend(part) or together(part))
+    assert coding.looked_up(words, lambda w: stem if w == b"known" else None) == want
+    assert asked == ["other", "\u00e9t\u00e9"]
+
+
 def test_word_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
