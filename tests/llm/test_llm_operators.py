@@ -604,6 +604,21 @@ def test_neighbours_and_words_against_plain_loops():
     assert words.cast(pa.binary()).to_pylist() == [w for t in texts for w in scoring.words_of(t)] and n.tolist() == [len(scoring.words_of(t)) for t in texts]
 
 
+def test_binary_columns_are_read_whole_and_in_slices():
+    blobs = [b"\1\0\2\0", b"", b"\3\1", b"\4\0\5\0\6\0"]
+    column = pa.array([b"\7\0", *blobs, b"\7\0"], pa.binary()).slice(1, 4)
+    assert scoring.bytes_of(column) == blobs
+    for given in (blobs, column):
+        ids, starts = scoring.ragged(given)
+        assert ids.tolist() == [1, 2, 259, 4, 5, 6] and starts.tolist() == [0, 2, 2, 3, 6] and ids.dtype == np.int64
+    for given in ([], column.slice(0, 0), [b""]):
+        assert not len(scoring.ragged(given)[0]) and scoring.ragged(given)[1].tolist() == [0] * (len(given) + 1)
+    lists = pa.array([[b"cut"], [b"a", b"b"], [], [b"c"], [b"cut"]], pa.list_(pa.binary())).slice(1, 3)
+    which = [np.array(x, "<u4").tobytes() for x in ([1, 0, 1], [], [0, 0])]
+    assert scoring.picked(lists, which).to_pylist() == [b"b", b"a", b"b", b"c", b"c"]
+    assert scoring.picked(lists.slice(0, 0), []).to_pylist() == []
+
+
 def test_words_with_punctuation_take_held_ids(monkeypatch):
     coding = scoring.coder()
     words = [b"known!!", b"known", b"other.", b"it's", "\u00e9t\u00e9,".encode()]
