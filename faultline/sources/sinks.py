@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators.tables import children, committed, exists, mark
 
-#: Largest file whose content Spark reads as one value.
+#: Largest file that is hashed.
 MOST_BYTES = 1 << 30
 
 
@@ -114,14 +114,34 @@ class WindowArchive:
         return a.join(b, self.window, "full").select(self.window, issue.alias("issue")).where("issue is not null")
 
 
+def streamed_sha256(spark: SparkSession, path: Column) -> Column:
+    """SHA-256 of the file at each path, in any store that Spark reads: the row's task passes it through the digest in small pieces, so no task holds a file.
+
+    SQL has no function on streams, so DigestUtils.sha256Hex(new AutoCloseInputStream(path.getFileSystem(conf).open(path))) is put together from Spark's
+    expressions on objects. The stream is closed at its end.
+    """
+    jvm = spark.sparkContext._jvm
+    expressions, utils = jvm.org.apache.spark.sql.catalyst.expressions, jvm.org.apache.spark.sql.classic.ExpressionUtils
+    loaded = jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass
+    of = lambda name: jvm.org.apache.spark.sql.types.ObjectType(loaded(name))
+    seq, none = jvm.PythonUtils.toSeq, jvm.scala.Option.apply(None)
+    call = lambda target, method, kind, *args: expressions.objects.Invoke(target, method, kind, seq([*args]), seq([]), True, True, True)
+    static = lambda name, method, kind, *args: expressions.objects.StaticInvoke(loaded(name), kind, method, seq([*args]), seq([]), True, True, True, none)
+    new = lambda name, *args: expressions.objects.NewInstance(loaded(name), seq([*args]), seq([]), True, of(name), none)
+    settings = jvm.org.apache.spark.util.SerializableConfiguration(spark._jsparkSession.sessionState().newHadoopConf())
+    conf = call(expressions.Literal.fromObject(settings, of("org.apache.spark.util.SerializableConfiguration")), "value", of("org.apache.hadoop.conf.Configuration"))
+    file = new("org.apache.hadoop.fs.Path", call(utils.expression(path._jc), "toString", of("java.lang.String")))
+    stream = call(call(file, "getFileSystem", of("org.apache.hadoop.fs.FileSystem"), conf), "open", of("org.apache.hadoop.fs.FSDataInputStream"), file)
+    digest = static("org.apache.commons.codec.digest.DigestUtils", "sha256Hex", of("java.lang.String"), new("org.apache.commons.io.input.AutoCloseInputStream", stream))
+    return Column(utils.column(static("org.apache.spark.unsafe.types.UTF8String", "fromString", jvm.org.apache.spark.sql.types.DataType.fromDDL("string"), digest)))
+
+
 def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(name, bytes, sha256) of the files of a folder and below; files beyond MOST_BYTES have a null hash. Contents are
-    read and hashed by the executors. Spark passes over files without content; a listed file of 0 bytes is therefore never missed."""
-    read = lambda: spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    read and hashed by the executors, a file as a stream. Spark passes over files without content; a listed file of 0 bytes is therefore never missed."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     name = F.regexp_replace("path", r"^.*?" + "/" + _last(folder) + "/", "")
-    small = read().where(F.col("length") <= MOST_BYTES).select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    large = read().where(F.col("length") > MOST_BYTES).select(name.alias("name"), F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256"))
-    return small.unionByName(large)
+    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.when(F.col("length") <= MOST_BYTES, streamed_sha256(spark, F.col("path"))).alias("sha256"))
 
 
 def _last(folder: str) -> str:

@@ -1,6 +1,9 @@
 """Sinks that write once, sealed archives, file manifests and topology versions."""
 
 import hashlib
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +100,38 @@ def test_files_beyond_the_limit_are_told_not_read(spark, tmp_path, monkeypatch):
     assert [(r.name, r.issue) for r in K.manifest_issues(listed, found, []).collect()] == [("a", "unread")]
 
 
+SMALL_HEAP = """
+import sys
+from pyspark.sql import SparkSession
+from faultline.sources import sinks as K
+spark = SparkSession.builder.master("local[2]").config("spark.driver.memory", "512m").config("spark.ui.enabled", "false").getOrCreate()
+for r in K.file_manifest(spark, sys.argv[1]).collect():
+    print("FOUND", r.name, r.bytes, r.sha256)
+"""
+
+
+def test_a_file_larger_than_the_heap_is_hashed_as_a_stream(tmp_path):
+    size, digest = 640 << 20, hashlib.sha256()
+    for name in ("a", "b"):
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(size)  # takes no room on disk
+    for _ in range(640):
+        digest.update(bytes(1 << 20))
+    run = subprocess.run([sys.executable, "-c", SMALL_HEAP, str(tmp_path)], capture_output=True, text=True, env=dict(os.environ), timeout=300)
+    found = sorted(line for line in run.stdout.splitlines() if line.startswith("FOUND"))
+    assert found == [f"FOUND {name} {size} {digest.hexdigest()}" for name in ("a", "b")], run.stderr[-2000:]
+
+
+def test_a_manifest_takes_paths_as_they_are(spark, tmp_path):
+    files = {"a%20 b#c.bin": b"one", "d=1/ü+?.gz": b"not packed", "e": bytes(range(256)) * 9}
+    (tmp_path / "m" / "d=1").mkdir(parents=True)
+    for name, content in files.items():
+        (tmp_path / "m" / name).write_bytes(content)
+    found = K.file_manifest(spark, str(tmp_path / "m"))
+    assert {(r.name, r.bytes, r.sha256) for r in found.collect()} == {(n, len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items()}
+    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_topology_versions(spark):
     parts = spark.createDataFrame([("s1", "e:a>b"), ("s1", "e:b>c"), ("s1", "e:a>b"), ("s2", "e:b>c"), ("s2", "e:a>b")], "snapshot_id string, part string")
     prints = {r.snapshot_id: r.print for r in V.structure_prints(parts, "snapshot_id", "part").collect()}
