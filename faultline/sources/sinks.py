@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from faultline.operators.tables import children, committed, exists, mark
 
-#: Largest file that is hashed.
-MOST_BYTES = 1 << 30
+#: For callers who want it: larger files are listed without a hash. By default every file is hashed.
+MOST_BYTES: int | None = None
 
 
 class Conflict(ValueError):
@@ -137,11 +137,14 @@ def streamed_sha256(spark: SparkSession, path: Column) -> Column:
 
 
 def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(name, bytes, sha256) of the files of a folder and below; files beyond MOST_BYTES have a null hash. Contents are
+    """(name, bytes, sha256) of the files of a folder and below, whatever their size (but see MOST_BYTES). Contents are
     read and hashed by the executors, a file as a stream. Spark passes over files without content; a listed file of 0 bytes is therefore never missed."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     name = F.regexp_replace("path", r"^.*?" + "/" + _last(folder) + "/", "")
-    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.when(F.col("length") <= MOST_BYTES, streamed_sha256(spark, F.col("path"))).alias("sha256"))
+    digest = streamed_sha256(spark, F.col("path"))
+    if MOST_BYTES is not None:
+        digest = F.when(F.col("length") <= MOST_BYTES, digest)
+    return files.select(name.alias("name"), F.col("length").alias("bytes"), digest.alias("sha256"))
 
 
 def _last(folder: str) -> str:

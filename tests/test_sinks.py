@@ -122,6 +122,16 @@ def test_a_file_larger_than_the_heap_is_hashed_as_a_stream(tmp_path):
     assert found == [f"FOUND {name} {size} {digest.hexdigest()}" for name in ("a", "b")], run.stderr[-2000:]
 
 
+def test_a_file_of_more_than_a_gibibyte_has_its_hash(spark, tmp_path):
+    digest = hashlib.sha256()
+    with open(tmp_path / "large", "wb") as f:
+        f.truncate((1 << 30) + 3)  # takes no room on disk
+    for size in [1 << 20] * 1024 + [3]:
+        digest.update(bytes(size))
+    found = K.file_manifest(spark, str(tmp_path))
+    assert [(r.name, r.bytes, r.sha256) for r in found.collect()] == [("large", (1 << 30) + 3, digest.hexdigest())]
+
+
 def test_a_manifest_takes_paths_as_they_are(spark, tmp_path):
     files = {"a%20 b#c.bin": b"one", "d=1/ü+?.gz": b"not packed", "e": bytes(range(256)) * 9}
     (tmp_path / "m" / "d=1").mkdir(parents=True)
